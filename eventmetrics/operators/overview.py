@@ -90,14 +90,12 @@ def with_changes(pairs: DataFrame) -> DataFrame:
     )
 
 
-def period_tags(start: Column, end: Column, prior_start: Column) -> Column:
-    """Periods an event belongs to; one at exactly ``start`` belongs to both."""
+def period_tags(start: Column) -> Column:
+    """Periods of an event between prior start and end; one at exactly ``start`` is in both."""
     ts = F.col("timestamp")
-    return F.array_compact(
-        F.array(
-            F.when(ts.between(start, end), F.lit("cur")),
-            F.when(ts.between(prior_start, start), F.lit("prior")),
-        )
+    both = F.array(F.lit("cur"), F.lit("prior"))
+    return F.when(ts == start, both).otherwise(
+        F.array(F.when(ts > start, F.lit("cur")).otherwise(F.lit("prior")))
     )
 
 
@@ -110,8 +108,9 @@ def overview_delta(
     """
     start, end = utc(start), utc(end)
     prior_start = start - (end - start)
-    tags = period_tags(moment(start), moment(end), moment(prior_start))
-    tagged = with_identity(scope(events, prior_start, end)).withColumn("period", F.explode(tags))
+    tagged = with_identity(scope(events, prior_start, end)).withColumn(
+        "period", F.explode(period_tags(moment(start)))
+    )
     pairs = (
         keyed_rows(tagged, ["organization_id", "period"])
         .groupBy("organization_id")
@@ -136,11 +135,11 @@ def overview_for_ranges(events: DataFrame, ranges: DataFrame) -> DataFrame:
     earliest = bounded.agg(F.min("prior_start")).scalar()
     latest = bounded.agg(F.max("range_end")).scalar()
     inside = events.filter(F.col("timestamp").between(earliest, latest))
-    tags = period_tags(start, end, F.col("prior_start"))
     tagged = (
         with_identity(inside)
         .join(bounded, "organization_id")
-        .withColumn("period", F.explode(tags))
+        .filter(F.col("timestamp").between(F.col("prior_start"), end))
+        .withColumn("period", F.explode(period_tags(start)))
     )
     pairs = (
         keyed_rows(tagged, [*keys, "period"])

@@ -99,7 +99,7 @@ def shared_overview(spark, sf_dir):
     return plain(ov.overview_delta(shared, MIDDLE, AS_OF))
 
 
-SHARE_TOKEN = "share_8"
+SHARE_TOKEN = "share_7"
 
 QUERIES = {
     "overview": overview,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventmetrics.plans import analytics
+from eventmetrics.plans import alerting, analytics
 
-MODULES = (analytics,)
+MODULES = (analytics, alerting)
 
 
 def _merged(attribute: str) -> dict:
