@@ -101,12 +101,12 @@ def alert_snooze_history(spark, sf_dir):
     return plain(history)
 
 
-def _ticks(spark, sf_dir):
-    """One sweep per hour with events: the value is that hour's visitors, for rules watching them."""
+def _ticks(spark, sf_dir, interval, divisor):
+    """One sweep per hour or day with events: its visitors, for the rules watching them."""
     events = sample.events(spark, sf_dir)
     rules = sample.alert_rules(spark, sf_dir).filter(F.col("metric_type") == "unique_visitors")
-    rules = rules.withColumn("threshold", F.col("threshold") / 10.0)
-    hours = timeseries(events, "unique_visitors", "hour", FIRST, AS_OF).select(
+    rules = rules.withColumn("threshold", F.col("threshold") / divisor)
+    hours = timeseries(events, "unique_visitors", interval, FIRST, AS_OF).select(
         "organization_id", F.col("bucket").alias("at"), "value"
     )
     ticks = rules.select(F.col("id").alias("alert_rule_id"), "organization_id").join(
@@ -116,18 +116,18 @@ def _ticks(spark, sf_dir):
 
 
 def alert_replay(spark, sf_dir):
-    rules, ticks = _ticks(spark, sf_dir)
+    rules, ticks = _ticks(spark, sf_dir, "hour", 10.0)
     rules = rules.withColumns({"current_state": F.lit("Resolved"), "muted_until": F.lit(None).cast("timestamp")})
     replayed = al.replay(rules, ticks)
     return plain(replayed.select("alert_rule_id", "at", "state_after", "history"))
 
 
 def alert_replay_muted(spark, sf_dir):
-    """The same with each rule snoozed for 12 hours at noon of the second and fifteenth day."""
-    rules, ticks = _ticks(spark, sf_dir)
+    """Daily sweeps with each rule snoozed for 5 days at noon of the second and fifteenth day."""
+    rules, ticks = _ticks(spark, sf_dir, "day", 1.0)
     noon = F.array(*[F.lit(f"2024-01-{d} 12:00:00").cast("timestamp") for d in ("02", "15")])
     snoozes = rules.select(
-        F.col("id").alias("alert_rule_id"), F.explode(noon).alias("at"), F.lit(720).alias("snooze_minutes")
+        F.col("id").alias("alert_rule_id"), F.explode(noon).alias("at"), F.lit(7200).alias("snooze_minutes")
     )
     replayed = al.replay(rules, ticks, snoozes)
     return plain(
@@ -220,16 +220,19 @@ def _either(trigger: str, resolve: str) -> str:
     return f"CASE WHEN transition = 'Triggered' THEN {trigger} ELSE {resolve} END"
 
 
-TICKS = (
-    f"{EV}, {RULES}, h AS ({points_sql('unique_visitors', 'hour')}), "
-    "r AS (SELECT * FROM rules WHERE metric_type = 'unique_visitors'), "
-    "t AS (SELECT r.id AS alert_rule_id, h.bucket AS \"at\", "
-    + _VIOLATED.format(v="h.value", t="(r.threshold / 10.0)")
-    + " AS viol FROM r JOIN h USING (organization_id))"
-)
+
+def _ticks_sql(interval: str, divisor: str) -> str:
+    return (
+        f"{EV}, {RULES}, h AS ({points_sql('unique_visitors', interval)}), "
+        "r AS (SELECT * FROM rules WHERE metric_type = 'unique_visitors'), "
+        "t AS (SELECT r.id AS alert_rule_id, h.bucket AS \"at\", "
+        + _VIOLATED.format(v="h.value", t=f"(r.threshold / {divisor})")
+        + " AS viol FROM r JOIN h USING (organization_id))"
+    )
+
 
 # With mutes: the state machine as a recursion over the numbered inputs of a rule.
-_MUTED_REPLAY = f"""WITH RECURSIVE {TICKS},
+_MUTED_REPLAY = f"""WITH RECURSIVE {_ticks_sql('day', '1.0')},
   inp AS (SELECT alert_rule_id, "at", 1 AS tick, viol FROM t UNION ALL
           SELECT id, unnest([TIMESTAMP '2024-01-02 12:00:00', TIMESTAMP '2024-01-15 12:00:00']), 0, NULL FROM r),
   num AS (SELECT *, row_number() OVER (PARTITION BY alert_rule_id ORDER BY "at", tick) AS n FROM inp),
@@ -240,7 +243,7 @@ _MUTED_REPLAY = f"""WITH RECURSIVE {TICKS},
       CASE WHEN m.tick = 0 THEN 'Muted'
            WHEN p.after = 'Muted' AND coalesce(p.until > m."at", false) AND m.viol THEN 'Muted'
            WHEN m.viol THEN 'Triggered' ELSE 'Resolved' END,
-      CASE WHEN m.tick = 0 THEN m."at" + INTERVAL 720 MINUTE
+      CASE WHEN m.tick = 0 THEN m."at" + INTERVAL 7200 MINUTE
            WHEN p.after = 'Muted' AND coalesce(p.until > m."at", false) AND m.viol THEN p.until END,
       CASE WHEN m.tick = 0 THEN 'Muted'
            WHEN p.after = 'Triggered' AND NOT m.viol THEN 'Resolved'
@@ -305,7 +308,7 @@ ORACLES = {
         "FROM rules WHERE current_state = 'Triggered' AND NOT is_deleted"
     ),
     "alert_replay": (
-        f"WITH {TICKS}, s AS (SELECT *, coalesce(lag(viol) OVER (PARTITION BY alert_rule_id ORDER BY \"at\"), "
+        f"WITH {_ticks_sql('hour', '10.0')}, s AS (SELECT *, coalesce(lag(viol) OVER (PARTITION BY alert_rule_id ORDER BY \"at\"), "
         "false) AS was FROM t) SELECT alert_rule_id, \"at\", CASE WHEN viol THEN 'Triggered' ELSE 'Resolved' END "
         "AS state_after, CASE WHEN viol AND NOT was THEN 'Triggered' WHEN was AND NOT viol THEN 'Resolved' END "
         "AS history FROM s"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventmetrics.plans import alerting, analytics
+from eventmetrics.plans import adhoc, alerting, analytics, ingest
 
-MODULES = (analytics, alerting)
+MODULES = (analytics, alerting, ingest, adhoc)
 
 
 def _merged(attribute: str) -> dict:
