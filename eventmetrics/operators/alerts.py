@@ -10,7 +10,7 @@ from eventmetrics.functions.dates import MICROS, iso_text, moment, seconds_betwe
 from eventmetrics.functions.numbers import double_text, percent
 from eventmetrics.functions.payload import with_identity
 from eventmetrics.operators.overview import keyed_rows
-from eventmetrics.operators.scope import active
+from eventmetrics.operators.scope import active, between
 
 # Metrics a rule may watch, states, and the message texts.
 RULE_METRICS = (
@@ -88,7 +88,7 @@ def lookback_totals(events: DataFrame, windows: DataFrame, as_of: datetime | Col
         F.filter("_windows", lambda w: w * (60 * MICROS) >= age), F.lit(1)
     )
     banded = (
-        with_identity(events.filter(F.col("timestamp").between(earliest, now)))
+        with_identity(between(events, earliest, now))
         .join(per_org, "organization_id")
         .withColumn("time_window_minutes", band)
         .filter(F.col("time_window_minutes").isNotNull())

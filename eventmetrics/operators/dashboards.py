@@ -10,8 +10,8 @@ from eventmetrics.functions.dates import INTERVALS, METRICS, moment
 from eventmetrics.functions.payload import properties
 from eventmetrics.operators.breakdown import label_of, top_labels, top_share
 from eventmetrics.operators.overview import OVERVIEW_METRICS, overview_for_ranges
-from eventmetrics.operators.scope import active, small_side
-from eventmetrics.operators.series import all_metric_points, bar_heights, tail_points
+from eventmetrics.operators.scope import active, between, small_side
+from eventmetrics.operators.series import all_metric_points, chart_rows
 
 # Settings a widget may carry, their defaults, report sizes, and
 # the widgets of the web analytics template.
@@ -128,29 +128,54 @@ def widget_requests(placed: DataFrame) -> DataFrame:
     ).drop("_config")
 
 
-def _of_type(requests: DataFrame, *types: str) -> DataFrame:
-    return requests.filter(F.col("type").isin(*types))
+def range_bounds(table: DataFrame) -> tuple[int, int, int, int]:
+    """Rows, largest limit, earliest start and latest end of a config-derived table.
 
-
-def _is_drawable() -> Column:
-    return F.col("metric").isin(*METRICS) & F.col("interval").isin(*INTERVALS)
+    One small job over config tables. It proves the size before a broadcast,
+    gives the scan of the events literal bounds, and the label ranking a
+    literal limit. Times are microseconds since 1970.
+    """
+    limit = F.max("limit") if "limit" in table.columns else F.lit(0)
+    found = table.agg(
+        F.count(F.lit(1)),
+        F.coalesce(limit, F.lit(0)),
+        F.coalesce(F.min(F.unix_micros("range_start")), F.lit(0)),
+        F.coalesce(F.max(F.unix_micros("range_end")), F.lit(0)),
+    ).first()
+    return tuple(found)
 
 
-def _in_range(events: DataFrame, ranges: DataFrame) -> DataFrame:
+def _in_range(events: DataFrame, ranges: DataFrame, earliest: Column, latest: Column) -> DataFrame:
     """Events joined to the ranges of their tenant; the outer bounds reach the scan."""
-    earliest = ranges.agg(F.min("range_start")).scalar()
-    latest = ranges.agg(F.max("range_end")).scalar()
-    bounded = events.filter(F.col("timestamp").between(earliest, latest))
-    return bounded.join(small_side(ranges), "organization_id").filter(
-        F.col("timestamp").between(F.col("range_start"), F.col("range_end"))
+    return (
+        between(events, earliest, latest)
+        .join(ranges, "organization_id")
+        .filter(F.col("timestamp").between(F.col("range_start"), F.col("range_end")))
+    )
+
+
+def _request_key() -> Column:
+    """What a widget asks for; widgets asking for the same share one result."""
+    metric, interval = F.col("metric"), F.col("interval")
+    drawable = metric.isin(*METRICS) & interval.isin(*INTERVALS)
+    return (
+        F.when(F.col("type") == "kpi", F.concat_ws(":", F.lit("kpi"), metric))
+        .when(
+            F.col("type").isin("line", "bar") & drawable,
+            F.concat_ws(":", F.lit("series"), interval, metric),
+        )
+        .when(
+            F.col("type").isin("pie", "table"), F.concat_ws(":", F.lit("breakdown"), F.col("property"))
+        )
     )
 
 
-def _section(
-    rows: DataFrame, keys: list[str], section: Column, ord: Column, label: Column, value: Column, extra: Column
+def _result(
+    rows: DataFrame, request: Column, section: Column, ord: Column, label: Column, value: Column, extra: Column
 ) -> DataFrame:
     return rows.select(
-        *keys,
+        *RANGE,
+        request.alias("request"),
         section.alias("section"),
         ord.cast("bigint").alias("ord"),
         label.cast("string").alias("label"),
@@ -159,90 +184,133 @@ def _section(
     )
 
 
-def kpi_rows(events: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Value and change of one overview metric per widget."""
-    asked = _of_type(requests, "kpi")
-    ranges = small_side(asked.select(*RANGE).distinct())
-    found = asked.join(overview_for_ranges(events, ranges), RANGE)
-    value, change = F.lit(0.0), F.lit(0.0)
-    for metric in OVERVIEW_METRICS:
-        hit = F.col("metric") == metric
-        value = F.when(hit, F.col(metric).cast("double")).otherwise(value)
-        change = F.when(hit, F.col(f"{metric}_change")).otherwise(change)
-    return _section(found, keys, F.lit("kpi"), F.lit(1), F.col("metric"), value, change)
-
+def kpi_results(totals: DataFrame) -> DataFrame:
+    """Value and change of every overview metric from ``overview_for_ranges``."""
+    lines = F.array(
+        *[
+            F.struct(
+                F.lit(i + 1).alias("ord"),
+                F.lit(m).alias("metric"),
+                F.col(m).cast("double").alias("value"),
+                F.col(f"{m}_change").alias("change"),
+            )
+            for i, m in enumerate(OVERVIEW_METRICS)
+        ]
+    )
+    return totals.select(*RANGE, F.inline(lines))
 
-def series_rows(events: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Last points of a widget's series, and bars scaled to its largest point.
 
-    Each distinct (tenant, range, interval) is computed once for all widgets
-    showing it.
-    """
-    asked = _of_type(requests, "line", "bar").filter(_is_drawable())
+def series_results(events: DataFrame, asked: DataFrame, earliest: Column, latest: Column) -> DataFrame:
+    """Last points of each asked series, and bars scaled to its largest point."""
     by = [*RANGE, "interval"]
-    bucketed = _in_range(events, asked.select(*by).distinct()).withColumn(
+    bucketed = _in_range(events, asked, earliest, latest).withColumn(
         "bucket", F.expr("date_trunc(interval, timestamp)")
     )
     points = all_metric_points(bucketed, [*by, "bucket"])
-    one_series = tuple([*by, "metric"])
-    tails = tail_points(points, TABLE_POINTS, one_series).select(
-        *one_series, F.lit("point").alias("section"), "ord", "bucket", "value", F.lit(None).alias("extra")
+    return _result(
+        chart_rows(points, (*by, "metric"), TABLE_POINTS, BAR_POINTS),
+        F.concat_ws(":", F.lit("series"), "interval", "metric"),
+        F.col("section"),
+        F.col("ord"),
+        F.date_format("bucket", "yyyy-MM-dd HH:mm"),
+        F.col("value"),
+        F.col("height"),
     )
-    bars = bar_heights(points, BAR_POINTS, one_series).select(
-        *one_series, F.lit("bar").alias("section"), "ord", "bucket", "value", F.col("height").alias("extra")
-    )
-    found = asked.join(tails.unionByName(bars), list(one_series))
-    label = F.date_format("bucket", "yyyy-MM-dd HH:mm")
-    return _section(found, keys, F.col("section"), F.col("ord"), label, F.col("value"), F.col("extra"))
 
 
-def breakdown_rows(events: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Top labels per pie or table widget.
+def breakdown_results(
+    events: DataFrame, asked: DataFrame, limit: int, earliest: Column, latest: Column
+) -> DataFrame:
+    """Top labels of each asked property with their share of all rows.
 
-    A pie shows shares of the returned rows, a table of all rows. Labels of
-    each distinct (tenant, range, property) are counted once; an event is
-    repeated only for the properties its tenant asks for.
+    An event is repeated only for the properties its tenant asks for.
     """
-    asked = _of_type(requests, "pie", "table")
     by = [*RANGE, "property"]
-    largest = asked.agg(F.max("limit")).first()[0] or DEFAULT_LIMIT
     counted = (
-        _in_range(events, asked.select(*by).distinct())
+        _in_range(events, asked, earliest, latest)
         .withColumn("label", label_of(F.try_element_at(properties(), F.col("property"))))
         .groupBy(*by, "label")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    top = top_labels(counted, by, largest)
-    found = asked.join(top, by).filter(F.col("ord") <= F.col("limit"))
-    shared = top_share(found, tuple(keys))
-    extra = F.when(F.col("type") == "pie", F.col("share")).otherwise(F.col("percentage"))
-    return _section(shared, keys, F.col("type"), F.col("ord"), F.col("label"), F.col("count"), extra)
-
-
-def unsupported_rows(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """Widgets that show a notice: unknown types, and series of an unknown metric or interval.
-
-    One such widget does not fail the others.
-    """
-    none = F.lit(None)
-    unknown = requests.filter(~F.col("type").isin("kpi", "line", "bar", "pie", "table"))
-    broken = _of_type(requests, "line", "bar").filter(~_is_drawable())
-    wrong = F.concat_ws(" by ", "metric", "interval")
-    return _section(
-        unknown, keys, F.lit("unsupported"), F.lit(1), F.col("type"), none, none
-    ).unionByName(_section(broken, keys, F.lit("error"), F.lit(1), wrong, none, none))
+    return _result(
+        top_labels(counted, by, limit),
+        F.concat_ws(":", F.lit("breakdown"), "property"),
+        F.lit("breakdown"),
+        F.col("ord"),
+        F.col("label"),
+        F.col("count"),
+        F.col("percentage"),
+    )
 
 
-def evaluate_widgets(events: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+def evaluate_widgets(
+    events: DataFrame, requests: DataFrame, keys: list[str], totals: DataFrame | None = None
+) -> DataFrame:
     """All widgets as one long table (``keys``, section, ord, label, value, extra).
 
-    ``extra`` is the change of a KPI, the bar height, or the share of a label.
+    ``extra`` is the change of a KPI, the height of a bar or the share of a
+    label: a pie shows shares of the returned rows, a table of all rows.
+    Every distinct KPI, series and breakdown is computed once per tenant and
+    range and then joined to the widgets asking for it. Widgets of an unknown
+    type, a wrong series or without data give one notice row and do not fail
+    the others. ``totals`` may pass an ``overview_for_ranges`` computed already.
     """
-    return (
-        kpi_rows(events, requests, keys)
-        .unionByName(series_rows(events, requests, keys))
-        .unionByName(breakdown_rows(events, requests, keys))
-        .unionByName(unsupported_rows(requests, keys))
+    asked = requests.withColumn("request", _request_key())
+    rows, limit, first, last = range_bounds(requests)
+    earliest, latest = F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))
+
+    def wanted(kind: str, *columns: str) -> DataFrame:
+        distinct = asked.filter(F.col("request").startswith(f"{kind}:")).select(*RANGE, *columns)
+        return small_side(distinct.distinct(), rows)
+
+    if totals is None:
+        totals = overview_for_ranges(events, wanted("kpi"), 2 * first - last, last)
+    kpis = _result(
+        kpi_results(totals),
+        F.concat_ws(":", F.lit("kpi"), "metric"),
+        F.lit("kpi"),
+        F.lit(1),
+        F.col("metric"),
+        F.col("value"),
+        F.col("change"),
+    )
+    results = kpis.unionByName(
+        series_results(events, wanted("series", "interval"), earliest, latest)
+    ).unionByName(
+        breakdown_results(events, wanted("breakdown", "property"), max(limit, 1), earliest, latest)
+    )
+    found = asked.join(results, [*RANGE, "request"], "left").filter(
+        F.col("section").isNull() | (F.col("section") != "breakdown") | (F.col("ord") <= F.col("limit"))
+    )
+    found = top_share(found.withColumn("count", F.col("value")), tuple([*keys, "section"]))
+    kind = F.col("type")
+    has_result = F.col("section").isNotNull()
+    unknown_kpi = (kind == "kpi") & ~has_result
+    notice = (
+        F.when(~kind.isin("kpi", "line", "bar", "pie", "table"), F.lit("unsupported"))
+        .when(F.col("request").isNull(), F.lit("error"))
+        .when(unknown_kpi, F.lit("kpi"))
+        .otherwise(F.lit("empty"))
+    )
+    notice_label = (
+        F.when(unknown_kpi, F.col("metric"))
+        .when(notice == "error", F.concat_ws(" by ", "metric", "interval"))
+        .otherwise(kind)
+    )
+    zero = F.when(unknown_kpi, F.lit(0.0))
+    return found.select(
+        *keys,
+        F.when(~has_result, notice)
+        .when(F.col("section") == "breakdown", kind)
+        .otherwise(F.col("section"))
+        .alias("section"),
+        F.when(has_result, F.col("ord")).otherwise(F.lit(1)).cast("bigint").alias("ord"),
+        F.when(has_result, F.col("label")).otherwise(notice_label).alias("label"),
+        F.when(has_result, F.col("value")).otherwise(zero).alias("value"),
+        F.when(kind == "pie", F.when(has_result, F.col("share")))
+        .when(has_result, F.col("extra"))
+        .otherwise(zero)
+        .alias("extra"),
     )
 
 

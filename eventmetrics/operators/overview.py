@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventmetrics.functions.dates import moment, seconds_between, utc
 from eventmetrics.functions.numbers import percent, percent_change
 from eventmetrics.functions.payload import is_error, is_page_view, with_identity
-from eventmetrics.operators.scope import scope
+from eventmetrics.operators.scope import between, scope
 
 OVERVIEW_METRICS = ("page_views", "unique_visitors", "bounce_rate", "avg_session_duration")
 
@@ -122,23 +122,25 @@ def overview_delta(
     return _all_orgs(with_changes(pairs), orgs)
 
 
-def overview_for_ranges(events: DataFrame, ranges: DataFrame) -> DataFrame:
+def overview_for_ranges(
+    events: DataFrame, ranges: DataFrame, earliest: int, latest: int
+) -> DataFrame:
     """``overview_delta`` for many (tenant, range) pairs at once.
 
-    ``ranges`` holds distinct (organization_id, range_start, range_end) and
-    must come from config tables, see ``small_side``.
+    ``ranges`` holds distinct (organization_id, range_start, range_end) from
+    config tables; ``earliest`` and ``latest`` bound the scan in microseconds
+    and must cover all ranges and the periods before them.
     """
     keys = ["organization_id", "range_start", "range_end"]
     start, end = F.col("range_start"), F.col("range_end")
     prior_start = F.timestamp_micros(2 * F.unix_micros(start) - F.unix_micros(end))
-    bounded = ranges.select(*keys, prior_start.alias("prior_start"))
-    earliest = bounded.agg(F.min("prior_start")).scalar()
-    latest = bounded.agg(F.max("range_end")).scalar()
-    inside = events.filter(F.col("timestamp").between(earliest, latest))
+    inside = between(
+        events, F.timestamp_micros(F.lit(earliest)), F.timestamp_micros(F.lit(latest))
+    )
     tagged = (
         with_identity(inside)
-        .join(bounded, "organization_id")
-        .filter(F.col("timestamp").between(F.col("prior_start"), end))
+        .join(ranges.select(*keys), "organization_id")
+        .filter(F.col("timestamp").between(prior_start, end))
         .withColumn("period", F.explode(period_tags(start)))
     )
     pairs = (

@@ -7,8 +7,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmetrics.functions.dates import MICROS, moment
-from eventmetrics.operators.dashboards import evaluate_widgets, widget_requests
-from eventmetrics.operators.overview import OVERVIEW_METRICS, overview_for_ranges
+from eventmetrics.operators.dashboards import (
+    RANGE,
+    evaluate_widgets,
+    kpi_results,
+    range_bounds,
+    widget_requests,
+)
+from eventmetrics.operators.overview import overview_for_ranges
 from eventmetrics.operators.scope import active, page, small_side
 
 # Hours between runs, days covered and label per frequency; any
@@ -89,54 +95,45 @@ def with_dashboard(due: DataFrame, dashboards: DataFrame) -> DataFrame:
     return (
         due.join(boards, ["dashboard_id", "organization_id"], "left")
         .withColumn("dashboard_name", F.coalesce("_name", F.lit(NO_DASHBOARD_NAME)))
-        .withColumn("dashboard_id", F.when("_found", F.col("dashboard_id")))
+        .withColumn("dashboard_id", F.when(F.col("_found"), F.col("dashboard_id")))
         .drop("_name", "_found")
     )
 
 
-def overview_rows(events: DataFrame, due: DataFrame) -> DataFrame:
-    """The four overview metrics with their change for each due schedule."""
-    ranges = due.select("organization_id", "range_start", "range_end").distinct()
-    found = due.select(
-        "organization_id", F.col("id").alias("schedule_id"), "range_start", "range_end"
-    ).join(
-        overview_for_ranges(events, small_side(ranges)),
-        ["organization_id", "range_start", "range_end"],
-    )
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(i + 1).cast("bigint").alias("ord"),
-                F.lit(m).alias("label"),
-                F.col(m).cast("double").alias("value"),
-                F.col(f"{m}_change").alias("extra"),
-            )
-            for i, m in enumerate(OVERVIEW_METRICS)
-        ]
-    )
-    return found.select(
-        "organization_id",
-        "schedule_id",
-        F.lit(None).cast("string").alias("widget_id"),
-        F.lit("overview").alias("section"),
-        F.inline(lines),
-    )
-
-
 def report_sections(
     events: DataFrame, due: DataFrame, dashboards: DataFrame, widgets: DataFrame, as_of: datetime
 ) -> DataFrame:
-    """Contents of all due reports: the overview and every widget, as one long table."""
-    resolved = with_dashboard(with_window(due, as_of), dashboards)
+    """Contents of all due reports: the overview and every widget, as one long table.
+
+    The totals of each (tenant, range) serve both the overview and the KPI
+    widgets; Spark runs their plan once.
+    """
+    resolved = with_dashboard(with_window(due, as_of), dashboards).withColumnRenamed(
+        "id", "schedule_id"
+    )
     parts = active(widgets).select(
         F.col("id").alias("widget_id"), "dashboard_id", "type", "query_config"
     )
-    placed = resolved.select(
-        "organization_id", F.col("id").alias("schedule_id"), "dashboard_id", "range_start", "range_end"
-    ).join(parts, "dashboard_id")
+    placed = resolved.select("schedule_id", "dashboard_id", *RANGE).join(parts, "dashboard_id")
+    schedules, _, first, last = range_bounds(resolved)
+    ranges = small_side(resolved.select(*RANGE).distinct(), schedules)
+    totals = overview_for_ranges(events, ranges, 2 * first - last, last)
+    overview = (
+        resolved.select("schedule_id", *RANGE)
+        .join(kpi_results(totals), RANGE)
+        .select(
+            "organization_id",
+            "schedule_id",
+            F.lit(None).cast("string").alias("widget_id"),
+            F.lit("overview").alias("section"),
+            F.col("ord").cast("bigint").alias("ord"),
+            F.col("metric").alias("label"),
+            "value",
+            F.col("change").alias("extra"),
+        )
+    )
     keys = ["organization_id", "schedule_id", "widget_id"]
-    sections = evaluate_widgets(events, widget_requests(placed), keys)
-    return overview_rows(events, resolved).unionByName(sections)
+    return overview.unionByName(evaluate_widgets(events, widget_requests(placed), keys, totals))
 
 
 def write_reports(sections: DataFrame, path: str) -> None:

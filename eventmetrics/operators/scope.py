@@ -9,21 +9,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from eventmetrics.functions.dates import moment, month_of
 
 
-def scope(events: DataFrame, start: datetime, end: datetime, org: str | None = None) -> DataFrame:
-    """Events of ``[start, end]``, both ends included, of one tenant or of all.
+def between(events: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Events of ``[low, high]``, both ends included.
 
     A stored table is split by month; the month bounds are stated as well
     because a filter on ``timestamp`` alone does not prune its folders.
     """
-    low, high = moment(start), moment(end)
     kept = events.filter(F.col("timestamp").between(low, high))
     if "event_month" in events.columns:
         kept = kept.filter(F.col("event_month").between(month_of(low), month_of(high)))
-    if org is not None:
-        kept = kept.filter(F.col("organization_id") == org)
     return kept
 
 
+def scope(events: DataFrame, start: datetime, end: datetime, org: str | None = None) -> DataFrame:
+    """Events of a range, of one tenant or of all."""
+    kept = between(events, moment(start), moment(end))
+    return kept if org is None else kept.filter(F.col("organization_id") == org)
+
+
 def active(table: DataFrame, include_deleted: bool = False) -> DataFrame:
     return table if include_deleted else table.filter(~F.col("is_deleted"))
 
@@ -53,13 +56,12 @@ def shared_events(events: DataFrame, dashboards: DataFrame, token: str) -> DataF
     return events.join(shared_scope(dashboards, token), "organization_id", "left_semi")
 
 
-def small_side(table: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast only after counting that a config-derived table is small.
+def small_side(table: DataFrame, rows: int, max_rows: int = 500_000) -> DataFrame:
+    """Hint a broadcast of a config-derived table whose counted size is small.
 
-    For joins that enlarge or derive config tables Spark's size estimate is a
-    product of its inputs and would force a shuffle of all events. The count
-    stops at ``max_rows``; a larger table gets no hint, and the join then
-    shuffles with skew splitting.
+    Joins that enlarge or derive config tables make Spark's size estimate a
+    product of their inputs, which would force a shuffle of all events.
+    ``rows`` is a counted upper bound; a larger table gets no hint, and the
+    join then shuffles with skew splitting.
     """
-    rows = table.limit(max_rows + 1).count()
     return F.broadcast(table) if rows <= max_rows else table

@@ -103,17 +103,52 @@ def chart_merge(
     )
 
 
+def _from_end(series: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Position from the end, number of points and largest value of each series."""
+    whole = Window.partitionBy(*by)
+    return series.withColumns(
+        {
+            "_back": F.row_number().over(whole.orderBy(F.desc("bucket"))),
+            "_points": F.count(F.lit(1)).over(whole),
+            "_top": F.max("value").over(whole),
+        }
+    )
+
+
+def _ord(k: int) -> Column:
+    return (F.least(F.lit(k), F.col("_points")) - F.col("_back") + 1).cast("bigint")
+
+
+def _height() -> Column:
+    scale = F.when(F.col("_top") == 0, F.lit(1.0)).otherwise(F.col("_top"))
+    return F.floor(F.col("value") / scale * 100.0).cast("bigint")
+
+
 def tail_points(series: DataFrame, k: int = 8, by: tuple[str, ...] = ("organization_id",)) -> DataFrame:
     """The last ``k`` points of each series, oldest first in ``ord``."""
-    newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("bucket")))
-    kept = series.withColumn("_back", newest).filter(F.col("_back") <= k)
-    oldest = F.row_number().over(Window.partitionBy(*by).orderBy("bucket"))
-    return kept.withColumn("ord", oldest.cast("bigint")).drop("_back")
+    kept = _from_end(series, by).filter(F.col("_back") <= k)
+    return kept.withColumn("ord", _ord(k)).drop("_back", "_points", "_top")
 
 
 def bar_heights(series: DataFrame, k: int = 12, by: tuple[str, ...] = ("organization_id",)) -> DataFrame:
     """The last ``k`` points with a height in whole percent of the largest of all points."""
-    top = F.max("value").over(Window.partitionBy(*by))
-    scale = F.when(top == 0, F.lit(1.0)).otherwise(top)
-    heights = series.withColumn("height", F.floor(F.col("value") / scale * 100.0).cast("bigint"))
-    return tail_points(heights, k, by)
+    kept = _from_end(series, by).filter(F.col("_back") <= k)
+    return kept.withColumns({"ord": _ord(k), "height": _height()}).drop("_back", "_points", "_top")
+
+
+def chart_rows(series: DataFrame, by: tuple[str, ...], points: int, bars: int) -> DataFrame:
+    """Tail points and bars of each series as rows (``section``, ord, bucket, value, height)."""
+    numbered = _from_end(series, by).filter(F.col("_back") <= max(points, bars))
+    none = F.lit(None).cast("bigint")
+    shapes = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col("_back") <= k,
+                    F.struct(F.lit(name).alias("section"), _ord(k).alias("ord"), height.alias("height")),
+                )
+                for name, k, height in (("point", points, none), ("bar", bars, _height()))
+            ]
+        )
+    )
+    return numbered.select(*by, "bucket", "value", F.inline(shapes))

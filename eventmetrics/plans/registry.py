@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventmetrics.plans import adhoc, alerting, analytics, ingest
+from eventmetrics.plans import adhoc, alerting, analytics, ingest, reporting
 
-MODULES = (analytics, alerting, ingest, adhoc)
+MODULES = (analytics, alerting, ingest, reporting, adhoc)
 
 
 def _merged(attribute: str) -> dict:
