@@ -340,14 +340,19 @@ def snooze(
 ) -> tuple[DataFrame, DataFrame]:
     """Mute rules; ``snoozes`` has (organization_id, alert_rule_id, snooze_minutes).
 
-    A tenant can only mute its own rules. The longest of several requests wins.
+    A mute starts at ``requested_at`` where that column is given, else at
+    ``as_of``; the last request of a rule wins. A tenant can only mute its own
+    rules.
     """
     now = moment(as_of)
-    asked = snoozes.groupBy("organization_id", F.col("alert_rule_id").alias("id")).agg(
-        F.max("snooze_minutes").alias("_minutes")
+    asked_at = F.col("requested_at") if "requested_at" in snoozes.columns else now
+    asked = (
+        snoozes.groupBy("organization_id", F.col("alert_rule_id").alias("id"))
+        .agg(F.max(F.struct(asked_at.alias("at"), F.col("snooze_minutes").alias("minutes"))).alias("_ask"))
+        .select("organization_id", "id", F.col("_ask.at").alias("_at"), F.col("_ask.minutes").alias("_minutes"))
     )
     until = F.timestamp_micros(
-        F.unix_micros(now) + F.col("_minutes").cast("bigint") * (60 * MICROS)
+        F.unix_micros("_at") + F.col("_minutes").cast("bigint") * (60 * MICROS)
     )
     hit = F.col("_minutes").isNotNull() & ~F.col("is_deleted")
     joined = rules.join(asked, ["organization_id", "id"], "left")
@@ -371,7 +376,7 @@ def snooze(
         F.lit(0.0).alias("value"),
         "threshold",
         details.alias("details"),
-        now.alias("created_at"),
+        F.col("_at").alias("created_at"),
     )
     return after, history
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventmetrics.plans import adhoc, alerting, analytics, ingest, reporting
+from eventmetrics.plans import adhoc, alerting, analytics, ingest, live, reporting
 
-MODULES = (analytics, alerting, ingest, reporting, adhoc)
+MODULES = (analytics, alerting, ingest, reporting, adhoc, live)
 
 
 def _merged(attribute: str) -> dict:

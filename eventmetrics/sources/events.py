@@ -56,13 +56,13 @@ def _not_an_object(json: Column) -> Column:
 
 
 def json_to_events(
-    raw: DataFrame, org: str | Column, as_of: datetime | Column
+    raw: DataFrame, org: str | Column, as_of: datetime | Column, keep: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Check and convert rows of ``schema.RAW_EVENTS``; works on a stream as well.
 
     A missing timestamp becomes ``as_of`` and a missing payload ``{}``; a name
     outside 1..255 characters, a bad timestamp or id, or a payload that is no
-    object rejects the row.
+    object rejects the row. ``keep`` names input columns to carry along.
     """
     now = moment(as_of)
     org = F.lit(org) if isinstance(org, str) else org
@@ -88,7 +88,7 @@ def json_to_events(
         F.coalesce(F.col("payload"), F.lit("{}")),
         now,
     )
-    return accepted.select(*columns), rejected
+    return accepted.select(*columns, *keep), rejected
 
 
 def read_json_events(

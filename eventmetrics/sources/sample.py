@@ -168,7 +168,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events read as a stream of files."""
     layout = table(spark, sf_dir, "events").schema
-    return as_events(spark.readStream.schema(layout).parquet(f"{sf_dir}/events.parquet"))
+    # A stream source takes a single file only as a pattern.
+    return as_events(spark.readStream.schema(layout).parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,22 +18,32 @@ def stored_form(events: DataFrame) -> DataFrame:
     return with_identity(events).withColumn("event_month", month_of(F.col("timestamp")))
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Write events to ``path``, one folder per month.
+def write_events(events: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append events to ``path``, one folder per month.
 
     ``rebalance`` gathers a month's rows into files of the advisory size: small
     months share a task, and the current month, which has nearly all rows of a
     load, is split over many. Sorting by tenant and time makes the Parquet
     statistics skip row groups for tenant and time filters.
+
+    With ``batch`` the rows also lie in a folder of that number, which writing
+    the same batch again replaces.
     """
-    (
+    rows = (
         stored_form(events)
         .hint("rebalance", "event_month")
         .sortWithinPartitions("event_month", "organization_id", "timestamp")
-        .write.partitionBy("event_month")
-        .mode(mode)
-        .parquet(path)
     )
+    if batch is None:
+        rows.write.partitionBy("event_month").mode("append").parquet(path)
+    else:
+        (
+            rows.withColumn("ingest_batch", F.lit(batch).cast("bigint"))
+            .write.partitionBy("event_month", "ingest_batch")
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .parquet(path)
+        )
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
