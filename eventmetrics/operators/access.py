@@ -6,10 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventmetrics.functions.dates import minute_key, moment
+from eventmetrics.functions.dates import moment
 from eventmetrics.functions.text import slug_base
-from eventmetrics.operators.scope import active
-from eventmetrics.sources.events import reject_batches
+from eventmetrics.operators.scope import MAX_SMALL_ROWS, active, small_side
+from eventmetrics.sources.events import split, whole_batches
 
 # Key format, default request limit, role levels.
 KEY_PREFIX = "pk_live_"
@@ -18,13 +18,11 @@ REQUESTS_PER_MINUTE = 100
 ROLE_LEVELS = {"owner": 4, "admin": 3, "analyst": 2, "viewer": 1}
 
 
-def attribute_keys(
-    raw: DataFrame, api_keys: DataFrame, as_of: datetime | Column
-) -> tuple[DataFrame, DataFrame]:
+def key_verdicts(raw: DataFrame, api_keys: DataFrame, as_of: datetime | Column) -> DataFrame:
     """Find the tenant of each request by its ``api_key``.
 
-    Returns requests with ``organization_id`` and ``key_prefix``, and the rest
-    with a reason. Two active keys with one prefix are refused as ambiguous.
+    Adds ``key_prefix``, ``organization_id`` (of accepted requests only) and
+    ``reason``. Two active keys with one prefix are refused as ambiguous.
     """
     known = (
         active(api_keys)
@@ -45,88 +43,95 @@ def attribute_keys(
         .when(F.col("_key.hashed_key") != F.sha2(key, 256), "invalid_key")
         .when(F.col("_key.expires_at") < moment(as_of), "expired_key")
     )
-    looked_up = (
+    return (
         raw.withColumn("key_prefix", F.substring(key, 1, KEY_PREFIX_LENGTH))
         .join(known, "key_prefix", "left")
         .withColumn("reason", reason)
-    )
-    accepted = looked_up.filter("reason IS NULL").withColumn(
-        "organization_id", F.col("_key.organization_id")
-    )
-    return (
-        accepted.drop("reason", "_key", "_keys"),
-        looked_up.filter("reason IS NOT NULL").drop("_key", "_keys"),
+        .withColumn(
+            "organization_id", F.when(F.col("reason").isNull(), F.col("_key.organization_id"))
+        )
+        .drop("_key", "_keys")
     )
 
 
-def admit(
+def attribute_keys(
+    raw: DataFrame, api_keys: DataFrame, as_of: datetime | Column
+) -> tuple[DataFrame, DataFrame]:
+    return split(key_verdicts(raw, api_keys, as_of))
+
+
+def admission_verdicts(
     requests: DataFrame,
     limit: int = REQUESTS_PER_MINUTE,
     prefix: str = "key_prefix",
     arrival: str = "received_at",
     request_id: str = "request_id",
     used: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """The first ``limit`` requests per key and UTC minute, and the others.
+) -> DataFrame:
+    """Refuse all but the first ``limit`` requests per key and UTC minute.
 
-    Instead of ranking every request of a busy minute in one task, only the
-    cutoff is looked for: the rank filter keeps ``limit`` rows per task and
-    key-minute, the last admitted one becomes the cutoff, and requests are
-    compared with it in a join that adaptive execution may split.
+    Requests already having a ``reason`` neither count nor change. ``used``
+    (prefix, minute, used) holds requests counted before, as a stream needs;
+    refused ones count too.
 
-    ``used`` (prefix, minute, used) counts requests seen before, as a stream
-    needs; rejected requests count too.
+    Requests are counted first, and only key-minutes above the limit are
+    looked at again: the rank filter keeps ``limit`` rows per task and
+    key-minute, the last admitted request becomes the cutoff, and all requests
+    are compared with the cutoffs. No request is moved between machines unless
+    there are very many busy key-minutes, and no key-minute fills one task.
     """
-    minute = minute_key(F.col(arrival))
-    keyed = requests.withColumn("minute", minute)
-    order = Window.partitionBy(prefix, "minute").orderBy(arrival, request_id)
-    ranked = (
-        keyed.select(prefix, "minute", arrival, request_id)
+    keys = [prefix, "_minute"]
+    timed = requests.withColumn("_minute", F.date_trunc("minute", F.col(arrival)))
+    if "reason" not in requests.columns:
+        timed = timed.withColumn("reason", F.lit(None).cast("string"))
+    counted = timed.filter(F.col("reason").isNull()).select(*keys, arrival, request_id)
+    busy = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_requests"))
+    left_over = F.lit(limit).cast("bigint")
+    if used is not None:
+        before = used.select(prefix, F.col("minute").alias("_minute"), F.col("used").alias("_used"))
+        busy = busy.join(before, keys, "left")
+        left_over = left_over - F.coalesce(F.col("_used"), F.lit(0))
+    busy = (
+        busy.withColumn("_free", left_over)
+        .filter(F.col("_requests") > F.col("_free"))
+        .select(*keys, "_free")
+    )
+    groups = busy.limit(MAX_SMALL_ROWS + 1).count()
+    order = Window.partitionBy(*keys).orderBy(arrival, request_id)
+    last = (
+        counted.join(small_side(busy, groups), keys)
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= limit)
+        .filter(F.col("_rank") == F.greatest(F.col("_free"), F.lit(1)))
     )
-    if used is None:
-        last = F.lit(limit)
-        cutoffs = ranked
-    else:
-        last = F.lit(limit) - F.coalesce(F.col("used"), F.lit(0))
-        cutoffs = ranked.join(used.select(prefix, "minute", "used"), [prefix, "minute"], "left")
-    # A minute already full has no admitted row: its cutoff lies before rank 1.
     position = F.struct(F.col(arrival), F.col(request_id))
-    cutoffs = (
-        cutoffs.withColumn("_last", last)
-        .filter(
-            (F.col("_rank") == F.col("_last")) | ((F.col("_rank") == 1) & (F.col("_last") <= 0))
-        )
-        .select(prefix, "minute", F.when(F.col("_last") > 0, position).alias("_cut"), F.lit(True).alias("_full"))
-    )
-    verdicts = keyed.join(cutoffs, [prefix, "minute"], "left").withColumn(
-        "_ok",
-        F.when(F.col("_full").isNull(), True)
-        .when(F.col("_cut").isNull(), False)
-        .otherwise(position <= F.col("_cut")),
-    )
-    verdicts = verdicts.drop("_cut", "_full")
+    cutoffs = last.select(*keys, "_free", position.alias("_cut"))
+    late = F.col("_cut").isNotNull() & ((F.col("_free") <= 0) | (position > F.col("_cut")))
     return (
-        verdicts.filter("_ok").drop("_ok", "minute"),
-        verdicts.filter("NOT _ok").drop("_ok").withColumn("reason", F.lit("rate_limited")),
+        timed.join(small_side(cutoffs, groups), keys, "left")
+        .withColumn("reason", F.coalesce("reason", F.when(late, F.lit("rate_limited"))))
+        .drop("_minute", "_free", "_cut")
     )
 
 
-def gate_sources(
-    events: DataFrame,
-    sources: DataFrame,
-    batch: str | None = None,
-    source_type: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
+def admit(requests: DataFrame, limit: int = REQUESTS_PER_MINUTE, **options) -> tuple[DataFrame, DataFrame]:
+    """(admitted, throttled) of ``admission_verdicts``."""
+    return split(admission_verdicts(requests, limit, **options))
+
+
+def usable_sources(sources: DataFrame, source_type: str | None = None) -> DataFrame:
+    usable = active(sources).filter("is_active")
+    return usable if source_type is None else usable.filter(F.col("type") == source_type)
+
+
+def gate_verdicts(
+    events: DataFrame, sources: DataFrame, batch: str | None = None, source_type: str | None = None
+) -> DataFrame:
     """Refuse events naming a source that is foreign, deleted, inactive or of another type.
 
-    Events without a source pass. With ``batch``, one bad event rejects its batch.
+    Events without a source pass. With ``batch``, one bad event refuses its batch.
     """
-    usable = active(sources).filter("is_active")
-    if source_type is not None:
-        usable = usable.filter(F.col("type") == source_type)
-    known = usable.select(
+    known = usable_sources(sources, source_type).select(
         F.col("id").alias("data_source_id"), "organization_id", F.lit(True).alias("_known")
     )
     refused = F.col("data_source_id").isNotNull() & F.col("_known").isNull()
@@ -135,12 +140,13 @@ def gate_sources(
         .withColumn("reason", F.when(refused, F.lit("source_not_usable")))
         .select(*events.columns, "reason")
     )
-    if batch:
-        return reject_batches(checked, batch)
-    return (
-        checked.filter("reason IS NULL").drop("reason"),
-        checked.filter("reason IS NOT NULL"),
-    )
+    return whole_batches(checked, batch) if batch else checked
+
+
+def gate_sources(
+    events: DataFrame, sources: DataFrame, batch: str | None = None, source_type: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    return split(gate_verdicts(events, sources, batch, source_type))
 
 
 def role_level(role: Column) -> Column:

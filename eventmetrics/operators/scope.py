@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventmetrics.functions.dates import moment, month_of
 
+# Rows of a few short columns: some tens of megabytes.
+MAX_SMALL_ROWS = 500_000
+
 
 def between(events: DataFrame, low: Column, high: Column) -> DataFrame:
     """Events of ``[low, high]``, both ends included.
@@ -56,11 +59,11 @@ def shared_events(events: DataFrame, dashboards: DataFrame, token: str) -> DataF
     return events.join(shared_scope(dashboards, token), "organization_id", "left_semi")
 
 
-def small_side(table: DataFrame, rows: int, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast of a config-derived table whose counted size is small.
+def small_side(table: DataFrame, rows: int, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast of a derived table whose counted size is small.
 
-    Joins that enlarge or derive config tables make Spark's size estimate a
-    product of their inputs, which would force a shuffle of all events.
+    Spark estimates a derived table by its inputs, often far too large, and
+    would then shuffle all events for the join.
     ``rows`` is a counted upper bound; a larger table gets no hint, and the
     join then shuffles with skew splitting.
     """

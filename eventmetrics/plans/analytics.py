@@ -16,6 +16,11 @@ def overview(spark, sf_dir):
     return plain(ov.overview(sample.events(spark, sf_dir), FIRST, AS_OF))
 
 
+def overview_received(spark, sf_dir):
+    """The same from payloads alone."""
+    return plain(ov.overview(sample.received_events(spark, sf_dir), FIRST, AS_OF))
+
+
 def overview_delta(spark, sf_dir):
     return plain(ov.overview_delta(sample.events(spark, sf_dir), MIDDLE, AS_OF))
 
@@ -103,6 +108,7 @@ SHARE_TOKEN = "share_7"
 
 QUERIES = {
     "overview": overview,
+    "overview_received": overview_received,
     "overview_delta": overview_delta,
     "breakdown": breakdown,
     "breakdown_visitor": breakdown_visitor,
@@ -308,4 +314,5 @@ ORACLES = {
         "ORDER BY ts DESC, id) AS ord, id, ts AS timestamp FROM ev) WHERE ord <= 100"
     ),
 }
+ORACLES["overview_received"] = ORACLES["overview"]
 ORACLES |= {name: series_sql(*spec) for name, spec in SERIES.items()}

@@ -106,46 +106,32 @@ def normalised_events(spark, sf_dir):
 
 
 def key_attribution(spark, sf_dir):
-    accepted, rejected = ac.attribute_keys(
+    verdicts = ac.key_verdicts(
         sample.requests(spark, sf_dir), sample.api_keys(spark, sf_dir), F.col("received_at")
     )
-    columns = ["request_id", "organization_id", "reason"]
-    return (
-        accepted.withColumn("reason", F.lit(None).cast("string"))
-        .select(*columns)
-        .unionByName(rejected.withColumn("organization_id", F.lit(None).cast("string")).select(*columns))
-    )
+    return verdicts.select("request_id", "organization_id", "reason")
 
 
 def admission(spark, sf_dir):
-    admitted, throttled = ac.admit(sample.requests(spark, sf_dir), REQUEST_LIMIT, prefix="caller")
-    return admitted.select("request_id", F.lit(True).alias("admitted")).unionByName(
-        throttled.select("request_id", F.lit(False).alias("admitted"))
-    )
+    verdicts = ac.admission_verdicts(sample.requests(spark, sf_dir), REQUEST_LIMIT, prefix="caller")
+    return verdicts.select("request_id", F.col("reason").isNull().alias("admitted"))
 
 
 def _gated(spark, sf_dir, batch=None):
     raw = table(spark, sf_dir, "events").selectExpr(*GATE_COLUMNS)
-    return ac.gate_sources(raw, sample.data_sources(spark, sf_dir), batch)
+    return ac.gate_verdicts(raw, sample.data_sources(spark, sf_dir), batch)
 
 
 def source_gate(spark, sf_dir):
-    accepted, rejected = _gated(spark, sf_dir)
-    return accepted.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(
-        rejected.select("event_id", "reason")
-    )
+    return _gated(spark, sf_dir).select("event_id", "reason")
 
 
 def source_gate_batch(spark, sf_dir):
-    accepted, rejected = _gated(spark, sf_dir, "batch_id")
-    return accepted.select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(
-        rejected.select("event_id", "reason")
-    )
+    return _gated(spark, sf_dir, "batch_id").select("event_id", "reason")
 
 
 def ingest_receipts(spark, sf_dir):
-    accepted, rejected = _gated(spark, sf_dir)
-    return store.ingest_receipts(accepted, rejected, "batch_id")
+    return store.ingest_receipts(_gated(spark, sf_dir), "batch_id")
 
 
 def partition_gate(spark, sf_dir):

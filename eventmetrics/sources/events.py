@@ -1,12 +1,14 @@
 """Event sources: JSON, CSV and webhook bodies become rows of the event model.
 
-Each reader returns ``(events, rejected)``; ``rejected`` keeps the input columns
-and a ``reason``. New ids come from ``uuid()``, which gives other values when a
-lost task is run again, so write the events once and read them back.
+Checks add a ``reason`` column, NULL for good rows, and ``split`` turns that
+into ``(accepted, rejected)``. New ids come from ``uuid()``, which gives other
+values when a lost task is run again, so write the events once and read them
+back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,7 +34,8 @@ def _first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(failed, F.lit(label)) for failed, label in checks])
 
 
-def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without a ``reason``, and the others."""
     accepted = checked.filter(F.col("reason").isNull()).drop("reason")
     return accepted, checked.filter(F.col("reason").isNotNull())
 
@@ -55,40 +58,46 @@ def _not_an_object(json: Column) -> Column:
     return ~F.ltrim(json).startswith("{") | F.from_json(json, "map<string,string>").isNull()
 
 
-def json_to_events(
-    raw: DataFrame, org: str | Column, as_of: datetime | Column, keep: tuple[str, ...] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """Check and convert rows of ``schema.RAW_EVENTS``; works on a stream as well.
+def event_reason(field: Callable[[str], Column]) -> Column:
+    """Why an event of the JSON source is refused; ``field`` gives its columns by name.
 
-    A missing timestamp becomes ``as_of`` and a missing payload ``{}``; a name
-    outside 1..255 characters, a bad timestamp or id, or a payload that is no
-    object rejects the row. ``keep`` names input columns to carry along.
+    A name outside 1..255 characters, a bad timestamp or id, or a payload that
+    is no object refuses it.
     """
-    now = moment(as_of)
-    org = F.lit(org) if isinstance(org, str) else org
-    corrupt = F.col("_corrupt_record") if "_corrupt_record" in raw.columns else F.lit(None)
-    parsed = parse_iso(F.col("timestamp"))
-    checked = raw.withColumn(
-        "reason",
-        _first_reason(
-            (corrupt.isNotNull(), "not_json"),
-            (F.coalesce(F.length("event_name"), F.lit(0)) == 0, "event_name_missing"),
-            (F.length("event_name") > MAX_NAME_LENGTH, "event_name_too_long"),
-            (F.col("timestamp").isNotNull() & parsed.isNull(), "bad_timestamp"),
-            (~F.col("data_source_id").rlike(UUID_PATTERN), "bad_data_source_id"),
-            (F.col("payload").isNotNull() & _not_an_object(F.col("payload")), "bad_payload"),
-        ),
+    name, ts = field("event_name"), field("timestamp")
+    source, payload = field("data_source_id"), field("payload")
+    return _first_reason(
+        (F.coalesce(F.length(name), F.lit(0)) == 0, "event_name_missing"),
+        (F.length(name) > MAX_NAME_LENGTH, "event_name_too_long"),
+        (ts.isNotNull() & parse_iso(ts).isNull(), "bad_timestamp"),
+        (~source.rlike(UUID_PATTERN), "bad_data_source_id"),
+        (payload.isNotNull() & _not_an_object(payload), "bad_payload"),
     )
-    accepted, rejected = _split(checked)
-    columns = _event_columns(
+
+
+def event_columns(
+    field: Callable[[str], Column], org: Column, now: Column
+) -> list[Column]:
+    """Columns of the event model; a missing time becomes ``now``, a missing payload ``{}``."""
+    return _event_columns(
         org,
-        F.col("data_source_id"),
-        F.col("event_name"),
-        F.coalesce(parsed, now),
-        F.coalesce(F.col("payload"), F.lit("{}")),
+        field("data_source_id"),
+        field("event_name"),
+        F.coalesce(parse_iso(field("timestamp")), now),
+        F.coalesce(field("payload"), F.lit("{}")),
         now,
     )
-    return accepted.select(*columns, *keep), rejected
+
+
+def json_to_events(
+    raw: DataFrame, org: str | Column, as_of: datetime | Column
+) -> tuple[DataFrame, DataFrame]:
+    """Check and convert rows of ``schema.RAW_EVENTS``; works on a stream as well."""
+    corrupt = F.col("_corrupt_record") if "_corrupt_record" in raw.columns else F.lit(None)
+    reason = F.when(corrupt.isNotNull(), F.lit("not_json")).otherwise(event_reason(F.col))
+    accepted, rejected = split(raw.withColumn("reason", reason))
+    org = F.lit(org) if isinstance(org, str) else org
+    return accepted.select(*event_columns(F.col, org, moment(as_of))), rejected
 
 
 def read_json_events(
@@ -190,7 +199,7 @@ def read_webhook_events(
             ),
         )
     )
-    accepted, rejected = _split(checked)
+    accepted, rejected = split(checked)
     name = F.coalesce(F.try_element_at("_map", F.col("_name_key")), F.lit(WEBHOOK_DEFAULT_NAME))
     ts = F.coalesce(parse_iso(F.try_element_at("_map", F.col("_time_key"))), now)
     columns = _event_columns(
@@ -218,7 +227,7 @@ def normalise(
             (F.length("event_name") > MAX_NAME_LENGTH, "event_name_too_long"),
         ),
     )
-    accepted, rejected = reject_batches(checked, batch) if batch else _split(checked)
+    accepted, rejected = split(whole_batches(checked, batch) if batch else checked)
     empty = F.col("payload").isNull() | F.trim("payload").isin("", "null", "[]", '""', "0", "false")
     columns = _event_columns(
         F.col("organization_id"),
@@ -232,22 +241,21 @@ def normalise(
     return accepted.select(*columns), rejected
 
 
-def reject_batches(checked: DataFrame, batch: str) -> tuple[DataFrame, DataFrame]:
-    """Split by ``reason`` so that one bad row rejects all rows of its batch.
+def whole_batches(checked: DataFrame, batch: str) -> DataFrame:
+    """Give every row of a batch with a refused row a ``reason``.
 
-    The bad batch ids are joined back instead of taking a maximum over a
-    window, so a batch of any size is spread over tasks (a skewed batch is
-    split by the adaptive join).
+    The refused batch ids are joined back instead of taking a maximum over a
+    window, so a batch of any size is spread over tasks: its rows are combined
+    before the shuffle, and the adaptive join splits them after it.
     """
-    bad = (
+    refused = (
         checked.filter(F.col("reason").isNotNull())
         .groupBy(batch)
         .agg(F.min("reason").alias("_batch_reason"))
     )
-    accepted = checked.join(bad, batch, "left_anti").drop("reason")
-    rejected = (
-        checked.join(bad, batch)
-        .withColumn("reason", F.coalesce("reason", F.concat(F.lit("batch_"), "_batch_reason")))
+    from_batch = F.concat(F.lit("batch_"), "_batch_reason")
+    return (
+        checked.join(refused, batch, "left")
+        .withColumn("reason", F.coalesce("reason", from_batch))
         .drop("_batch_reason")
     )
-    return accepted, rejected

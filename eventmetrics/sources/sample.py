@@ -142,26 +142,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_events(raw: DataFrame) -> DataFrame:
-    """Rows of the sample ``events`` table (batch or stream) in the event model."""
+def as_events(raw: DataFrame, stored: bool = False) -> DataFrame:
+    """Rows of the sample ``events`` table (batch or stream) in the event model.
+
+    ``stored`` adds the identity columns the event store keeps next to the
+    payload; without them a query parses the payload.
+    """
     ts = F.col("ts").cast("timestamp")
+    visitor = F.col("user_id").cast("string")
+    session = F.concat_ws("-", "user_id", F.date_format(ts, "yyyyMMdd"))
+    k = F.get_json_object("props", "$.k")
     payload = F.to_json(
-        F.struct(
-            F.col("user_id").cast("string").alias("user_id"),
-            F.concat_ws("-", "user_id", F.date_format(ts, "yyyyMMdd")).alias("session_id"),
-            F.get_json_object("props", "$.k").alias("k"),
-        )
+        F.struct(visitor.alias("user_id"), session.alias("session_id"), k.alias("k"))
     )
+    identity = [session.alias("session_id"), visitor.alias("visitor_id")] if stored else []
     return raw.select(
         *[F.expr(c) for c in EVENT_COLUMNS],
         F.lit(None).cast("string").alias("data_source_id"),
         ts.alias("timestamp"),
         payload.alias("payload"),
         ts.alias("created_at"),
+        *identity,
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the store returns them."""
+    return as_events(table(spark, sf_dir, "events"), stored=True)
+
+
+def received_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they arrive, with nothing but the payload to identify them."""
     return as_events(table(spark, sf_dir, "events"))
 
 

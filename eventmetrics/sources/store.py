@@ -101,14 +101,11 @@ def observed(events: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observ
     )
 
 
-def ingest_receipts(accepted: DataFrame, rejected: DataFrame, batch: str) -> DataFrame:
-    """Accepted and rejected rows per batch."""
-    both = accepted.select(batch, F.lit(1).alias("ok")).unionByName(
-        rejected.select(batch, F.lit(0).alias("ok"))
-    )
-    return both.groupBy(batch).agg(
-        F.sum("ok").cast("bigint").alias("accepted"),
-        F.count_if(F.col("ok") == 0).alias("rejected"),
+def ingest_receipts(checked: DataFrame, batch: str) -> DataFrame:
+    """Accepted and refused rows per batch, by their ``reason``."""
+    refused = F.col("reason").isNotNull()
+    return checked.groupBy(batch).agg(
+        F.count_if(~refused).alias("accepted"), F.count_if(refused).alias("rejected")
     )
 
 

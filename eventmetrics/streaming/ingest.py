@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventmetrics import schema
 from eventmetrics.operators import access as ac
 from eventmetrics.sources import events as src
 from eventmetrics.sources.store import write_events
@@ -15,22 +14,17 @@ from eventmetrics.sources.store import write_events
 Loader = Callable[[SparkSession], DataFrame]
 
 # A body is one event or a list of events.
-BODY = f"array<struct<{schema.RAW_EVENTS.replace(', _corrupt_record string', '').replace(' string', ': string')}>>"
+FIELDS = ("event_name", "timestamp", "payload", "data_source_id")
+BODY = "array<struct<" + ", ".join(f"{name}: string" for name in FIELDS) + ">>"
 
 
-def request_events(requests: DataFrame) -> DataFrame:
-    """One row per event of a request's ``body``; a body that is no JSON keeps one row."""
-    body = F.col("body")
+def parsed_body(body: Column) -> Column:
+    """The events of a request body; NULL when it is no JSON or has no event."""
     listed = F.when(F.ltrim(body).startswith("["), body).otherwise(
         F.concat(F.lit("["), body, F.lit("]"))
     )
-    parsed = F.from_json(listed, BODY)
-    return (
-        requests.withColumn("_event", F.explode_outer(parsed))
-        .withColumn("_corrupt_record", F.when(F.col("_event").isNull(), body))
-        .select("*", "_event.*")
-        .drop("_event")
-    )
+    events = F.from_json(listed, BODY)
+    return F.when(F.size(events) > 0, events)
 
 
 def process(
@@ -39,35 +33,47 @@ def process(
     sources: DataFrame,
     used: DataFrame | None = None,
     limit: int = ac.REQUESTS_PER_MINUTE,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Run all checks on raw requests (``request_id``, ``api_key``, ``received_at``, ``body``).
 
-    Returns (events, rejected). One bad event or source rejects its request,
-    and rejected rows carry ``request_id``, ``body`` and ``reason``.
+    Returns one row per event of accepted requests, in the event model, and
+    one row per refused request; both carry ``request_id`` and ``reason``,
+    refused ones also ``body``.
+
+    One bad event or source refuses its whole request. That is decided on the
+    request's list of events before it is unrolled, so it needs no grouping.
     """
-    arrived = F.col("received_at")
-    known, unknown = ac.attribute_keys(batch, api_keys, arrived)
-    admitted, throttled = ac.admit(known, limit, used=used)
-    raw = request_events(admitted)
-    checked_events, bad_events = src.json_to_events(
-        raw, F.col("organization_id"), arrived, keep=("request_id", "body")
+    admitted = ac.admission_verdicts(
+        ac.key_verdicts(batch, api_keys, F.col("received_at")), limit, used=used
     )
-    whole, partial = _whole_requests(checked_events, bad_events)
-    accepted, foreign = ac.gate_sources(whole, sources, batch="request_id")
-    columns = ["request_id", "body", "reason"]
-    rejected = unknown.select(*columns)
-    for part in (throttled, bad_events, partial, foreign):
-        rejected = rejected.unionByName(part.select(*columns))
-    return accepted.drop("request_id", "body"), rejected
-
-
-def _whole_requests(events: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
-    refused = bad.select("request_id").distinct()
-    partial = events.join(refused, "request_id", "left_semi")
-    return (
-        events.join(refused, "request_id", "left_anti"),
-        partial.withColumn("reason", F.lit("batch_bad_event")),
+    usable = (
+        ac.usable_sources(sources)
+        .groupBy("organization_id")
+        .agg(F.collect_set("id").alias("_usable"))
+    )
+    opened = admitted.join(usable, "organization_id", "left").withColumn(
+        "_events", F.when(F.col("reason").isNull(), parsed_body(F.col("body")))
+    )
+    reasons = F.array_compact(F.transform("_events", lambda e: src.event_reason(e.getField)))
+    known = F.coalesce(F.col("_usable"), F.array().cast("array<string>"))
+    foreign = F.exists(
+        "_events",
+        lambda e: e.getField("data_source_id").isNotNull()
+        & ~F.array_contains(known, e.getField("data_source_id")),
+    )
+    reason = F.coalesce(
+        "reason",
+        F.when(F.col("_events").isNull(), F.lit("not_json")),
+        F.try_element_at(reasons, F.lit(1)),
+        F.when(foreign, F.lit("source_not_usable")),
+    )
+    checked = opened.withColumn("reason", reason)
+    unrolled = checked.withColumn(
+        "_event", F.explode_outer(F.when(F.col("reason").isNull(), F.col("_events")))
     )
+    columns = src.event_columns(F.col("_event").getField, F.col("organization_id"), F.col("received_at"))
+    refused_body = F.when(F.col("reason").isNotNull(), F.col("body"))
+    return unrolled.select(*columns, "request_id", refused_body.alias("body"), "reason")
 
 
 def start_ingest(
@@ -90,34 +96,29 @@ def start_ingest(
 
     def run(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        keys, sources = load_keys(spark), load_sources(spark)
-        minutes = (
-            batch.withColumn("key_prefix", F.substring("api_key", 1, ac.KEY_PREFIX_LENGTH))
-            .groupBy("key_prefix", ac.minute_key(F.col("received_at")).alias("minute"))
-        )
+        minute = F.date_trunc("minute", F.col("received_at"))
+        keyed = ac.key_verdicts(batch, load_keys(spark), F.col("received_at"))
         used = None
         if version > 0:
-            oldest = batch.agg(F.min(ac.minute_key(F.col("received_at")))).scalar()
+            oldest = batch.agg(F.min(minute)).scalar()
             used = (
                 spark.read.parquet(f"{path}/counters")
                 .filter((F.col("batch") < version) & (F.col("minute") >= oldest))
                 .groupBy("key_prefix", "minute")
                 .agg(F.sum("requests").alias("used"))
             )
-        accepted, rejected = process(batch, keys, sources, used, limit)
-        staged = accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(
-            rejected, allowMissingColumns=True
-        )
         staging = f"{path}/staging/slot={version % 2}"
-        staged.write.mode("overwrite").parquet(staging)
+        process(batch, load_keys(spark), load_sources(spark), used, limit).write.mode(
+            "overwrite"
+        ).parquet(staging)
         outcome = spark.read.parquet(staging)
-        stored = outcome.filter(F.col("reason").isNull()).drop("reason", "request_id", "body")
-        write_events(stored, f"{path}/events", batch=version)
+        accepted = outcome.filter(F.col("reason").isNull())
+        write_events(accepted.drop("reason", "request_id", "body"), f"{path}/events", batch=version)
         refused = outcome.filter(F.col("reason").isNotNull()).select("request_id", "body", "reason")
         refused.write.mode("overwrite").parquet(f"{path}/rejected/batch={version}")
-        minutes.agg(F.count(F.lit(1)).alias("requests")).write.mode("overwrite").parquet(
-            f"{path}/counters/batch={version}"
-        )
+        keyed.filter(F.col("reason").isNull()).groupBy("key_prefix", minute.alias("minute")).agg(
+            F.count(F.lit(1)).alias("requests")
+        ).write.mode("overwrite").parquet(f"{path}/counters/batch={version}")
 
     return (
         raw.writeStream.foreachBatch(run)
