@@ -30,8 +30,9 @@ ROLLUP_SQL = (
     "FROM daily GROUP BY day, ROLLUP (event_name)"
 )
 JOIN_SQL = (
-    "SELECT r.metric_type, count(DISTINCT r.id) AS rules, count(DISTINCT e.event_name) AS names FROM alert_rules r "
-    "JOIN events e ON e.organization_id = r.organization_id GROUP BY r.metric_type HAVING count(*) > 1"
+    "SELECT r.metric_type, count(DISTINCT r.id) AS rules, max(e.names) AS names FROM alert_rules r "
+    "JOIN (SELECT organization_id, count(DISTINCT event_name) AS names FROM events GROUP BY ALL) e "
+    "ON e.organization_id = r.organization_id GROUP BY r.metric_type HAVING count(*) > 1"
 )
 
 
@@ -104,6 +105,6 @@ ORACLES = {
     "adhoc_join": (
         f"WITH {EV}, {RULES} SELECT metric_type, count(DISTINCT id) AS rules, "
         "(SELECT count(DISTINCT event_name) FROM ev WHERE organization_id = 'org_3') AS names "
-        "FROM rules WHERE organization_id = 'org_3' GROUP BY metric_type"
+        "FROM rules WHERE organization_id = 'org_3' GROUP BY metric_type HAVING count(*) > 1"
     ),
 }
