@@ -184,20 +184,28 @@ def _result(
     )
 
 
-def kpi_results(totals: DataFrame) -> DataFrame:
-    """Value and change of every overview metric from ``overview_for_ranges``."""
+def kpi_results(events: DataFrame, ranges: DataFrame, earliest: int, latest: int) -> DataFrame:
+    """Value and change of every overview metric."""
     lines = F.array(
         *[
             F.struct(
-                F.lit(i + 1).alias("ord"),
                 F.lit(m).alias("metric"),
                 F.col(m).cast("double").alias("value"),
                 F.col(f"{m}_change").alias("change"),
             )
-            for i, m in enumerate(OVERVIEW_METRICS)
+            for m in OVERVIEW_METRICS
         ]
     )
-    return totals.select(*RANGE, F.inline(lines))
+    totals = overview_for_ranges(events, ranges, earliest, latest)
+    return _result(
+        totals.select(*RANGE, F.inline(lines)),
+        F.concat_ws(":", F.lit("kpi"), "metric"),
+        F.lit("kpi"),
+        F.lit(1),
+        F.col("metric"),
+        F.col("value"),
+        F.col("change"),
+    )
 
 
 def series_results(events: DataFrame, asked: DataFrame, earliest: Column, latest: Column) -> DataFrame:
@@ -219,16 +227,25 @@ def series_results(events: DataFrame, asked: DataFrame, earliest: Column, latest
 
 
 def breakdown_results(
-    events: DataFrame, asked: DataFrame, limit: int, earliest: Column, latest: Column
+    events: DataFrame, asked: DataFrame, rows: int, limit: int, earliest: Column, latest: Column
 ) -> DataFrame:
     """Top labels of each asked property with their share of all rows.
 
-    An event is repeated only for the properties its tenant asks for.
+    Each event meets one row holding all that its tenant asks for, so its
+    payload is parsed once; it is then repeated for the asked ranges and
+    properties it counts in.
     """
     by = [*RANGE, "property"]
+    per_org = asked.groupBy("organization_id").agg(
+        F.collect_set(F.struct("range_start", "range_end", "property")).alias("_asked")
+    )
     counted = (
-        _in_range(events, asked, earliest, latest)
-        .withColumn("label", label_of(F.try_element_at(properties(), F.col("property"))))
+        between(events, earliest, latest)
+        .join(small_side(per_org, rows), "organization_id")
+        .select("organization_id", "timestamp", properties().alias("_properties"), "_asked")
+        .select("organization_id", "timestamp", "_properties", F.inline("_asked"))
+        .filter(F.col("timestamp").between(F.col("range_start"), F.col("range_end")))
+        .withColumn("label", label_of(F.try_element_at("_properties", F.col("property"))))
         .groupBy(*by, "label")
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -244,7 +261,7 @@ def breakdown_results(
 
 
 def evaluate_widgets(
-    events: DataFrame, requests: DataFrame, keys: list[str], totals: DataFrame | None = None
+    events: DataFrame, requests: DataFrame, keys: list[str]
 ) -> DataFrame:
     """All widgets as one long table (``keys``, section, ord, label, value, extra).
 
@@ -253,7 +270,7 @@ def evaluate_widgets(
     Every distinct KPI, series and breakdown is computed once per tenant and
     range and then joined to the widgets asking for it. Widgets of an unknown
     type, a wrong series or without data give one notice row and do not fail
-    the others. ``totals`` may pass an ``overview_for_ranges`` computed already.
+    the others.
     """
     asked = requests.withColumn("request", _request_key())
     rows, limit, first, last = range_bounds(requests)
@@ -261,24 +278,14 @@ def evaluate_widgets(
 
     def wanted(kind: str, *columns: str) -> DataFrame:
         distinct = asked.filter(F.col("request").startswith(f"{kind}:")).select(*RANGE, *columns)
-        return small_side(distinct.distinct(), rows)
+        return distinct.distinct()
 
-    if totals is None:
-        totals = overview_for_ranges(events, wanted("kpi"), 2 * first - last, last)
-    kpis = _result(
-        kpi_results(totals),
-        F.concat_ws(":", F.lit("kpi"), "metric"),
-        F.lit("kpi"),
-        F.lit(1),
-        F.col("metric"),
-        F.col("value"),
-        F.col("change"),
-    )
-    results = kpis.unionByName(
-        series_results(events, wanted("series", "interval"), earliest, latest)
-    ).unionByName(
-        breakdown_results(events, wanted("breakdown", "property"), max(limit, 1), earliest, latest)
+    kpis = kpi_results(events, small_side(wanted("kpi"), rows), 2 * first - last, last)
+    series = series_results(events, small_side(wanted("series", "interval"), rows), earliest, latest)
+    labels = breakdown_results(
+        events, wanted("breakdown", "property"), rows, max(limit, 1), earliest, latest
     )
+    results = kpis.unionByName(series).unionByName(labels)
     found = asked.join(results, [*RANGE, "request"], "left").filter(
         F.col("section").isNull() | (F.col("section") != "breakdown") | (F.col("ord") <= F.col("limit"))
     )

@@ -7,15 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmetrics.functions.dates import MICROS, moment
-from eventmetrics.operators.dashboards import (
-    RANGE,
-    evaluate_widgets,
-    kpi_results,
-    range_bounds,
-    widget_requests,
-)
-from eventmetrics.operators.overview import overview_for_ranges
-from eventmetrics.operators.scope import active, page, small_side
+from eventmetrics.operators.dashboards import RANGE, evaluate_widgets, widget_requests
+from eventmetrics.operators.overview import OVERVIEW_METRICS
+from eventmetrics.operators.scope import active, page
 
 # Hours between runs, days covered and label per frequency; any
 # other frequency is treated like a daily one.
@@ -105,8 +99,8 @@ def report_sections(
 ) -> DataFrame:
     """Contents of all due reports: the overview and every widget, as one long table.
 
-    The totals of each (tenant, range) serve both the overview and the KPI
-    widgets; Spark runs their plan once.
+    The overview is asked for like four more KPI widgets (without a widget
+    id), so each tenant's totals are computed once for both.
     """
     resolved = with_dashboard(with_window(due, as_of), dashboards).withColumnRenamed(
         "id", "schedule_id"
@@ -114,26 +108,26 @@ def report_sections(
     parts = active(widgets).select(
         F.col("id").alias("widget_id"), "dashboard_id", "type", "query_config"
     )
-    placed = resolved.select("schedule_id", "dashboard_id", *RANGE).join(parts, "dashboard_id")
-    schedules, _, first, last = range_bounds(resolved)
-    ranges = small_side(resolved.select(*RANGE).distinct(), schedules)
-    totals = overview_for_ranges(events, ranges, 2 * first - last, last)
-    overview = (
-        resolved.select("schedule_id", *RANGE)
-        .join(kpi_results(totals), RANGE)
-        .select(
-            "organization_id",
-            "schedule_id",
-            F.lit(None).cast("string").alias("widget_id"),
-            F.lit("overview").alias("section"),
-            F.col("ord").cast("bigint").alias("ord"),
-            F.col("metric").alias("label"),
-            "value",
-            F.col("change").alias("extra"),
-        )
+    columns = ["schedule_id", *RANGE, "widget_id", "type", "query_config"]
+    configs = F.array(*[F.lit(f'{{"metric_type":"{m}"}}') for m in OVERVIEW_METRICS])
+    summary = resolved.select(
+        "schedule_id",
+        *RANGE,
+        F.lit(None).cast("string").alias("widget_id"),
+        F.lit("kpi").alias("type"),
+        F.explode(configs).alias("query_config"),
     )
+    placed = resolved.join(parts, "dashboard_id").select(*columns).unionByName(summary)
     keys = ["organization_id", "schedule_id", "widget_id"]
-    return overview.unionByName(evaluate_widgets(events, widget_requests(placed), keys, totals))
+    sections = evaluate_widgets(events, widget_requests(placed), keys)
+    is_summary = F.col("widget_id").isNull()
+    position = F.array_position(F.array(*[F.lit(m) for m in OVERVIEW_METRICS]), F.col("label"))
+    return sections.withColumns(
+        {
+            "section": F.when(is_summary, F.lit("overview")).otherwise(F.col("section")),
+            "ord": F.when(is_summary, position).otherwise(F.col("ord")),
+        }
+    )
 
 
 def write_reports(sections: DataFrame, path: str) -> None:

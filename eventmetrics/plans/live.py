@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eventmetrics.operators import alerts as al
 from eventmetrics.plans.alerting import SWEEP
 from eventmetrics.plans.common import AS_OF, EV, cte, plain, r6
-from eventmetrics.session import work_dir
+from eventmetrics.session import stream_session, work_dir
 from eventmetrics.sources import sample, store
 from eventmetrics.sources.sample import table
 from eventmetrics.streaming import alerts as sa
@@ -26,7 +26,7 @@ def _metrics(interval):
     def query(spark, sf_dir):
         path = work_dir(spark, f"metrics-{interval}")
         sm.start_metrics(
-            sample.event_stream(spark, sf_dir),
+            sample.event_stream(stream_session(spark), sf_dir),
             interval,
             f"{path}/out",
             f"{path}/checkpoint",
@@ -85,7 +85,7 @@ def live_tail(spark, sf_dir):
 def running_counts(spark, sf_dir):
     path = work_dir(spark, "counts")
     fd.start_running_counts(
-        fd.event_feed(sample.event_stream(spark, sf_dir)),
+        fd.event_feed(sample.event_stream(stream_session(spark), sf_dir)),
         f"{path}/counts",
         f"{path}/checkpoint",
         availableNow=True,

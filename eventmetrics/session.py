@@ -35,6 +35,19 @@ def build_session(app: str = "eventmetrics", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session for stateful streams: RocksDB state, one state partition per core.
+
+    The number of state partitions is fixed by the first run of a checkpoint,
+    so it follows the cluster and not the setting tuned for batch queries.
+    """
+    session = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
+        session.conf.set(key, SETTINGS[key])
+    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return session
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the one all executors share.
 
