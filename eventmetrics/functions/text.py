@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from eventmetrics.functions.numbers import double_text
+
 
 def slug_base(name: Column) -> Column:
     """Lower case, only ``a-z 0-9`` and single inner hyphens; empty becomes ``org``."""
@@ -26,7 +28,8 @@ def unit_suffix(metric: Column) -> Column:
 
 
 def signed_text(change: Column) -> Column:
-    return F.concat(F.when(change >= 0, F.lit("+")).otherwise(F.lit("")), change.cast("string"), F.lit("%"))
+    sign = F.when(change >= 0, F.lit("+")).otherwise(F.lit(""))
+    return F.concat(sign, double_text(change), F.lit("%"))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -10,7 +10,7 @@ from eventmetrics.functions.dates import MICROS, iso_text, moment, seconds_betwe
 from eventmetrics.functions.numbers import double_text, percent
 from eventmetrics.functions.payload import with_identity
 from eventmetrics.operators.overview import keyed_rows
-from eventmetrics.operators.scope import active, between
+from eventmetrics.operators.scope import active, between, page
 
 # Metrics a rule may watch, states, and the message texts.
 RULE_METRICS = (
@@ -22,6 +22,7 @@ RULE_METRICS = (
     "avg_session_duration",
 )
 RESOLVED, TRIGGERED, MUTED = "Resolved", "Triggered", "Muted"
+RECENT = 15
 
 EMAIL_TRIGGER_SUBJECT = "🚨 ALERT TRIGGERED: %s"
 EMAIL_TRIGGER_BODY = (
@@ -257,6 +258,12 @@ def step(
     return next_rules(evaluated, rules.columns), transitions(evaluated, as_of)
 
 
+def list_history(histories: DataFrame, org: str, skip: int = 0, limit: int = RECENT) -> DataFrame:
+    """One tenant's history, newest first."""
+    rows = histories.filter(F.col("organization_id") == org)
+    return page(rows, F.desc("created_at"), F.asc("alert_rule_id"), skip=skip, limit=limit)
+
+
 def sweep_counts(evaluated: DataFrame) -> DataFrame:
     """Rules evaluated and transitions made in a sweep."""
     return evaluated.agg(

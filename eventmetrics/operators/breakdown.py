@@ -20,24 +20,37 @@ def check_limit(limit: int) -> int:
     return limit
 
 
+def label_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows per (``by``, label), and per ``by`` alone as ``is_total``, from one scan."""
+    return rows.groupingSets([[*by, "label"], by], *by, "label").agg(
+        (F.grouping("label") == 1).alias("is_total"), F.count(F.lit(1)).alias("count")
+    )
+
+
 def top_labels(counts: DataFrame, by: list[str], limit: int) -> DataFrame:
     """The ``limit`` most frequent labels per group with their share of all rows.
 
-    ``counts`` has one row per (``by``, label). A property may have as many
-    labels as there are events, so nothing here gathers a whole group in one
-    task: the rank filter prunes to ``limit`` rows per task before its
-    shuffle, and the group total is a separate partial sum over the same
-    shuffled counts instead of a window over the group.
+    A property may have as many labels as there are events, so nothing here
+    gathers a whole group in one task: the rank filter prunes to a few rows
+    per task before its shuffle, and the total is one of these rows, ranked
+    first, instead of a sum over a window.
     """
-    order = Window.partitionBy(*by).orderBy(F.desc("count"), F.asc("label"))
-    top = counts.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= limit)
-    whole = counts.groupBy(*by).agg(F.sum("count").alias("_total"))
-    return top.join(whole, by).select(
-        *by,
-        F.col("ord").cast("bigint").alias("ord"),
-        "label",
-        "count",
-        percent(F.col("count"), F.col("_total")).alias("percentage"),
+    group = Window.partitionBy(*by)
+    order = group.orderBy(F.desc("is_total"), F.desc("count"), F.asc("label"))
+    top = counts.withColumn("_rank", F.row_number().over(order)).filter(
+        F.col("_rank") <= limit + 1
+    )
+    total = F.max(F.when(F.col("is_total"), F.col("count"))).over(group)
+    return (
+        top.withColumn("_total", total)
+        .filter(~F.col("is_total"))
+        .select(
+            *by,
+            (F.col("_rank") - 1).cast("bigint").alias("ord"),
+            "label",
+            "count",
+            percent(F.col("count"), F.col("_total")).alias("percentage"),
+        )
     )
 
 
@@ -50,12 +63,8 @@ def breakdown(
 ) -> DataFrame:
     """Top values of one payload property per tenant."""
     check_limit(limit)
-    counts = (
-        scope(events, start, end)
-        .groupBy("organization_id", label_of(prop(key)).alias("label"))
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    return top_labels(counts, ["organization_id"], limit)
+    labelled = scope(events, start, end).select("organization_id", label_of(prop(key)).alias("label"))
+    return top_labels(label_counts(labelled, ["organization_id"]), ["organization_id"], limit)
 
 
 def top_share(top: DataFrame, by: tuple[str, ...] = ("organization_id",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventmetrics.functions.dates import INTERVALS, METRICS, moment
 from eventmetrics.functions.payload import properties
-from eventmetrics.operators.breakdown import label_of, top_labels, top_share
+from eventmetrics.operators.breakdown import label_counts, label_of, top_labels, top_share
 from eventmetrics.operators.overview import OVERVIEW_METRICS, overview_for_ranges
 from eventmetrics.operators.scope import active, between, small_side
 from eventmetrics.operators.series import all_metric_points, chart_rows
@@ -239,18 +239,16 @@ def breakdown_results(
     per_org = asked.groupBy("organization_id").agg(
         F.collect_set(F.struct("range_start", "range_end", "property")).alias("_asked")
     )
-    counted = (
+    labelled = (
         between(events, earliest, latest)
         .join(small_side(per_org, rows), "organization_id")
         .select("organization_id", "timestamp", properties().alias("_properties"), "_asked")
         .select("organization_id", "timestamp", "_properties", F.inline("_asked"))
         .filter(F.col("timestamp").between(F.col("range_start"), F.col("range_end")))
-        .withColumn("label", label_of(F.try_element_at("_properties", F.col("property"))))
-        .groupBy(*by, "label")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .select(*by, label_of(F.try_element_at("_properties", F.col("property"))).alias("label"))
     )
     return _result(
-        top_labels(counted, by, limit),
+        top_labels(label_counts(labelled, by), by, limit),
         F.concat_ws(":", F.lit("breakdown"), "property"),
         F.lit("breakdown"),
         F.col("ord"),

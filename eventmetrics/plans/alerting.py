@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventmetrics.functions.dates import bucket
 from eventmetrics.operators import alerts as al
-from eventmetrics.operators.series import timeseries
+from eventmetrics.operators.scope import scope
+from eventmetrics.operators.series import all_metric_points
 from eventmetrics.plans.analytics import points_sql
 from eventmetrics.plans.common import AS_OF, EV, FIRST, RULES, plain, r6
 from eventmetrics.sources import sample
@@ -33,10 +35,11 @@ def alert_transitions(spark, sf_dir):
 
 
 def alert_messages(spark, sf_dir):
-    changed = al.with_messages(_sweep(spark, sf_dir).filter(F.col("transition").isNotNull()))
+    # Averages have digits in which the two engines differ; messages print rounded ones here.
+    changed = _sweep(spark, sf_dir).filter(F.col("transition").isNotNull())
+    drafted = al.with_messages(plain(changed))
     draft, chat = F.col("email_draft"), F.col("slack_payload")
-    # Average durations have unrounded digits, which the two engines may print differently.
-    return changed.filter(F.col("metric_type").isin("page_views", "error_count", "unique_visitors")).select(
+    return drafted.select(
         "id",
         draft["recipient"].alias("recipient"),
         draft["subject"].alias("subject"),
@@ -101,30 +104,30 @@ def alert_snooze_history(spark, sf_dir):
     return plain(history)
 
 
-def _ticks(spark, sf_dir, interval, divisor):
-    """One sweep per hour or day with events: its visitors, for the rules watching them."""
-    events = sample.events(spark, sf_dir)
-    rules = sample.alert_rules(spark, sf_dir).filter(F.col("metric_type") == "unique_visitors")
-    rules = rules.withColumn("threshold", F.col("threshold") / divisor)
-    hours = timeseries(events, "unique_visitors", interval, FIRST, AS_OF).select(
-        "organization_id", F.col("bucket").alias("at"), "value"
-    )
-    ticks = rules.select(F.col("id").alias("alert_rule_id"), "organization_id").join(
-        hours, "organization_id"
-    )
+def _ticks(spark, sf_dir):
+    """One sweep per day: the day's value of each rule's metric, where it has a series."""
+    daily = scope(sample.events(spark, sf_dir), FIRST, AS_OF).withColumn("at", bucket("day"))
+    points = all_metric_points(daily, ["organization_id", "at"])
+    rules = sample.alert_rules(spark, sf_dir)
+    ticks = rules.select(
+        F.col("id").alias("alert_rule_id"), "organization_id", F.col("metric_type").alias("metric")
+    ).join(points, ["organization_id", "metric"])
     return rules, ticks
 
 
 def alert_replay(spark, sf_dir):
-    rules, ticks = _ticks(spark, sf_dir, "hour", 10.0)
-    rules = rules.withColumns({"current_state": F.lit("Resolved"), "muted_until": F.lit(None).cast("timestamp")})
+    """Without mutes: every rule starts resolved."""
+    rules, ticks = _ticks(spark, sf_dir)
+    rules = rules.withColumns(
+        {"current_state": F.lit("Resolved"), "muted_until": F.lit(None).cast("timestamp")}
+    )
     replayed = al.replay(rules, ticks)
     return plain(replayed.select("alert_rule_id", "at", "state_after", "history"))
 
 
 def alert_replay_muted(spark, sf_dir):
-    """Daily sweeps with each rule snoozed for 5 days at noon of the second and fifteenth day."""
-    rules, ticks = _ticks(spark, sf_dir, "day", 1.0)
+    """From the stored states, with a snooze of 5 days at noon of the second and fifteenth day."""
+    rules, ticks = _ticks(spark, sf_dir)
     noon = F.array(*[F.lit(f"2024-01-{d} 12:00:00").cast("timestamp") for d in ("02", "15")])
     snoozes = rules.select(
         F.col("id").alias("alert_rule_id"), F.explode(noon).alias("at"), F.lit(7200).alias("snooze_minutes")
@@ -135,6 +138,12 @@ def alert_replay_muted(spark, sf_dir):
     )
 
 
+def alert_history_page(spark, sf_dir):
+    """The newest history rows of one tenant."""
+    history = al.transitions(_sweep(spark, sf_dir), AS_OF)
+    return plain(al.list_history(history, "org_1").select("alert_rule_id", "state", "created_at"))
+
+
 QUERIES = {
     "alert_values": alert_values,
     "alert_states": alert_states,
@@ -143,6 +152,7 @@ QUERIES = {
     "alert_messages": alert_messages,
     "alert_sweep_counts": alert_sweep_counts,
     "alert_feed": alert_feed,
+    "alert_history_page": alert_history_page,
     "alert_snooze": alert_snooze,
     "alert_snooze_history": alert_snooze_history,
     "alert_replay": alert_replay,
@@ -221,23 +231,24 @@ def _either(trigger: str, resolve: str) -> str:
 
 
 
-def _ticks_sql(interval: str, divisor: str) -> str:
-    return (
-        f"{EV}, {RULES}, h AS ({points_sql('unique_visitors', interval)}), "
-        "r AS (SELECT * FROM rules WHERE metric_type = 'unique_visitors'), "
-        "t AS (SELECT r.id AS alert_rule_id, h.bucket AS \"at\", "
-        + _VIOLATED.format(v="h.value", t=f"(r.threshold / {divisor})")
-        + " AS viol FROM r JOIN h USING (organization_id))"
+_SERIES_METRICS = ("page_views", "unique_visitors", "bounce_rate", "avg_session_duration")
+TICKS = (
+    f"{EV}, {RULES}, h AS ("
+    + " UNION ALL ".join(
+        f"SELECT *, '{m}' AS metric_type FROM ({points_sql(m, 'day')})" for m in _SERIES_METRICS
     )
-
+    + "), t AS (SELECT r.id AS alert_rule_id, h.bucket AS \"at\", "
+    + _VIOLATED.format(v="h.value", t="r.threshold")
+    + " AS viol FROM rules r JOIN h USING (organization_id, metric_type))"
+)
 
 # With mutes: the state machine as a recursion over the numbered inputs of a rule.
-_MUTED_REPLAY = f"""WITH RECURSIVE {_ticks_sql('day', '1.0')},
+_MUTED_REPLAY = f"""WITH RECURSIVE {TICKS},
   inp AS (SELECT alert_rule_id, "at", 1 AS tick, viol FROM t UNION ALL
-          SELECT id, unnest([TIMESTAMP '2024-01-02 12:00:00', TIMESTAMP '2024-01-15 12:00:00']), 0, NULL FROM r),
+          SELECT id, unnest([TIMESTAMP '2024-01-02 12:00:00', TIMESTAMP '2024-01-15 12:00:00']), 0, NULL FROM rules),
   num AS (SELECT *, row_number() OVER (PARTITION BY alert_rule_id ORDER BY "at", tick) AS n FROM inp),
   run(alert_rule_id, n, "at", tick, before, after, until, history) AS (
-    SELECT id, cast(0 AS bigint), NULL::timestamp, 1, ''::varchar, current_state, muted_until, NULL::varchar FROM r
+    SELECT id, cast(0 AS bigint), NULL::timestamp, 1, ''::varchar, current_state, muted_until, NULL::varchar FROM rules
     UNION ALL
     SELECT m.alert_rule_id, m.n, m."at", m.tick, p.after,
       CASE WHEN m.tick = 0 THEN 'Muted'
@@ -283,12 +294,16 @@ ORACLES = {
         + _either(_message(al.CHAT_TRIGGER_TEXT, "name", _V, _T), _message(al.CHAT_RESOLVE_TEXT, "name", _V))
         + " END AS chat_text, CASE WHEN slack_webhook IS NOT NULL THEN "
         + _either(_message(al.CHAT_TRIGGER_BLOCK, *_ARGS), _message(al.CHAT_RESOLVE_BLOCK, *_SHORT))
-        + " END AS chat_block FROM sw WHERE transition IS NOT NULL "
-        "AND metric_type IN ('page_views', 'error_count', 'unique_visitors')"
+        + f" END AS chat_block FROM (SELECT * REPLACE ({r6('value')} AS value) FROM sw) "
+        "WHERE transition IS NOT NULL"
     ),
     "alert_sweep_counts": (
         f"WITH {SWEEP} SELECT count(*) FILTER (judged) AS evaluated, count(transition) AS transitions FROM sw"
     ),
+    "alert_history_page": (
+        f"WITH {SWEEP} SELECT id AS alert_rule_id, transition AS state, TIMESTAMP '2024-01-31' AS created_at "
+        "FROM sw WHERE transition IS NOT NULL AND organization_id = 'org_1' ORDER BY id LIMIT 15"
+    ),
     "alert_feed": (
         f"WITH {SWEEP} SELECT organization_id, 'alert' AS type, id AS rule_id, name AS rule_name, "
         "transition AS state, metric_type, threshold, '2024-01-31T00:00:00+00:00' AS timestamp "
@@ -308,7 +323,7 @@ ORACLES = {
         "FROM rules WHERE current_state = 'Triggered' AND NOT is_deleted"
     ),
     "alert_replay": (
-        f"WITH {_ticks_sql('hour', '10.0')}, s AS (SELECT *, coalesce(lag(viol) OVER (PARTITION BY alert_rule_id ORDER BY \"at\"), "
+        f"WITH {TICKS}, s AS (SELECT *, coalesce(lag(viol) OVER (PARTITION BY alert_rule_id ORDER BY \"at\"), "
         "false) AS was FROM t) SELECT alert_rule_id, \"at\", CASE WHEN viol THEN 'Triggered' ELSE 'Resolved' END "
         "AS state_after, CASE WHEN viol AND NOT was THEN 'Triggered' WHEN was AND NOT viol THEN 'Resolved' END "
         "AS history FROM s"

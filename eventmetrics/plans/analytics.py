@@ -52,13 +52,8 @@ def breakdown_top_share(spark, sf_dir):
 
 def chart_merge(spark, sf_dir):
     events = sample.events(spark, sf_dir)
-    # Errors and sign-ups do not share all hours, so both sides have gaps.
-    views = se.timeseries(
-        events.filter(F.col("event_name").isin("page_view", "error")), "page_views", "hour", FIRST, AS_OF
-    )
-    visitors = se.timeseries(
-        events.filter(F.col("event_name") == "signup"), "unique_visitors", "hour", FIRST, AS_OF
-    )
+    views = se.timeseries(events, "page_views", "hour", FIRST, AS_OF)
+    visitors = se.timeseries(events, "unique_visitors", "hour", FIRST, AS_OF)
     return plain(se.chart_merge(views, visitors, "page_views", "unique_visitors"))
 
 
@@ -264,13 +259,9 @@ ORACLES = {
         f"AS share FROM ({breakdown_sql('k', 5)})"
     ),
     "chart_merge": (
-        f"WITH {EV}, a AS (SELECT organization_id, date_trunc('hour', ts) AS bucket, "
-        "cast(count(*) FILTER (event_name = 'page_view') AS double) AS v FROM ev "
-        "WHERE event_name IN ('page_view', 'error') GROUP BY ALL), "
-        "b AS (SELECT organization_id, date_trunc('hour', ts) AS bucket, "
-        "cast(count(DISTINCT visitor_id) AS double) AS v FROM ev WHERE event_name = 'signup' GROUP BY ALL) "
-        "SELECT organization_id, cast(bucket AS timestamp) AS bucket, coalesce(a.v, 0) AS page_views, "
-        "coalesce(b.v, 0) AS unique_visitors FROM a FULL JOIN b USING (organization_id, bucket)"
+        f"WITH {EV}, a AS ({points_sql('page_views', 'hour')}), b AS ({points_sql('unique_visitors', 'hour')}) "
+        "SELECT organization_id, bucket, coalesce(a.value, 0) AS page_views, coalesce(b.value, 0) AS unique_visitors "
+        "FROM a FULL JOIN b USING (organization_id, bucket)"
     ),
     "tail_points": (
         f"WITH s AS ({series_sql('unique_visitors', 'day')}), "
