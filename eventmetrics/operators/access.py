@@ -98,12 +98,16 @@ def admission_verdicts(
     )
     groups = busy.limit(MAX_SMALL_ROWS + 1).count()
     order = Window.partitionBy(*keys).orderBy(arrival, request_id)
-    last = (
-        counted.join(small_side(busy, groups), keys)
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= limit)
-        .filter(F.col("_rank") == F.greatest(F.col("_free"), F.lit(1)))
-    )
+
+    def first_ones(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit)
+
+    if groups <= MAX_SMALL_ROWS:
+        ranked = first_ones(counted.join(F.broadcast(busy), keys))
+    else:
+        # Joining first would shuffle whole key-minutes; ranking first cuts them per task.
+        ranked = first_ones(counted).join(busy, keys)
+    last = ranked.filter(F.col("_rank") == F.greatest(F.col("_free"), F.lit(1)))
     position = F.struct(F.col(arrival), F.col(request_id))
     cutoffs = last.select(*keys, "_free", position.alias("_cut"))
     late = F.col("_cut").isNotNull() & ((F.col("_free") <= 0) | (position > F.col("_cut")))

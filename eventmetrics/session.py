@@ -20,6 +20,8 @@ SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.ui.enabled": "false",
+    # Recording the Python line of every column call costs several round trips each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -247,8 +247,10 @@ def test_admission_counts_earlier_requests(spark):
     assert rows(admitted, "request_id") == [("p0",), ("r0",), ("r1",), ("r2",), ("s0",), ("s1",), ("s2",)]
 
 
-def test_admission_of_one_hot_minute(spark):
+@pytest.mark.parametrize("max_small", [500_000, 0])
+def test_admission_of_one_hot_minute(spark, monkeypatch, max_small):
     """One key-minute with nearly all requests, arriving at few distinct times."""
+    monkeypatch.setattr(ac, "MAX_SMALL_ROWS", max_small)
     base = utc(2026, 5, 21, 12, 0)
     raw = (
         spark.range(30_000)

@@ -24,3 +24,34 @@ def test_contract(spark):
 def test_query(spark, con, name):
     found = oracle.compare(spark, con, queries()[name], oracle_sql()[name], SF_DIR)
     assert found == "" or (name in MAY_BE_EMPTY and found == "both sides are empty")
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "overview_delta",
+        "ts_bounce_rate_hour",
+        "breakdown",
+        "alert_values",
+        "alert_replay_muted",
+        "widget_results",
+        "report_sections",
+        "key_attribution",
+        "admission",
+        "source_gate_batch",
+        "statement_screen",
+    ],
+)
+def test_plan_has_no_cross_join_and_no_python(spark, name):
+    plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
+        assert operator not in plan
+
+
+def test_plans_reach_the_scan(spark):
+    plan = queries()["overview_delta"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
+    assert "props" not in plan.split("ReadSchema")[1]
+    top = queries()["breakdown"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert top.count("FileScan") == 1 and "WindowGroupLimit" in top

@@ -2,7 +2,7 @@ import json
 from datetime import timedelta
 
 import pytest
-from helpers import AS_OF, ago, event, events, local, rows, rule, rules, utc
+from helpers import AS_OF, event, events, local, rows, rule, rules, utc
 from pyspark.sql import functions as F
 from test_ingest import key
 
