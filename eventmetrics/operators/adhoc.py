@@ -32,17 +32,18 @@ def screen(statements: DataFrame, column: str = "sql") -> DataFrame:
 
     Comments are removed first, even inside literals, and words are matched
     wherever they occur; ``analyze`` passes in a statement that says
-    ``explain``. One expression finds all words, so a text is read once.
+    ``explain``. One expression finds all words in one reading, and only in
+    texts that start like a query.
     """
     text = F.regexp_replace(F.col(column), r"(?md)--.*$", "")
     text = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    starts = "|".join(ALLOWED_STARTS)
+    empty = ~F.col("_text").rlike(r"(?U)\S")
+    starts = F.col("_text").rlike(rf"(?iU)^\s*({'|'.join(ALLOWED_STARTS)})\b")
     words = F.regexp_extract_all(
-        F.lower(F.col("_text")), F.lit(rf"(?U)\b({'|'.join(FORBIDDEN_WORDS)}|explain)\b"), F.lit(1)
+        F.lower("_text"), F.lit(rf"(?U)\b({'|'.join(FORBIDDEN_WORDS)}|explain)\b"), F.lit(1)
     )
-    reason: Column = F.when(F.col("_text") == "", F.lit(EMPTY_MESSAGE)).when(
-        ~F.col("_text").rlike(rf"(?iU)^({starts})\b"), F.lit(START_MESSAGE)
+    reason: Column = F.when(empty, F.lit(EMPTY_MESSAGE)).when(
+        F.col("_words").isNull(), F.lit(START_MESSAGE)
     )
     for word in FORBIDDEN_WORDS:
         hit = F.array_contains("_words", word)
@@ -51,7 +52,7 @@ def screen(statements: DataFrame, column: str = "sql") -> DataFrame:
         reason = reason.when(hit, F.lit(WORD_MESSAGE % word.upper()))
     return (
         statements.withColumn("_text", text)
-        .withColumn("_words", words)
+        .withColumn("_words", F.when(starts, words))
         .withColumn("reason", reason)
         .withColumn("accepted", F.col("reason").isNull())
         .drop("_text", "_words")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from eventmetrics import schema
 from eventmetrics.operators import access as ac
 from eventmetrics.sources import events as src
 from eventmetrics.sources.store import write_events
@@ -15,6 +16,7 @@ Loader = Callable[[SparkSession], DataFrame]
 
 # A body is one event or a list of events.
 FIELDS = ("event_name", "timestamp", "payload", "data_source_id")
+EVENT_FIELDS = [column.split()[0] for column in schema.EVENTS.split(", ")]
 BODY = "array<struct<" + ", ".join(f"{name}: string" for name in FIELDS) + ">>"
 
 
@@ -38,14 +40,16 @@ def process(
 
     Returns one row per event of accepted requests, in the event model, and
     one row per refused request; both carry ``request_id`` and ``reason``,
-    refused ones also ``body``.
+    refused ones also ``body``. ``counts`` marks one row of each request that
+    counts against its key's limit.
 
     One bad event or source refuses its whole request. That is decided on the
     request's list of events before it is unrolled, so it needs no grouping.
     """
-    admitted = ac.admission_verdicts(
-        ac.key_verdicts(batch, api_keys, F.col("received_at")), limit, used=used
+    keyed = ac.key_verdicts(batch, api_keys, F.col("received_at")).withColumn(
+        "_counts", F.col("reason").isNull()
     )
+    admitted = ac.admission_verdicts(keyed, limit, used=used)
     usable = (
         ac.usable_sources(sources)
         .groupBy("organization_id")
@@ -68,12 +72,19 @@ def process(
         F.when(foreign, F.lit("source_not_usable")),
     )
     checked = opened.withColumn("reason", reason)
-    unrolled = checked.withColumn(
-        "_event", F.explode_outer(F.when(F.col("reason").isNull(), F.col("_events")))
+    unrolled = checked.select(
+        "*", F.posexplode_outer(F.when(F.col("reason").isNull(), F.col("_events"))).alias("_nth", "_event")
     )
     columns = src.event_columns(F.col("_event").getField, F.col("organization_id"), F.col("received_at"))
-    refused_body = F.when(F.col("reason").isNotNull(), F.col("body"))
-    return unrolled.select(*columns, "request_id", refused_body.alias("body"), "reason")
+    return unrolled.select(
+        *columns,
+        "request_id",
+        F.when(F.col("reason").isNotNull(), F.col("body")).alias("body"),
+        "reason",
+        "key_prefix",
+        F.date_trunc("minute", F.col("received_at")).alias("minute"),
+        (F.col("_counts") & (F.coalesce("_nth", F.lit(0)) == 0)).alias("counts"),
+    )
 
 
 def start_ingest(
@@ -96,11 +107,9 @@ def start_ingest(
 
     def run(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        minute = F.date_trunc("minute", F.col("received_at"))
-        keyed = ac.key_verdicts(batch, load_keys(spark), F.col("received_at"))
         used = None
         if version > 0:
-            oldest = batch.agg(F.min(minute)).scalar()
+            oldest = batch.agg(F.min(F.date_trunc("minute", F.col("received_at")))).scalar()
             used = (
                 spark.read.parquet(f"{path}/counters")
                 .filter((F.col("batch") < version) & (F.col("minute") >= oldest))
@@ -113,12 +122,13 @@ def start_ingest(
         ).parquet(staging)
         outcome = spark.read.parquet(staging)
         accepted = outcome.filter(F.col("reason").isNull())
-        write_events(accepted.drop("reason", "request_id", "body"), f"{path}/events", batch=version)
+        write_events(accepted.select(*EVENT_FIELDS), f"{path}/events", batch=version)
         refused = outcome.filter(F.col("reason").isNotNull()).select("request_id", "body", "reason")
         refused.write.mode("overwrite").parquet(f"{path}/rejected/batch={version}")
-        keyed.filter(F.col("reason").isNull()).groupBy("key_prefix", minute.alias("minute")).agg(
-            F.count(F.lit(1)).alias("requests")
-        ).write.mode("overwrite").parquet(f"{path}/counters/batch={version}")
+        counted = outcome.filter("counts").groupBy("key_prefix", "minute")
+        counted.agg(F.count(F.lit(1)).alias("requests")).write.mode("overwrite").parquet(
+            f"{path}/counters/batch={version}"
+        )
 
     return (
         raw.writeStream.foreachBatch(run)
