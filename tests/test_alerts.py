@@ -75,7 +75,7 @@ def test_operators(spark):
     assert found == wanted
 
 
-def test_reference_walk(spark):
+def test_trigger_snooze_and_recovery(spark):
     """Errors trigger, a snooze silences, recovery clears the snooze."""
     burst = events(spark, [event("error", ago(minutes=2)) for _ in range(4)])
     table = rules(spark, rule(email_recipient="ops@example.com", slack_webhook="https://hooks.example.com/x"))
