@@ -3,7 +3,10 @@
 import oracle
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from __spark_entry__ import oracle_sql as all_sql
+from __spark_entry__ import queries as all_queries
+from eventmetrics.plans.registry import oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 # At this scale these inputs hold no row that qualifies.
@@ -17,6 +20,8 @@ def con():
 
 def test_contract(spark):
     assert set(oracle_sql()) == set(queries())
+    assert queries().keys() <= all_queries().keys()
+    assert oracle_sql().keys() <= all_sql().keys() <= all_queries().keys()
     assert entry(spark).count() > 0
 
 
