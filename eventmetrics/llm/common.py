@@ -50,8 +50,3 @@ def words_of(text: Column) -> Column:
 
 def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
-
-
-def count_of(text: Column, characters: str) -> Column:
-    """How many of the text's characters are among these."""
-    return (F.length(text) - F.length(without(text, characters))).cast("long")

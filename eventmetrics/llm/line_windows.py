@@ -56,7 +56,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
     later = seen.join(firsts, "key").where(place != F.col("first"))
     return later.groupBy("doc_id", "version").agg(
-        F.array_sort(
+        F.sort_array(
             F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + (LINES - 1)))))
         ).alias("removed")
     )

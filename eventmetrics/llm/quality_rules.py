@@ -15,14 +15,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventmetrics.llm.common import BLANKS, count_of, free_name, let, without, words_of
+from eventmetrics.llm.common import free_name, let, words_of
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-PUNCTUATION = ".,;:!?\"'()[]"
+SYMBOL = "[#*$%&|<>]"
+BLANK = "[\\x20\\x09-\\x0D]"
+WORD_CHARACTER = "[^\\x20\\x09-\\x0D]"
 
-# Common function words of the languages the rules know.
+# Common function words of the languages the rules know. The measure
+# counts how many different ones stand in the text as they are.
 STOP_WORDS = (
     "the of and to in that is was for on with as by be at from it this are or "
     "der die das und in den von zu mit sich ist nicht ein eine als auch es im für dem "
@@ -62,13 +63,13 @@ def repeat_words(words: Column) -> Column:
     Window hashes are sorted with their positions, so equal ones are
     neighbours; texts without any repeat stop at the distinct count.
     """
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    def joined(h: Column, step: int) -> Column:
+        """Hashes of runs twice as long, from words or hashes; the last ones, cut short, are dropped below."""
+        return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
 
     def windows(h: Column) -> Column:
-        last = F.size(h) - WINDOW
-        return F.when(
-            last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(WINDOW))))
-        ).otherwise(F.array().cast("array<bigint>"))
+        eight = let(let(joined(h, 1), lambda pairs: joined(pairs, 2)), lambda fours: joined(fours, 4))
+        return F.slice(eight, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
 
     def repeated(ordered: Column) -> Column:
         """Starts of the repeated windows, ascending."""
@@ -78,7 +79,7 @@ def repeat_words(words: Column) -> Column:
             F.sequence(F.lit(0), F.size(ordered) - 1),
             lambda j: same(key(j), key(j + 1)) | same(key(j), key(j - 1)),
         )
-        return F.array_sort(F.transform(found, lambda j: F.get(ordered, j)["i"]))
+        return F.sort_array(F.transform(found, lambda j: F.get(ordered, j)["i"]))
 
     def covered(starts: Column) -> Column:
         steps = F.transform(
@@ -87,30 +88,29 @@ def repeat_words(words: Column) -> Column:
         return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
     def count(w: Column) -> Column:
-        ordered = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(
             let(let(ordered, repeated), covered)
         )
 
-    return let(let(hashed, windows), count).cast("long")
+    return let(let(words, windows), count).cast("long")
 
 
 def measures(text: Column) -> Column:
     """All measures of a text as one struct."""
     whole = F.coalesce(text, F.lit(""))
     stops = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
-    bare = lambda w: F.lower(without(w, PUNCTUATION))
-    has_word = lambda line: F.length(without(line, BLANKS)) > 0
+    count = lambda pattern: F.regexp_count(whole, F.lit(pattern)).cast("long")
     by_words = let(
         words_of(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             repeat_words(w).alias("n_repeat_words"),
-            F.size(F.filter(w, lambda x: F.array_contains(stops, bare(x)))).cast("long").alias("n_stop_words"),
+            F.size(F.array_intersect(w, stops)).cast("long").alias("n_stop_words"),
         ),
     )
     by_lines = let(
-        F.filter(F.split(whole, "\n", -1), has_word),
+        F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(WORD_CHARACTER)),
         lambda x: F.struct(
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -122,9 +122,9 @@ def measures(text: Column) -> Column:
     return F.struct(
         by_words.alias("w"),
         by_lines.alias("l"),
-        F.length(without(whole, BLANKS)).cast("long").alias("word_chars"),
-        count_of(whole, SYMBOLS).alias("n_symbols"),
-        count_of(whole, UPPER).alias("n_upper"),
+        (F.length(whole) - count(BLANK)).alias("word_chars"),
+        count(SYMBOL).alias("n_symbols"),
+        count("[A-Z]").alias("n_upper"),
     )
 
 

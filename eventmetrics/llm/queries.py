@@ -98,7 +98,7 @@ m AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(rep.n, 0) AS n_repeat_words,
-         len(list_filter(words, lambda w: translate(lower(w), '.,;:!?"''()[]', '') IN ({stops}))) AS n_stop_words,
+         len(list_intersect(words, [{stops}])) AS n_stop_words,
          len(lines) AS n_lines,
          len(list_filter(lines, lambda x: x LIKE '%...' OR x LIKE '%…')) AS n_ellipsis_lines,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
