@@ -17,72 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventmetrics.llm.bitmaps import below, filter_bits, probe, repeated_filter
 from eventmetrics.llm.common import BLANK_RUN, free_name, written
 
-# Filter bits per row; with two bits set per row about 1.5 % of unique rows are
-# taken for repeated ones.
-BITS_PER_ROW = 16
-CHUNK_BITS = 32768  # what one bitmap of Spark's bitmap functions holds
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-
 def text_hash(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_RUN, " "), 256)
 
 
-def filter_bits(rows: int) -> int:
-    bits = CHUNK_BITS
-    while bits < rows * BITS_PER_ROW:
-        bits *= 2
-    return bits
-
-
 def _positions(sha: Column, bits: int) -> list[Column]:
     """Two independent bit numbers from a hex digest; ``bits`` is a power of two."""
-    return [
-        F.conv(F.substring(sha, start, 15), 16, 10).cast("long").bitwiseAND(F.lit(bits - 1).cast("long"))
-        for start in (1, 17)
-    ]
-
-
-def repeated_filter(hashes: DataFrame, sha: str, bits: int) -> DataFrame:
-    """(chunk, bitmap): the bits that two or more rows have set."""
-    hit = hashes.select(F.explode(F.array(*_positions(F.col(sha), bits))).alias("bit"))
-    twice = hit.groupBy("bit").count().where("count > 1")
-    return twice.groupBy(F.floor(F.col("bit") / CHUNK_BITS).alias("chunk")).agg(
-        F.bitmap_construct_agg(F.col("bit") % CHUNK_BITS).alias("bitmap")
-    )
-
-
-def probe(df: DataFrame, sha: str, found: DataFrame, bits: int) -> tuple[DataFrame, str]:
-    """``df`` with a flag: may this hash occur twice? Also the flag's name.
-
-    The filter has ``bits / 8`` bytes at most, known before it is built. Up to
-    ``BROADCAST_BYTES`` it is broadcast and no row moves; a larger one is
-    joined by its chunk number.
-    """
-    taken = list(df.columns)
-    names = []
-    for position in _positions(F.col(sha), bits):
-        name = free_name(taken, "maybe")
-        chunk, bitmap = free_name(taken, "chunk"), free_name(taken, "bitmap")
-        side = found.select(F.col("chunk").alias(chunk), F.col("bitmap").alias(bitmap))
-        if bits // 8 <= BROADCAST_BYTES:
-            side = F.broadcast(side)
-        own = free_name(taken + [chunk, bitmap], "own_chunk")
-        bit = position % CHUNK_BITS
-        # Spark's bitmaps fill each byte from its lowest bit.
-        byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-        df = (
-            df.withColumn(own, F.floor(position / CHUNK_BITS))
-            .join(side, F.col(own) == F.col(chunk), "left")
-            .withColumn(name, F.coalesce(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1, F.lit(False)))
-            .drop(own, chunk, bitmap)
-        )
-        taken.append(name)
-        names.append(name)
-    flag = free_name(taken, "maybe_repeated")
-    return df.withColumn(flag, F.col(names[0]) & F.col(names[1])).drop(*names), flag
+    return [below(F.conv(F.substring(sha, start, 15), 16, 10).cast("long"), bits) for start in (1, 17)]
 
 
 def _hashes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame]:
@@ -91,13 +35,13 @@ def _hashes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
         docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_sha256")), "hashes"
     )
     bits = filter_bits(keyed.count())
-    return keyed, bits, written(repeated_filter(keyed, "text_sha256", bits), "filter")
+    return keyed, bits, written(repeated_filter(keyed, _positions(F.col("text_sha256"), bits)), "filter")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
     keyed, bits, found = _hashes(docs, id_col, text_col)
-    flagged, flag = probe(keyed, "text_sha256", found, bits)
+    flagged, flag = probe(keyed, _positions(F.col("text_sha256"), bits), found, bits)
     unique = flagged.where(~F.col(flag)).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
@@ -116,9 +60,9 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One whole row of each text, unique rows without a shuffle."""
     keyed, bits, found = _hashes(docs, id_col, text_col)
     sha = free_name(docs.columns, "sha")
-    flagged, flag = probe(docs.withColumn(sha, text_hash(F.col(text_col))), sha, found, bits)
+    flagged, flag = probe(docs.withColumn(sha, text_hash(F.col(text_col))), _positions(F.col(sha), bits), found, bits)
     unique = flagged.where(~F.col(flag)).drop(flag, sha)
-    narrow, narrow_flag = probe(keyed, "text_sha256", found, bits)
+    narrow, narrow_flag = probe(keyed, _positions(F.col("text_sha256"), bits), found, bits)
     keep, keep_id = free_name(flagged.columns, "keep_sha"), free_name(flagged.columns, "keep_id")
     groups = written(
         narrow.where(F.col(narrow_flag))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventmetrics.llm import bloom_dedup, line_windows, quality_rules
+from eventmetrics.llm import bbit_minhash, bloom_dedup, line_windows, quality_rules
 from eventmetrics.llm.common import table
 
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -16,6 +16,10 @@ def op6_exact_dedup(spark, sf_dir):
     return bloom_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark, sf_dir):
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
