@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from eventmetrics.llm import bbit_minhash, bloom_dedup, line_windows, quality_rules
+from eventmetrics.llm import (
+    bbit_minhash,
+    bloom_dedup,
+    compression_quality,
+    entropy_balance,
+    line_windows,
+    quality_rules,
+)
 from eventmetrics.llm.common import table
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_source_mixing(spark, sf_dir):
+    return entropy_balance.report(table(spark, sf_dir, "documents"))
+
+
 def op5_line_window_dedup(spark, sf_dir):
     return line_windows.report(table(spark, sf_dir, "documents"))
 
@@ -25,6 +40,8 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_source_mixing": op3_source_mixing,
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,

@@ -49,3 +49,18 @@ def near_duplicates(rows, percent=85):
         links += [(o, d) for o, n in shared.items() if 100 * n >= percent * (len(s) + len(reps[o]) - n)]
     label = roots(sets, links)
     return {d: (len(s), label[d]) for d, s in sets.items()}
+
+
+def targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
+    """{source: target} of {source: words}; sources by code point, None last."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    open_, goal, out = set(order), share * sum(sizes.values()), {}
+    while open_:
+        level = goal / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > most * sizes[s]}
+        for s in over or open_:
+            out[s] = most * sizes[s] if over else level * weight[s]
+            goal -= out[s] if over else 0
+        open_ -= over or open_
+    return out
