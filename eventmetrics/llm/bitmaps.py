@@ -80,6 +80,13 @@ def probe(df: DataFrame, positions: list[Column], found: DataFrame, bits: int) -
     return df.withColumn(flag, both).drop(*names), flag
 
 
+def flagged_members(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, str]:
+    """``df`` with a flag that is true for every row whose key is in ``wanted`` (written), and for few others."""
+    bits = filter_bits(wanted.count())
+    found = written(member_filter(wanted, positions_of_key(wanted_key, bits)), "member-filter")
+    return probe(df, positions_of_key(key, bits), found, bits)
+
+
 def rows_with_key(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows of ``df`` whose key is in the one-column table ``wanted`` (written, distinct).
 
@@ -89,9 +96,5 @@ def rows_with_key(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     (name,) = wanted.columns
     other = free_name(df.columns, "wanted_key")
     keys = wanted.select(F.col(name).alias(other))
-    bits = filter_bits(wanted.count())
-    if bits // 8 <= BROADCAST_BYTES:
-        found = written(member_filter(keys, positions_of_key(F.col(other), bits)), "member-filter")
-        df, flag = probe(df, positions_of_key(F.col(key), bits), found, bits)
-        df = df.where(F.col(flag)).drop(flag)
-    return df.join(keys, F.col(key) == F.col(other), "left_semi")
+    likely, flag = flagged_members(df, F.col(key), keys, F.col(other))
+    return likely.where(F.col(flag)).drop(flag).join(keys.hint("merge"), F.col(key) == F.col(other), "left_semi")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventmetrics.llm.bitmaps import flagged_members
 from eventmetrics.llm.common import BLANKS, let, without, written
 
 LINES = 3
@@ -63,13 +64,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents with the numbers of the lines they lose; only those that lose any are shuffled."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = written(removed_lines(own), "line-removed").select(
-        F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "removed"
-    )
-    return own.withColumn("version", F.xxhash64("text")).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left"
+    key = F.xxhash64("doc_id", "version")
+    gone = written(removed_lines(own), "line-removed")
+    split, flag = flagged_members(own.withColumn("version", F.xxhash64("text")), key, gone, key)
+    side = gone.select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), "removed")
+    whole = split.where(~F.col(flag)).select("doc_id", "text", F.lit(None).cast("array<int>").alias("removed"))
+    cut = split.where(F.col(flag)).join(
+        side.hint("merge"),
+        F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("version") == F.col("gone_version")),
+        "left",
     )
+    return whole.unionAll(cut.select("doc_id", "text", "removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
