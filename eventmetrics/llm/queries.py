@@ -9,6 +9,7 @@ from eventmetrics.llm import (
     entropy_balance,
     line_windows,
     quality_rules,
+    sentencepieces,
 )
 from eventmetrics.llm.common import table
 
@@ -23,6 +24,10 @@ def op3_source_mixing(spark, sf_dir):
     return entropy_balance.report(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return sentencepieces.report(table(spark, sf_dir, "documents"), sentencepieces.load())
+
+
 def op5_line_window_dedup(spark, sf_dir):
     return line_windows.report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_quality_rules(spark, sf_dir):
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_source_mixing": op3_source_mixing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
