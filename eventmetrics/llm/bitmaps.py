@@ -81,8 +81,14 @@ def probe(df: DataFrame, positions: list[Column], found: DataFrame, bits: int) -
 
 
 def flagged_members(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, str]:
-    """``df`` with a flag that is true for every row whose key is in ``wanted`` (written), and for few others."""
+    """``df`` with a flag that is true for every row whose key is in ``wanted`` (written), and for few others.
+
+    Beyond the size that may be broadcast the flag is true for all rows.
+    """
     bits = filter_bits(wanted.count())
+    if bits // 8 > BROADCAST_BYTES:
+        flag = free_name(df.columns, "maybe_member")
+        return df.withColumn(flag, F.lit(True)), flag
     found = written(member_filter(wanted, positions_of_key(wanted_key, bits)), "member-filter")
     return probe(df, positions_of_key(key, bits), found, bits)
 

@@ -9,6 +9,7 @@ from eventmetrics.llm import (
     entropy_balance,
     line_windows,
     quality_rules,
+    repeat_intervals,
     sentencepieces,
 )
 from eventmetrics.llm.common import table
@@ -36,6 +37,10 @@ def op6_exact_dedup(spark, sf_dir):
     return bloom_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    return repeat_intervals.report(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }

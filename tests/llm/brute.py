@@ -64,3 +64,22 @@ def targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
             goal -= out[s] if over else 0
         open_ -= over or open_
     return out
+
+
+def without_repeats(texts, length=200):
+    """[(n_bytes, n_removed, n_spans, kept)] of texts, from a dictionary of all strings of that length."""
+    blobs = [(t or "").encode() for t in texts]
+    seen = {}
+    for b in blobs:
+        for i in range(len(b) - length + 1):
+            s = b[i : i + length]
+            seen[s] = seen.get(s, 0) + 1
+    out = []
+    for b in blobs:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        out.append((len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)))
+    return out
