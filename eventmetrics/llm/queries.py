@@ -11,12 +11,17 @@ from eventmetrics.llm import (
     quality_rules,
     repeat_intervals,
     sentencepieces,
+    url_filter,
 )
 from eventmetrics.llm.common import table
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 
 
+def op1_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     return compression_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_source_mixing": op3_source_mixing,
     "op4_sentencepiece": op4_sentencepiece,
