@@ -5,6 +5,7 @@ from __future__ import annotations
 from eventmetrics.llm import (
     bbit_minhash,
     bloom_dedup,
+    compact_windows,
     compression_quality,
     entropy_balance,
     line_windows,
@@ -46,6 +47,10 @@ def op7_suffix_array_dedup(spark, sf_dir):
     return repeat_intervals.report(table(spark, sf_dir, "documents"))
 
 
+def op8_compact_windows(spark, sf_dir):
+    return compact_windows.report(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,12 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # it imports this folder's operators itself
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
@@ -62,8 +73,10 @@ QUERIES = {
     "op5_line_window_dedup": op5_line_window_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_compact_windows": op8_compact_windows,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 OP5_SQL = """

@@ -83,3 +83,33 @@ def without_repeats(texts, length=200):
         spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
         out.append((len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)))
     return out
+
+
+def near_windows(rows, width=46, percent=80):
+    """(exact, near): for each (doc_id, text) the starts of runs-of-five windows that stand elsewhere too, word for
+    word, or as a set of that similarity, at any place of any text."""
+    runs = {}
+    for d, t in rows:
+        w = lower_words(t)
+        runs[d] = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen, index = {}, {}
+    for d, r in runs.items():
+        for i in range(len(r) - width + 1):
+            seen.setdefault(tuple(r[i : i + width]), []).append((d, i))
+        for i, x in enumerate(r):
+            index.setdefault(x, []).append((d, i))
+    exact = {(d, i) for places in seen.values() if len(places) > 1 for d, i in places}
+
+    def near(d, i):
+        own = set(runs[d][i : i + width])
+        starts = {(e, j - k) for k in range(width) for e, j in index[runs[d][i + k]]}
+        for e, j in starts:
+            for s in range(max(0, j - 3), j + 4):
+                if (e, s) != (d, i) and s + width <= len(runs[e]) and abs(s - i) * (e == d) != 0 or (e != d and s + width <= len(runs[e])):
+                    other = set(runs[e][s : s + width])
+                    shared = len(own & other)
+                    if 100 * shared >= percent * (len(own) + len(other) - shared) and (e != d or abs(s - i) > 2):
+                        return True
+        return False
+
+    return exact, near
