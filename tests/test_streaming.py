@@ -35,28 +35,34 @@ def inbox(spark, tmp_path):
     return Files(spark, tmp_path / "in", schema.EVENTS)
 
 
-def test_closed_buckets_equal_batch(spark, inbox, tmp_path):
+@pytest.mark.parametrize("files_per_trigger", [1, 100])
+def test_buckets_equal_batch_for_any_order(spark, inbox, tmp_path, files_per_trigger):
     parts = [
         [
             event(n, utc(2026, 5, 20, h, m), user_id=f"u{(h + m) % 3}", session_id=f"s{m % 4}" if m % 5 else None)
-            for h in range(first, first + 4)
+            for h in hours
             for m, n in zip(range(0, 60, 7), ["page_view", "error", "click", "page.view"] * 3)
         ]
-        for first in (0, 4, 8)
+        for hours in ((10, 12), (20,), (1, 2), (3, 22), (10, 1))
     ]
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    load = lambda session: session.read.schema(schema.EVENTS).parquet(inbox.path)
     for part in parts:
         inbox.put(events(spark, part))
-        sm.start_metrics(inbox.stream(), "hour", out, checkpoint, "30 minutes", availableNow=True).awaitTermination()
-    found = spark.read.parquet(out)
-    everything = spark.read.parquet(inbox.path)
-    closed = F.col("bucket") < F.lit(utc(2026, 5, 20, 11))
-    for metric in ("page_views", "unique_visitors", "bounce_rate", "avg_session_duration"):
-        batch = se.timeseries(everything, metric, "hour", utc(2026, 5, 1), AS_OF).filter(closed)
-        got = [(b, pytest.approx(float(v))) for b, v in rows(found, "bucket", metric)]
-        assert rows(batch, "bucket", "value") == got
+        if files_per_trigger == 1:
+            sm.start_metrics(inbox.stream(), load, "hour", out, checkpoint, availableNow=True).awaitTermination()
+    sm.start_metrics(inbox.stream(), load, "hour", out, checkpoint, availableNow=True).awaitTermination()
+    everything = load(spark)
+    for read in (lambda: sm.read_metrics(spark, out), lambda: sm.read_metrics(spark, str(tmp_path / "compact"))):
+        sm.compact_metrics(spark, out, str(tmp_path / "compact"))
+        found = read()
+        assert found.count() == 7
+        for metric in ("page_views", "unique_visitors", "bounce_rate", "avg_session_duration"):
+            batch = se.timeseries(everything, metric, "hour", utc(2026, 5, 1), AS_OF)
+            got = [(b, float(v)) for b, v in rows(found, "bucket", metric)]
+            assert rows(batch, "bucket", "value") == got
     with pytest.raises(ValueError):
-        sm.stream_metrics(everything, "month")
+        sm.touched_buckets(everything, "fortnight")
 
 
 def test_tail_over_batches(spark, inbox, tmp_path):
