@@ -56,8 +56,13 @@ def bucket(interval: str, ts: str = "timestamp") -> Column:
     return F.date_trunc(check_interval(interval), F.col(ts))
 
 
-def seconds_between(first: Column, last: Column) -> Column:
-    return (F.unix_micros(last) - F.unix_micros(first)) / F.lit(float(MICROS))
+def micros_between(first: Column, last: Column) -> Column:
+    return F.unix_micros(last) - F.unix_micros(first)
+
+
+def mean_seconds(micros: Column, count: Column) -> Column:
+    """Mean of durations in seconds, from their sum in whole microseconds: one division, one rounding."""
+    return micros.cast("double") / F.nullif((count * MICROS).cast("double"), F.lit(0.0))
 
 
 def parse_iso(text: Column) -> Column:

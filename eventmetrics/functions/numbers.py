@@ -24,8 +24,22 @@ def percent_change(current: Column, prior: Column) -> Column:
 
 
 def double_text(value: Column) -> Column:
-    """Text of a double: whole numbers keep ``.0`` and no exponent below 1e16."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e16)
-    return F.when(whole, F.concat(value.cast("bigint").cast("string"), F.lit(".0"))).otherwise(
-        value.cast("string")
+    """Shortest text of a double: plain digits from 1e-4 up to 1e16, else an exponent of two digits or more.
+
+    Whole numbers keep ``.0`` in plain digits.
+    """
+    text = value.cast("string")
+    # 17 digits at most, of which 16 stand before the point or 20 behind it.
+    digits = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    power = F.format_string("%02d", F.abs(exponent))
+    size = F.abs(value)
+    return (
+        F.when(value == 0, text)
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .when(text.contains("E"), F.concat(mantissa, F.lit("e"), sign, power))
+        .otherwise(text)
     )

@@ -31,6 +31,12 @@ def properties(payload: str = "payload") -> Column:
     return F.from_json(F.col(payload), T.MapType(T.StringType(), T.StringType()))
 
 
+def last_value(entries: str, key: Column) -> Column:
+    """Value of a key known per row only; of equal keys the last one, as ``prop`` has it."""
+    found = F.filter(F.map_entries(entries), lambda e: e.getField("key") == key)
+    return F.try_element_at(found, F.lit(-1)).getField("value")
+
+
 def with_identity(events: DataFrame) -> DataFrame:
     """Add ``session_id`` and ``visitor_id``.
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventmetrics.functions.dates import MICROS, iso_text, moment, seconds_between
+from eventmetrics.functions.dates import MICROS, iso_text, mean_seconds, micros_between, moment
 from eventmetrics.functions.numbers import double_text, percent
 from eventmetrics.functions.payload import with_identity
 from eventmetrics.operators.overview import keyed_rows
@@ -109,7 +109,7 @@ def lookback_totals(events: DataFrame, windows: DataFrame, as_of: datetime | Col
     visitor = ~F.col("is_session")
     one_before = (F.col("_seen") - F.col("events")) == 1
     bounce_change = F.when(first & (F.col("events") == 1), 1).when(~first & one_before, -1)
-    growth = seconds_between(F.col("first_ts"), F.coalesce("_newer_oldest", "last_ts"))
+    growth = micros_between(F.col("first_ts"), F.coalesce("_newer_oldest", "last_ts"))
     changes = grown.groupBy("organization_id", "time_window_minutes").agg(
         F.sum(F.when(visitor, F.col("events"))).alias("events"),
         F.sum(F.when(visitor, F.col("page_views"))).alias("page_views"),
@@ -117,9 +117,9 @@ def lookback_totals(events: DataFrame, windows: DataFrame, as_of: datetime | Col
         F.count_if(visitor & F.col("visitor_id").isNotNull() & first).alias("visitors"),
         F.count_if(session & first).alias("sessions"),
         F.sum(F.when(session, bounce_change)).alias("bounced"),
-        F.sum(F.when(session, growth)).alias("seconds"),
+        F.sum(F.when(session, growth)).alias("micros"),
     )
-    measures = ["events", "page_views", "errors", "visitors", "sessions", "bounced", "seconds"]
+    measures = ["events", "page_views", "errors", "visitors", "sessions", "bounced", "micros"]
     pairs = windows.select(
         "organization_id", F.col("time_window_minutes").cast("bigint").alias("time_window_minutes")
     )
@@ -141,7 +141,7 @@ def lookback_totals(events: DataFrame, windows: DataFrame, as_of: datetime | Col
         percent(F.col("errors"), F.col("events")).alias("error_rate"),
         F.col("visitors").cast("double").alias("unique_visitors"),
         percent(F.col("bounced"), F.col("sessions")).alias("bounce_rate"),
-        (percent(F.col("seconds"), F.col("sessions")) / 100.0).alias("avg_session_duration"),
+        F.coalesce(mean_seconds(F.col("micros"), F.col("sessions")), F.lit(0.0)).alias("avg_session_duration"),
     )
 
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventmetrics.functions.dates import moment, seconds_between, utc
+from eventmetrics.functions.dates import mean_seconds, micros_between, moment, utc
 from eventmetrics.functions.numbers import percent, percent_change
 from eventmetrics.functions.payload import is_error, is_page_view, with_identity
 from eventmetrics.operators.scope import between, scope
@@ -47,7 +47,7 @@ def totals(when: Column | None = None, prefix: str = "") -> list[Column]:
     visitor = when & ~F.col("is_session")
     session = when & F.col("is_session") & F.col("session_id").isNotNull()
     bounced = session & (F.col("events") == 1)
-    duration = seconds_between(F.col("first_ts"), F.col("last_ts"))
+    duration = micros_between(F.col("first_ts"), F.col("last_ts"))
 
     def total(column: str) -> Column:
         return F.coalesce(F.sum(F.when(visitor, F.col(column))), F.lit(0)).cast("bigint")
@@ -56,9 +56,9 @@ def totals(when: Column | None = None, prefix: str = "") -> list[Column]:
         total("page_views").alias(f"{prefix}page_views"),
         F.count_if(visitor & F.col("visitor_id").isNotNull()).alias(f"{prefix}unique_visitors"),
         percent(F.count_if(bounced), F.count_if(session)).alias(f"{prefix}bounce_rate"),
-        F.coalesce(F.avg(F.when(session, duration)), F.lit(0.0)).alias(
-            f"{prefix}avg_session_duration"
-        ),
+        F.coalesce(
+            mean_seconds(F.sum(F.when(session, duration)), F.count_if(session)), F.lit(0.0)
+        ).alias(f"{prefix}avg_session_duration"),
     ]
 
 

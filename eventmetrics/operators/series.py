@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventmetrics.functions.dates import METRICS, bucket, check_metric, seconds_between
+from eventmetrics.functions.dates import METRICS, bucket, check_metric, mean_seconds, micros_between
 from eventmetrics.functions.numbers import percent
 from eventmetrics.functions.payload import is_page_view, with_identity
 from eventmetrics.operators.overview import keyed_rows, totals
@@ -46,7 +46,7 @@ def _points(events: DataFrame, metric: str) -> DataFrame:
     if metric == "bounce_rate":
         value = percent(F.count_if(F.col("events") == 1), F.count(F.lit(1)))
     else:
-        value = F.avg(seconds_between(F.col("first_ts"), F.col("last_ts")))
+        value = mean_seconds(F.sum(micros_between(F.col("first_ts"), F.col("last_ts"))), F.count(F.lit(1)))
     return sessions.groupBy(*keys).agg(value.alias("value"))
 
 

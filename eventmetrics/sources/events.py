@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventmetrics import schema
 from eventmetrics.functions.dates import moment, parse_iso
-from eventmetrics.functions.payload import properties
+from eventmetrics.functions.payload import last_value, properties
 from eventmetrics.operators.scope import active
 
 # Column names and defaults of the input formats.
@@ -134,11 +134,11 @@ def csv_to_events(
     rest = [c for c in rows.columns if c not in CSV_NAME_COLUMNS + CSV_TIME_COLUMNS]
     texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rest]
     payload = F.to_json(F.struct(*texts)) if texts else F.lit("{}")
-    accepted = rows.filter(name.isNotNull()).select(
-        *_event_columns(org, source, name, ts, payload, now)
+    reason = _first_reason(
+        (name.isNull(), "event_name_missing"), (F.length(name) > MAX_NAME_LENGTH, "event_name_too_long")
     )
-    rejected = rows.filter(name.isNull()).withColumn("reason", F.lit("event_name_missing"))
-    return accepted, rejected
+    accepted = rows.filter(reason.isNull()).select(*_event_columns(org, source, name, ts, payload, now))
+    return accepted, rows.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def read_csv_events(
@@ -196,12 +196,13 @@ def read_webhook_events(
                 (F.col("organization_id").isNull(), "source_not_found"),
                 (F.col("body").isNull() | F.col("_map").isNull(), "not_json"),
                 (~F.ltrim(F.col("body")).startswith("{"), "not_json"),
+                (F.length(last_value("_map", F.col("_name_key"))) > MAX_NAME_LENGTH, "event_name_too_long"),
             ),
         )
     )
     accepted, rejected = split(checked)
-    name = F.coalesce(F.try_element_at("_map", F.col("_name_key")), F.lit(WEBHOOK_DEFAULT_NAME))
-    ts = F.coalesce(parse_iso(F.try_element_at("_map", F.col("_time_key"))), now)
+    name = F.coalesce(last_value("_map", F.col("_name_key")), F.lit(WEBHOOK_DEFAULT_NAME))
+    ts = F.coalesce(parse_iso(last_value("_map", F.col("_time_key"))), now)
     columns = _event_columns(
         F.col("organization_id"), F.col("source_id"), name, ts, F.col("body"), now
     )

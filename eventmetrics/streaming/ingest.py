@@ -17,15 +17,29 @@ Loader = Callable[[SparkSession], DataFrame]
 # A body is one event or a list of events.
 FIELDS = ("event_name", "timestamp", "payload", "data_source_id")
 EVENT_FIELDS = [column.split()[0] for column in schema.EVENTS.split(", ")]
-BODY = "array<struct<" + ", ".join(f"{name}: string" for name in FIELDS) + ">>"
+ONE = "struct<" + ", ".join(f"{name}: string" for name in FIELDS) + ">"
+BODY = f"array<{ONE}>"
 
 
 def parsed_body(body: Column) -> Column:
-    """The events of a request body; NULL when it is no JSON or has no event."""
-    listed = F.when(F.ltrim(body).startswith("["), body).otherwise(
-        F.concat(F.lit("["), body, F.lit("]"))
+    """The events of a request body; NULL when it is no JSON or has no event.
+
+    ``from_json`` ignores what follows the first value. Put into a list, the
+    body must be its only element, and put into an object, its only field: no
+    text behind the value satisfies both.
+    """
+    text = F.regexp_replace(body, r"^\s+|\s+$", "")
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    boxed = F.concat(F.lit('{"body":'), text, F.lit("}"))
+
+    def alone(kind: str) -> Column:
+        found = F.from_json(listed, f"array<{kind}>")
+        in_box = F.from_json(boxed, f"struct<body: {kind}>").getField("body")
+        return F.when((F.size(found) == 1) & in_box.isNotNull(), found[0])
+
+    events = F.when(text.startswith("{"), F.array_compact(F.array(alone(ONE)))).when(
+        text.startswith("["), alone(BODY)
     )
-    events = F.from_json(listed, BODY)
     return F.when(F.size(events) > 0, events)
 
 
