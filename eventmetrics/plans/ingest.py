@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventmetrics.operators import access as ac
 from eventmetrics.plans.common import AS_OF, EV, cte, plain
+from eventmetrics.session import work_dir
 from eventmetrics.sources import events as src
 from eventmetrics.sources import sample, store
 from eventmetrics.sources.sample import table
@@ -71,6 +72,29 @@ def csv_events(spark, sf_dir):
     return plain(accepted.drop("id"))
 
 
+def json_files(spark, sf_dir):
+    """The same raw rows, written as JSON lines and read from the files."""
+    path = work_dir(spark, "json-files")
+    _raw(spark, sf_dir, JSON_COLUMNS).drop("event_id").write.json(path)
+    accepted, _ = src.read_json_events(spark, path, "org_1", AS_OF)
+    return plain(
+        accepted.select("organization_id", "data_source_id", "event_name", "timestamp", "payload", "created_at")
+    )
+
+
+def csv_files(spark, sf_dir):
+    """The raw rows in CSV files of two layouts, read from one folder."""
+    path = work_dir(spark, "csv-files")
+    raw = _raw(spark, sf_dir, CSV_COLUMNS, "time")
+    even = F.col("user_id").cast("bigint") % 2 == 0
+    raw.filter(even).write.option("header", True).mode("append").csv(path)
+    other = raw.filter(~even).select("user_id", F.col("time").alias("timestamp"), "event", "plan", "event_name")
+    other.write.option("header", True).mode("append").csv(path)
+    accepted, _ = src.read_csv_events(spark, path, "org_1", "src_1", AS_OF)
+    known = F.from_json("payload", "user_id string, plan string")
+    return plain(accepted.drop("id").withColumn("p", known).select("*", "p.*").drop("p", "payload"))
+
+
 def webhook_events(spark, sf_dir):
     raw = table(spark, sf_dir, "events").select(
         F.expr("'src_' || cast(event_id % 27 as string)").alias("source_id"),
@@ -170,6 +194,8 @@ QUERIES = {
     "json_events": json_events,
     "json_rejects": json_rejects,
     "csv_events": csv_events,
+    "json_files": json_files,
+    "csv_files": csv_files,
     "webhook_events": webhook_events,
     "normalised_events": normalised_events,
     "key_attribution": key_attribution,
@@ -205,6 +231,13 @@ _QUEUE = (
     "event_id % 3 = 1 AS no_time, ts FROM events)"
 )
 
+_CSV_FILES = (
+    f"WITH raw AS (SELECT {', '.join(CSV_COLUMNS)}, {_PARSED} AS ts2 FROM events) "
+    "SELECT 'org_1' AS organization_id, 'src_1' AS data_source_id, "
+    "coalesce(nullif(event_name, ''), event) AS event_name, ts2 AS timestamp, user_id, plan, "
+    "TIMESTAMP '2024-01-31' AS created_at FROM raw WHERE coalesce(nullif(event_name, ''), event) IS NOT NULL"
+)
+
 ORACLES = {
     "json_events": (
         f"{_JSON} SELECT 'org_1' AS organization_id, data_source_id, event_name, "
@@ -279,3 +312,5 @@ ORACLES = {
         "ELSE base || '--' || id END AS slug FROM b"
     ),
 }
+ORACLES["json_files"] = ORACLES["json_events"]
+ORACLES["csv_files"] = _CSV_FILES

@@ -75,8 +75,14 @@ def event_reason(field: Callable[[str], Column]) -> Column:
     )
 
 
+def hashed_id(*parts: Column) -> Column:
+    """An id in the form of a UUID that depends on ``parts`` alone, so a rerun gives it again."""
+    digest = F.md5(F.to_json(F.array(*[part.cast("string") for part in parts])))
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def event_columns(
-    field: Callable[[str], Column], org: Column, now: Column
+    field: Callable[[str], Column], org: Column, now: Column, id: Column | None = None
 ) -> list[Column]:
     """Columns of the event model; a missing time becomes ``now``, a missing payload ``{}``."""
     return _event_columns(
@@ -86,6 +92,7 @@ def event_columns(
         F.coalesce(parse_iso(field("timestamp")), now),
         F.coalesce(field("payload"), F.lit("{}")),
         now,
+        id,
     )
 
 
@@ -141,31 +148,58 @@ def csv_to_events(
     return accepted, rows.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+# Different header rows that one input may have; each is a scan of its own files.
+MAX_LAYOUTS = 200
+
+
+def _csv_layouts(spark: SparkSession, path: str) -> list[list[str]]:
+    """Files grouped by their header row."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        # Ascending along a file, as a task reads it from its first line on.
+        F.monotonically_increasing_id().alias("nth"),
+    )
+    headers = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "nth").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    found = groups.limit(MAX_LAYOUTS + 1).collect()
+    if len(found) > MAX_LAYOUTS:
+        raise ValueError(f"the CSV input has more than {MAX_LAYOUTS} different header rows")
+    return sorted(row.files for row in found)
+
+
 def read_csv_events(
     spark: SparkSession,
     path: str,
     org: str,
     source: str,
     as_of: datetime,
-    multi_line: bool = True,
+    multi_line: bool = False,
     strict: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Events from CSV files with a header row.
+    """Events from CSV files, each read by its own header row.
 
-    Quoted line breaks need ``multi_line``, which reads each file in one task;
-    turn it off for large files known to have none. ``strict`` fails on input
-    without a single valid row.
+    Files with equal headers are read together. Quoted line breaks need
+    ``multi_line``, which reads each file in one task. ``strict`` fails on
+    input without a single valid row.
     """
-    rows = (
+    layouts = _csv_layouts(spark, path)
+    if not layouts:
+        if strict:
+            raise ValueError("the CSV input is empty")
+        layouts = [[path]]
+    reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .csv(path)
     )
-    if strict and not rows.columns:
-        raise ValueError("the CSV input is empty")
-    events, rejected = csv_to_events(rows, org, source, as_of)
+    parts = [csv_to_events(reader.csv(files), org, source, as_of) for files in layouts]
+    events, rejected = parts[0]
+    for more_events, more_rejected in parts[1:]:
+        events = events.unionByName(more_events)
+        rejected = rejected.unionByName(more_rejected, allowMissingColumns=True)
     if strict and events.isEmpty():
         raise ValueError("the CSV input has no valid event")
     return events, rejected

@@ -18,36 +18,50 @@ def stored_form(events: DataFrame) -> DataFrame:
     return with_identity(events).withColumn("event_month", month_of(F.col("timestamp")))
 
 
+# Folder of the rows that came in no numbered batch.
+LOADED = -1
+
+
+def _batch_path(path: str, batch: int) -> str:
+    return f"{path}/ingest_batch={batch}"
+
+
 def write_events(events: DataFrame, path: str, batch: int | None = None) -> None:
-    """Append events to ``path``, one folder per month.
+    """Write events below ``path``, one folder per batch and in it one per month.
 
     ``rebalance`` gathers a month's rows into files of the advisory size: small
     months share a task, and the current month, which has nearly all rows of a
     load, is split over many. Sorting by tenant and time makes the Parquet
     statistics skip row groups for tenant and time filters.
 
-    With ``batch`` the rows also lie in a folder of that number, which writing
-    the same batch again replaces.
+    A numbered batch has its folder to itself, and writing it again replaces
+    the folder as a whole, whichever months it had before. Rows without a
+    number are appended.
     """
     rows = (
         stored_form(events)
         .hint("rebalance", "event_month")
         .sortWithinPartitions("event_month", "organization_id", "timestamp")
     )
-    if batch is None:
-        rows.write.partitionBy("event_month").mode("append").parquet(path)
-    else:
-        (
-            rows.withColumn("ingest_batch", F.lit(batch).cast("bigint"))
-            .write.partitionBy("event_month", "ingest_batch")
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .parquet(path)
-        )
+    mode = "append" if batch is None else "overwrite"
+    target = _batch_path(path, LOADED if batch is None else batch)
+    rows.write.partitionBy("event_month").mode(mode).parquet(target)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("ingest_batch")
+
+
+def compact_events(spark: SparkSession, path: str, target: str) -> None:
+    """Rewrite a store of many batches as one folder per month below ``target``.
+
+    Rows are dealt out by month, tenant and time, so each file holds a narrow
+    range of them. The old store is left as it is: readers change over when the
+    new one is complete.
+    """
+    order = ["event_month", "organization_id", "timestamp"]
+    rows = read_events(spark, path).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.partitionBy("event_month").mode("overwrite").parquet(_batch_path(target, LOADED))
 
 
 def expected_partitions(

@@ -10,7 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from eventmetrics import schema
 from eventmetrics.operators import access as ac
 from eventmetrics.sources import events as src
-from eventmetrics.sources.store import write_events
+from eventmetrics.sources.store import split_by_calendar, write_events
+
+COUNTERS = "key_prefix string, minute timestamp, requests bigint, hour string, batch bigint"
+HOUR = "yyyyMMddHH"
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -89,7 +92,12 @@ def process(
     unrolled = checked.select(
         "*", F.posexplode_outer(F.when(F.col("reason").isNull(), F.col("_events"))).alias("_nth", "_event")
     )
-    columns = src.event_columns(F.col("_event").getField, F.col("organization_id"), F.col("received_at"))
+    columns = src.event_columns(
+        F.col("_event").getField,
+        F.col("organization_id"),
+        F.col("received_at"),
+        src.hashed_id(F.col("request_id"), F.col("_nth")),
+    )
     return unrolled.select(
         *columns,
         "request_id",
@@ -108,25 +116,29 @@ def start_ingest(
     path: str,
     checkpoint: str,
     limit: int = ac.REQUESTS_PER_MINUTE,
+    load_calendar: Loader | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Append accepted events to ``path/events`` and refused ones to ``path/rejected``.
 
     Keys and sources are loaded for each micro-batch, so changes take effect.
-    Requests counted per key and minute are kept in ``path/counters``, one
-    folder per micro-batch. Outcomes are written to a staging folder first:
-    new ids are fixed there, and the checks run once for all outputs. Every
-    output is keyed by the batch number and replaced if a batch is run again.
+    Requests counted per key and minute are kept in ``path/counters`` by hour,
+    so a micro-batch lists and reads only the hours it can still count in.
+    Outcomes are written to a staging folder first, so that the checks run once
+    for all outputs; ids are hashes of the request and the event's place in it.
+    Every output is keyed by the batch number and replaced if a batch is run
+    again. With ``load_calendar`` events outside its months are refused.
     """
 
     def run(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
         used = None
         if version > 0:
-            oldest = batch.agg(F.min(F.date_trunc("minute", F.col("received_at")))).scalar()
+            oldest = batch.agg(F.min(F.date_trunc("minute", F.col("received_at")))).first()[0]
             used = (
-                spark.read.parquet(f"{path}/counters")
-                .filter((F.col("batch") < version) & (F.col("minute") >= oldest))
+                spark.read.schema(COUNTERS).parquet(f"{path}/counters")
+                .filter((F.col("batch") < version) & (F.col("hour") >= F.date_format(F.lit(oldest), HOUR)))
+                .filter(F.col("minute") >= F.lit(oldest))
                 .groupBy("key_prefix", "minute")
                 .agg(F.sum("requests").alias("used"))
             )
@@ -136,12 +148,19 @@ def start_ingest(
         ).parquet(staging)
         outcome = spark.read.parquet(staging)
         accepted = outcome.filter(F.col("reason").isNull())
-        write_events(accepted.select(*EVENT_FIELDS), f"{path}/events", batch=version)
         refused = outcome.filter(F.col("reason").isNotNull()).select("request_id", "body", "reason")
+        if load_calendar is not None:
+            accepted, outside = split_by_calendar(accepted, load_calendar(spark))
+            refused = refused.unionByName(outside.select("request_id", F.col("payload").alias("body"), "reason"))
+        write_events(accepted.select(*EVENT_FIELDS), f"{path}/events", batch=version)
         refused.write.mode("overwrite").parquet(f"{path}/rejected/batch={version}")
-        counted = outcome.filter("counts").groupBy("key_prefix", "minute")
-        counted.agg(F.count(F.lit(1)).alias("requests")).write.mode("overwrite").parquet(
-            f"{path}/counters/batch={version}"
+        counted = outcome.filter("counts").groupBy("key_prefix", "minute").agg(F.count(F.lit(1)).alias("requests"))
+        (
+            counted.withColumns({"hour": F.date_format("minute", HOUR), "batch": F.lit(version).cast("bigint")})
+            .write.partitionBy("hour", "batch")
+            .mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .parquet(f"{path}/counters")
         )
 
     return (

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 from datetime import timedelta
 
 import pytest
@@ -63,7 +64,7 @@ def test_csv(spark, tmp_path):
         ",2026-05-21T12:05:00Z,user_101,free,2\n"
         "late,never,,,\n",
     )
-    found, rejected = src.read_csv_events(spark, path, "org_a", "src", AS_OF)
+    found, rejected = src.read_csv_events(spark, path, "org_a", "src", AS_OF, multi_line=True)
     got = {r.event_name: r for r in found.collect()}
     assert set(got) == {"csv.import.first", "csv.import.second", "late"}
     assert json.loads(got["csv.import.first"].payload) == {"user_id": "user_99", "plan": "enterprise", "a.b": "1"}
@@ -344,6 +345,39 @@ def test_batch_write_replaces_itself(spark, tmp_path):
     for batch, n in ((0, 2), (1, 3), (1, 3)):
         store.write_events(events(spark, [event("x", utc(2026, 5, d + 1)) for d in range(n)]), path, batch=batch)
     assert store.read_events(spark, path).count() == 5
+    # Run again with other months: nothing of the first attempt is left.
+    store.write_events(events(spark, [event("x", utc(2026, m, 1)) for m in (1, 2)]), path, batch=7)
+    store.write_events(events(spark, [event("y", utc(2026, 2, 1))]), path, batch=7)
+    found = store.read_events(spark, path)
+    assert rows(found.filter("event_name = 'y' OR event_month < '2026-05-01'"), "event_name") == [("y",)]
+    store.write_events(events(spark, [event("loaded", utc(2026, 5, 1))]), path)
+    assert found.columns == store.read_events(spark, path).columns
+    target = str(tmp_path / "compact")
+    store.compact_events(spark, path, target)
+    assert store.read_events(spark, target).count() == store.read_events(spark, path).count() == 7
+
+
+def test_ids_do_not_change_on_a_rerun(spark):
+    frame = spark.createDataFrame([("r1", 0), ("r1", 1), ("r11", 0)], "request string, nth int")
+    ids = [rows(frame.select(src.hashed_id(F.col("request"), F.col("nth")).alias("id")), "id") for _ in range(2)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 3
+    assert all(re.fullmatch(src.UUID_PATTERN[4:], i) for (i,) in ids[0])
+
+
+def test_csv_files_with_other_headers(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder, "a.csv", "event_name,timestamp,user_id,plan\na,2026-05-21T12:00:00Z,u1,free\n")
+    write(folder, "b.csv", "plan,user_id,time,event\npro,u2,2026-05-21T13:00:00Z,b\n" + f"x,u3,,{'n' * 256}\n")
+    write(folder, "c.csv", "event_name,timestamp,user_id,plan\nc,,u4,\n")
+    found, rejected = src.read_csv_events(spark, str(folder), "org_a", "src", AS_OF)
+    got = {r.event_name: (json.loads(r.payload), r.timestamp) for r in found.collect()}
+    assert got == {
+        "a": ({"user_id": "u1", "plan": "free"}, local(utc(2026, 5, 21, 12))),
+        "b": ({"user_id": "u2", "plan": "pro"}, local(utc(2026, 5, 21, 13))),
+        "c": ({"user_id": "u4", "plan": ""}, local(AS_OF)),
+    }
+    assert rows(rejected, "reason") == [("event_name_too_long",)]
 
 
 def test_calendar(spark):

@@ -162,8 +162,9 @@ def test_ingest_over_batches(spark, tmp_path):
     def send(*requests):
         raw.put(spark.createDataFrame(list(requests), raw.layout))
         si.start_ingest(
-            raw.stream(), lambda s: keys, lambda s: sources, path, str(tmp_path / "checkpoint"), limit=3, availableNow=True
-        ).awaitTermination()
+            raw.stream(), lambda s: keys, lambda s: sources, path, str(tmp_path / "checkpoint"), limit=3,
+            load_calendar=lambda s: store.expected_partitions(s, AS_OF), availableNow=True,
+        ).awaitTermination()
 
     def body(*found):
         return json.dumps(list(found) if len(found) != 1 else found[0])
@@ -180,6 +181,8 @@ def test_ingest_over_batches(spark, tmp_path):
         ("r5", secret, at + timedelta(seconds=3), body({"event_name": "late"})),
         ("r6", secret, at + timedelta(minutes=1), body({"event_name": "next"}, {"event_name": "n", "data_source_id": "0" * 32})),
         ("r7", secret, at + timedelta(minutes=1), "{broken"),
+        ("r8", secret, at + timedelta(hours=2), '{"event_name":"a"},{"event_name":"b"}'),
+        ("r9", secret, at + timedelta(hours=3), body({"event_name": "far", "timestamp": "2031-01-01T00:00:00Z"})),
     )
     stored = store.read_events(spark, f"{path}/events")
     assert rows(stored, "event_name", "organization_id") == [("a", "org_a"), ("b", "org_a"), ("one", "org_a")]
@@ -192,4 +195,6 @@ def test_ingest_over_batches(spark, tmp_path):
         ("r5", "rate_limited"),
         ("r6", "source_not_usable"),
         ("r7", "not_json"),
+        ("r8", "not_json"),
+        ("r9", "no_partition"),
     ]
