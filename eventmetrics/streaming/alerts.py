@@ -12,12 +12,34 @@ from eventmetrics.streaming.snapshots import read_snapshot, write_snapshot
 
 EVERY = "60 seconds"
 
+# What tells snoozes apart.
+SNOOZE_KEY = "organization_id string, alert_rule_id string, requested_at timestamp"
+
 Loader = Callable[[SparkSession], DataFrame]
 
 
 def put_rules(rules: DataFrame, path: str) -> None:
     """Store the rules a new sweep query starts from."""
     write_snapshot(rules.withColumn("swept_at", F.lit(None).cast("timestamp")), f"{path}/rules", -1)
+    write_snapshot(rules.sparkSession.createDataFrame([], SNOOZE_KEY), f"{path}/snoozed", -1)
+
+
+def with_state(rules: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rules as they are defined now, in the state their last sweep left them; new rules in their own."""
+    state = stored.select(
+        F.col("id").alias("_id"), F.col("current_state").alias("_state"), F.col("muted_until").alias("_until")
+    )
+    known = F.col("_id").isNotNull()
+    return (
+        rules.join(state, F.col("id") == F.col("_id"), "left")
+        .withColumns(
+            {
+                "current_state": F.when(known, F.col("_state")).otherwise(F.col("current_state")),
+                "muted_until": F.when(known, F.col("_until")).otherwise(F.col("muted_until")),
+            }
+        )
+        .select(*rules.columns)
+    )
 
 
 def sweep(
@@ -27,23 +49,27 @@ def sweep(
     version: int,
     as_of: int,
     load_snoozes: Loader | None = None,
+    load_rules: Loader | None = None,
 ) -> None:
     """Sweep number ``version`` at ``as_of`` (microseconds since 1970).
 
     Reads rules of the sweep before, writes the evaluation once, and derives
     the history rows and the next rules from what was written. Each output is
     numbered and replaced as a whole, so running a sweep again is harmless.
+    With ``load_rules`` definitions are read anew and only states carried over.
+    A snooze is applied by the first sweep that sees it, however late it was
+    written; those applied are remembered.
     """
     now = F.timestamp_micros(F.lit(as_of))
     stored = read_snapshot(spark, f"{path}/rules", version - 1)
-    rules = stored.drop("swept_at")
+    rules = stored.drop("swept_at") if load_rules is None else with_state(load_rules(spark), stored)
+    applied = read_snapshot(spark, f"{path}/snoozed", version - 1)
     muted = None
     if load_snoozes is not None:
-        before = F.coalesce(stored.agg(F.max("swept_at")).scalar(), F.timestamp_micros(F.lit(0)))
-        asked = load_snoozes(spark).filter(
-            (F.col("requested_at") > before) & (F.col("requested_at") <= now)
-        )
+        key = applied.columns
+        asked = load_snoozes(spark).filter(F.col("requested_at") <= now).join(applied, key, "left_anti")
         rules, muted = al.snooze(rules, asked, now)
+        applied = applied.unionByName(asked.select(*key).distinct())
     values = al.alert_values(load_events(spark), rules, now)
     write_snapshot(al.evaluate(rules, values, now), f"{path}/evaluated", version)
     evaluated = read_snapshot(spark, f"{path}/evaluated", version)
@@ -53,6 +79,7 @@ def sweep(
     history.write.mode("overwrite").parquet(f"{path}/history/sweep={version}")
     following = al.next_rules(evaluated, rules.columns).withColumn("swept_at", now)
     write_snapshot(following, f"{path}/rules", version)
+    write_snapshot(applied, f"{path}/snoozed", version)
 
 
 def start_sweeps(
@@ -61,6 +88,7 @@ def start_sweeps(
     path: str,
     checkpoint: str,
     load_snoozes: Loader | None = None,
+    load_rules: Loader | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Sweep all rules at each trigger, at the newest ``timestamp`` of ``clock``.
@@ -73,11 +101,11 @@ def start_sweeps(
         as_of = batch.agg(F.max(F.unix_micros("timestamp"))).first()[0]
         if as_of is None:
             # No tick in this batch: hand the rules on under the next number.
-            write_snapshot(
-                read_snapshot(batch.sparkSession, f"{path}/rules", version - 1), f"{path}/rules", version
-            )
+            for name in ("rules", "snoozed"):
+                kept = read_snapshot(batch.sparkSession, f"{path}/{name}", version - 1)
+                write_snapshot(kept, f"{path}/{name}", version)
             return
-        sweep(batch.sparkSession, load_events, path, version, as_of, load_snoozes)
+        sweep(batch.sparkSession, load_events, path, version, as_of, load_snoozes, load_rules)
 
     return (
         clock.writeStream.foreachBatch(run)

@@ -12,8 +12,8 @@ from eventmetrics.operators import access as ac
 from eventmetrics.sources import events as src
 from eventmetrics.sources.store import split_by_calendar, write_events
 
-COUNTERS = "key_prefix string, minute timestamp, requests bigint, hour string, batch bigint"
-HOUR = "yyyyMMddHH"
+COUNTERS = "key_prefix string, minute timestamp, requests bigint, day string, batch bigint"
+DAY = "yyyyMMdd"
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -122,8 +122,8 @@ def start_ingest(
     """Append accepted events to ``path/events`` and refused ones to ``path/rejected``.
 
     Keys and sources are loaded for each micro-batch, so changes take effect.
-    Requests counted per key and minute are kept in ``path/counters`` by hour,
-    so a micro-batch lists and reads only the hours it can still count in.
+    Requests counted per key and minute are kept in ``path/counters`` by day,
+    so a micro-batch lists and reads only the days it can still count in.
     Outcomes are written to a staging folder first, so that the checks run once
     for all outputs; ids are hashes of the request and the event's place in it.
     Every output is keyed by the batch number and replaced if a batch is run
@@ -137,7 +137,7 @@ def start_ingest(
             oldest = batch.agg(F.min(F.date_trunc("minute", F.col("received_at")))).first()[0]
             used = (
                 spark.read.schema(COUNTERS).parquet(f"{path}/counters")
-                .filter((F.col("batch") < version) & (F.col("hour") >= F.date_format(F.lit(oldest), HOUR)))
+                .filter((F.col("batch") < version) & (F.col("day") >= F.date_format(F.lit(oldest), DAY)))
                 .filter(F.col("minute") >= F.lit(oldest))
                 .groupBy("key_prefix", "minute")
                 .agg(F.sum("requests").alias("used"))
@@ -156,8 +156,8 @@ def start_ingest(
         refused.write.mode("overwrite").parquet(f"{path}/rejected/batch={version}")
         counted = outcome.filter("counts").groupBy("key_prefix", "minute").agg(F.count(F.lit(1)).alias("requests"))
         (
-            counted.withColumns({"hour": F.date_format("minute", HOUR), "batch": F.lit(version).cast("bigint")})
-            .write.partitionBy("hour", "batch")
+            counted.withColumns({"day": F.date_format("minute", DAY), "batch": F.lit(version).cast("bigint")})
+            .write.partitionBy("day", "batch")
             .mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .parquet(f"{path}/counters")

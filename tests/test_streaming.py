@@ -149,6 +149,33 @@ def test_sweeps_walk(spark, tmp_path):
     assert rows(read_latest(spark, f"{path}/rules"), "current_state") == [("Resolved",)]
 
 
+def test_sweeps_see_changed_rules_and_late_snoozes(spark, tmp_path):
+    path = str(tmp_path / "state")
+    burst = events(spark, [event("error", AS_OF) for _ in range(4)])
+    defined = [rule(), rule(id="r2", threshold=10.0)]
+    sa.put_rules(rules(spark, *defined), path)
+    snoozes = []
+    layout = "organization_id string, alert_rule_id string, snooze_minutes int, requested_at timestamp"
+
+    def tick(minute, version):
+        at = int((AS_OF + timedelta(minutes=minute)).timestamp() * 1e6)
+        load = lambda s: s.createDataFrame(snoozes, layout)
+        sa.sweep(spark, lambda s: burst, path, version, at, load, lambda s: rules(s, *defined))
+        return dict(rows(read_latest(spark, f"{path}/rules"), "id", "current_state"))
+
+    assert tick(1, 0) == {"r1": "Triggered", "r2": "Resolved"}
+    # An edited rule, a new one, a deleted one; states are carried over.
+    defined[:] = [rule(), rule(id="r2", threshold=2.0), rule(id="r3", threshold=1.0)]
+    assert tick(2, 1) == {"r1": "Triggered", "r2": "Triggered", "r3": "Triggered"}
+    # Asked for before the last sweep, written after it.
+    snoozes.append(("org_a", "r3", 30, AS_OF + timedelta(seconds=90)))
+    del defined[0]
+    assert tick(3, 2) == {"r2": "Triggered", "r3": "Muted"}
+    assert tick(4, 3) == {"r2": "Triggered", "r3": "Muted"}
+    history = sa.read_history(spark, path).filter("state = 'Muted'")
+    assert rows(history, "alert_rule_id", "sweep") == [("r3", 2)]
+
+
 def test_ingest_over_batches(spark, tmp_path):
     secret = "pk_live_good0000-secret"
     source = "11111111-2222-3333-4444-555555555555"
