@@ -55,8 +55,15 @@ def shared_scope(dashboards: DataFrame, token: str) -> DataFrame:
 
 
 def shared_events(events: DataFrame, dashboards: DataFrame, token: str) -> DataFrame:
-    """Events of the tenant behind a public share token; none for a wrong token."""
-    return events.join(shared_scope(dashboards, token), "organization_id", "left_semi")
+    """Events of the tenant behind a public share token; none for a wrong token.
+
+    A token belongs to one dashboard, so its tenant is looked up first and
+    reaches the scan of the events as a literal.
+    """
+    owners = shared_scope(dashboards, token).select("organization_id").distinct().limit(2).collect()
+    if len(owners) > 1:
+        raise ValueError("the share token belongs to dashboards of several tenants")
+    return events.filter(F.col("organization_id") == owners[0][0] if owners else F.lit(False))
 
 
 def small_side(table: DataFrame, rows: int, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:

@@ -90,6 +90,28 @@ def all_metric_points(events: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def chart_of(
+    events: DataFrame, metric_a: str, metric_b: str, interval: str, start: datetime, end: datetime
+) -> DataFrame:
+    """Two metrics side by side from one scan; a bucket that one of them lacks gets 0 for it."""
+    keys = ["organization_id", "bucket"]
+    for metric in (metric_a, metric_b):
+        check_metric(metric)
+    bucketed = scope(events, start, end).withColumn("bucket", bucket(interval))
+    # Points come out dealt by the same keys, so bringing them together moves nothing.
+    return (
+        all_metric_points(bucketed, keys)
+        .filter(F.col("metric").isin(metric_a, metric_b))
+        .groupBy(*keys)
+        .agg(
+            *[
+                F.coalesce(F.max(F.when(F.col("metric") == m, F.col("value"))), F.lit(0.0)).alias(m)
+                for m in dict.fromkeys((metric_a, metric_b))
+            ]
+        )
+    )
+
+
 def chart_merge(
     series_a: DataFrame, series_b: DataFrame, name_a: str, name_b: str
 ) -> DataFrame:

@@ -51,6 +51,11 @@ def breakdown_top_share(spark, sf_dir):
 
 
 def chart_merge(spark, sf_dir):
+    events = sample.events(spark, sf_dir)
+    return plain(se.chart_of(events, "page_views", "unique_visitors", "hour", FIRST, AS_OF))
+
+
+def chart_merge_series(spark, sf_dir):
     events = sample.events(spark, sf_dir)
     views = se.timeseries(events, "page_views", "hour", FIRST, AS_OF)
     visitors = se.timeseries(events, "unique_visitors", "hour", FIRST, AS_OF)
@@ -110,6 +115,7 @@ QUERIES = {
     "breakdown_missing": breakdown_missing,
     "breakdown_top_share": breakdown_top_share,
     "chart_merge": chart_merge,
+    "chart_merge_series": chart_merge_series,
     "tail_points": tail_points,
     "bar_heights": bar_heights,
     "error_rate": error_rate,
@@ -307,3 +313,4 @@ ORACLES = {
 }
 ORACLES["overview_received"] = ORACLES["overview"]
 ORACLES |= {name: series_sql(*spec) for name, spec in SERIES.items()}
+ORACLES["chart_merge_series"] = ORACLES["chart_merge"]

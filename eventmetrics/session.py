@@ -25,28 +25,35 @@ SETTINGS = {
 }
 
 
+# Where a cluster's sessions start grouped shuffles: adaptive execution merges
+# small partitions but never splits one that an aggregation needs together.
+CLUSTER_SETTINGS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192"}
+
+
 def build_session(app: str = "eventmetrics", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in SETTINGS.items():
+    settings = SETTINGS if master and master.startswith("local") else SETTINGS | CLUSTER_SETTINGS
+    for key, value in settings.items():
         builder = builder.config(key, value)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session for stateful streams: RocksDB state, one state partition per core.
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session for stateful streams: RocksDB state, ``state_partitions`` parts of it.
 
-    The number of state partitions is fixed by the first run of a checkpoint,
-    so it follows the cluster and not the setting tuned for batch queries.
+    Their number is fixed by the first run of a checkpoint, whatever the
+    cluster grows to later, so give it on a cluster with changing size; it is
+    one per core of the moment otherwise.
     """
     session = spark.newSession()
     for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
         session.conf.set(key, SETTINGS[key])
-    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    session.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
     return session
 
 
