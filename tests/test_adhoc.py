@@ -104,3 +104,40 @@ def test_errors_are_returned(session):
 def test_tables_need_a_tenant_column(spark):
     with pytest.raises(ValueError):
         ad.tenant_session(spark, "org_a", {"plain": lambda s: s.range(3)})
+
+
+OUTSIDE = {
+    "SELECT java_method/**/('java.lang.Math', 'abs', -1)": "java_method",
+    "SELECT `java_method`('java.lang.Math', 'abs', -1)": "java_method",
+    "SELECT ReFlect('a', 'b')": "ReFlect",
+    "SELECT TRANSFORM(event_name) USING/**/'cat' AS (x string) FROM events": "ScriptTransformation",
+    "WITH a AS (SELECT reflect('x', 'y') r) SELECT * FROM a": "reflect",
+    "SELECT (SELECT max(java_method('a', 'b')) FROM events) x": "java_method",
+    "SELECT 1 FROM events WHERE EXISTS (SELECT try_reflect('a', 'b'))": "try_reflect",
+    "SELECT filter(array(1, 2), x -> java_method('a', 'b') > 1)": "java_method",
+    "SELECT * FROM events, LATERAL (SELECT java_method('a', 'b'))": "java_method",
+    "EXPLAIN SELECT reflect('a', 'b')": "reflect",
+    "SELECT no_such_function(1)": "no_such_function",
+    "SELECT IDENTIFIER('java_method')('a', 'b')": "ExpressionWithUnresolvedIdentifier",
+    "SELECT * FROM IDENTIFIER('saved')": "PlanWithUnresolvedIdentifier",
+    "SELECT * FROM range(10)": "UnresolvedTableValuedFunction",
+    "SELECT * FROM saved": "saved",
+    "SELECT * FROM default.saved": "default.saved",
+    "SELECT * FROM saved WHERE 1 IN (WITH saved AS (SELECT 1 AS x) SELECT x FROM saved)": "saved",
+}
+
+
+def test_nothing_outside_the_lists(spark, session):
+    spark.sql("CREATE TABLE IF NOT EXISTS saved (x int) USING parquet")
+    try:
+        for sql, name in OUTSIDE.items():
+            result = ad.run_sql(session[0], sql)
+            assert result.error == ad.OUTSIDE_MESSAGE % name and result.frame is None, sql
+        for sql in (
+            "WITH a AS (SELECT 1 AS x) SELECT * FROM a JOIN events ON true",
+            "SELECT upper(event_name), sum(1) OVER (PARTITION BY event_name) FROM events ORDER BY 1 LIMIT 2",
+            "SELECT EXTRACT(year FROM timestamp), CAST(timestamp AS date) FROM events LATERAL VIEW explode(array(1)) t AS z",
+        ):
+            assert ad.run_sql(session[0], sql).success, sql
+    finally:
+        spark.sql("DROP TABLE saved")

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from eventmetrics.functions.numbers import double_text
 from eventmetrics.operators import alerts as al
 
 LATER, EARLIER = AS_OF + timedelta(minutes=5), AS_OF - timedelta(minutes=5)
@@ -232,3 +233,21 @@ def test_replay_equals_fold(spark, inputs, start):
     got = [(r["at"], r.state_before, r.state_after, r.history) for r in found.collect()]
     wanted = [(local(at(a)), b, s, h) for a, b, s, h in fold(state, until, inputs)]
     assert got == wanted
+
+
+def test_equal_to_an_exact_duration(spark):
+    """A session of 0.64001 s meets a rule that asks for just that."""
+    visit = events(
+        spark,
+        [event("page_view", ago(minutes=5), session_id="s"), event("click", ago(minutes=5) + timedelta(microseconds=640010), session_id="s")],
+    )
+    table = rules(spark, rule(metric_type="avg_session_duration", operator="==", threshold=0.64001, time_window_minutes=10))
+    values = al.alert_values(visit, table, AS_OF)
+    assert values.first().value == 0.64001
+    assert rows(al.transitions(al.evaluate(table, values, AS_OF), AS_OF), "state") == [("Triggered",)]
+
+
+def test_number_texts(spark):
+    numbers = [0.0005, 12345678.9, 5.0, 0.0, -0.0, 1e16, 1e-5, 1.5e-7, 123456789012345.6, 0.1, 1 / 3, 2e300, -0.00012345678901234567]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n double")
+    assert [r.t for r in frame.select(double_text(frame.n).alias("t")).collect()] == [repr(n) for n in numbers]

@@ -56,6 +56,7 @@ def parts(spark):
             widget("broken", "bar", interval="decade"),
             widget("pie", "pie", property_key="browser", limit=1),
             widget("table", "table", breakdown_property="browser"),
+            widget("none", "table", breakdown_property="browser", limit=0),
             widget("gauge", "gauge"),
             widget("gone", "kpi", deleted=True),
             widget("theirs", "line", dashboard="d3"),
@@ -69,7 +70,8 @@ def test_widgets(visits, boards, parts):
     got = {}
     for r in found.collect():
         got.setdefault(r.widget_id, []).append((r.section, r.ord, r.label, r.value, r.extra))
-    assert set(got) == {"kpi", "bounce", "odd", "line", "broken", "pie", "table", "gauge", "theirs"}
+    assert set(got) == {"kpi", "bounce", "odd", "line", "broken", "pie", "table", "none", "gauge", "theirs"}
+    assert got["none"] == [("empty", 1, "table", None, None)]
     assert got["kpi"] == [("kpi", 1, "page_views", 10.0, 100.0)]
     assert got["bounce"] == [("kpi", 1, "bounce_rate", 100.0, 100.0)]
     assert got["odd"] == [("kpi", 1, "latency", 0.0, 0.0)]
@@ -87,9 +89,9 @@ def test_widgets(visits, boards, parts):
 
 def test_dashboard_without_widgets(boards, parts):
     placed = rows(da.dashboard_widgets(boards, parts).groupBy("dashboard_id").count())
-    assert placed == [("d1", 8), ("d3", 1), ("d4", 1)]
+    assert placed == [("d1", 9), ("d3", 1), ("d4", 1)]
     kept = da.dashboard_widgets(boards, parts, keep_deleted=True)
-    assert kept.filter("dashboard_id = 'd1'").count() == 9
+    assert kept.filter("dashboard_id = 'd1'").count() == 10
 
 
 def test_template(spark, visits):
@@ -97,7 +99,7 @@ def test_template(spark, visits):
     dashboards, widgets = da.web_analytics_template(orgs, "Web_Analytics")
     assert rows(widgets.groupBy("dashboard_id").count(), "count") == [(6,), (6,)]
     first = json.loads(widgets.filter("name = 'Bounce Rate'").first().layout)
-    assert {k: int(v) for k, v in first.items()} == {"x": 6, "y": 0, "w": 3, "h": 2}
+    assert first == {"x": 6, "y": 0, "w": 3, "h": 2}
     results = da.widget_results(visits, dashboards, widgets, ago(days=1), AS_OF)
     pie = results.filter("section = 'pie' AND organization_id = 'org_a'")
     assert rows(pie, "label", "value", "extra") == [("Chrome", 5.0, 50.0), ("Safari", 5.0, 50.0)]
