@@ -44,9 +44,9 @@ from eventmetrics.llm.common import written
 LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # short strings in a string of LENGTH bytes
-MOST_CONTEXTS = 4000
+MOST_CONTEXTS = 1000
 CELL = 16  # neighbouring strings that are first counted by their common part
-PIECE = 1 << 20
+PIECE = 1 << 18
 POSITION_BITS = 24
 
 ANCHORS = (
@@ -107,17 +107,13 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, powers: tokens.Powers) -
     return Anchors(text[first], grams[place], context, place, low, high)
 
 
-def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    yield from tokens.chunks(batch, "text", size)
-
-
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = tokens.Powers()
     item = pa.struct(
         [("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]
     )
     for whole in batches:
-        for batch in _slices(whole, tokens.PIECE_BYTES):
+        for batch in tokens.chunks(whole, "text"):
             data, offsets = tokens.text_bytes(batch.column(2))
             if len(data) >= 1 << POSITION_BITS:
                 found = [_long_text(data, powers)]  # a slice this large is a single text
@@ -302,7 +298,7 @@ def _body_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 body = bytes(data[w["low"] : w["high"] + LENGTH])
                 rows.append((w["anchor"], w["copies"], doc_id, version, w["place"], w["low"], body))
                 size += len(body)
-            if size >= 4 * PIECE:
+            if size >= PIECE:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
                 rows, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
@@ -419,7 +415,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in tokens.chunks(whole, "text", 4 * PIECE)):
         out: list[tuple] = []
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             data = bytes(text.as_buffer()) if text.is_valid else b""

@@ -1,6 +1,6 @@
 """Words and word shingles of many texts at once, as 64-bit hashes in numpy.
 
-Used inside tasks on Arrow batches. Work is cut into pieces of a few megabytes
+Used inside tasks on Arrow batches. Work is cut into pieces of half a megabyte
 at blanks, so memory follows the piece and not the batch or the longest text.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 * 1024 * 1024
+PIECE_BYTES = 512 * 1024
 BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 
 LOWER = np.arange(256, dtype=np.uint8)
