@@ -33,7 +33,7 @@ from eventmetrics.llm import tokens
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
-CHUNK_BYTES = 3 * 1024 * 1024
+CHUNK_BYTES = 1024 * 1024
 RANKS_AT = -1e8  # merge files give pieces that merging cannot reach a score below this
 
 
@@ -207,7 +207,7 @@ def encode_texts(texts: list[str], pieces: Pieces, powers: tokens.Powers) -> tup
     cuts = np.flatnonzero(np.diff(own_sizes[order])) + 1
     for group in np.split(order, cuts):
         length = int(own_sizes[group[0]])
-        step = max(1, (1 << 20) // (length + 1))
+        step = max(1, (1 << 19) // (length + 1))
         for lo in range(0, len(group), step):
             part = group[lo : lo + step]
             ids, ends, count = viterbi(points, own_begins[part], length, sums, powers.down, pieces)
