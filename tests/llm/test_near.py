@@ -85,7 +85,7 @@ def passages(sample):
     return [*sample[:120], *rows, sample[3]]
 
 
-@pytest.mark.parametrize("most", [1000, 1])
+@pytest.mark.parametrize("most", [4000, 1])
 def test_repeated_passages(make, sample, monkeypatch, most):
     monkeypatch.setattr(repeat_intervals, "MOST_CONTEXTS", most)
     rows = passages(sample)
