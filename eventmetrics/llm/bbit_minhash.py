@@ -1,7 +1,7 @@
 """MinHash near-dedup with b-bit signatures.
 
-A text's set is its distinct runs of five words. 128 minima per set make 24
-bands of four for candidates; of each minimum four low bits are packed into a
+A text's set is its distinct runs of five words. 128 minima per set make bands
+for candidates (``bands_for``); of each minimum four low bits are packed into a
 signature, whose agreement, corrected for chance agreement of four bits, drops
 candidates far below the threshold. The rest is confirmed on the full sets, by
 whole-number arithmetic. Links make components.
@@ -13,8 +13,10 @@ compared with the two most central ones; then the classes which still lie in
 different components are compared exactly, on their full sets, in bounded
 blocks that return no more links than they join components.
 
-A pair at the threshold shares no band with probability (1 - 0.85**4)**24 =
-2e-8, and falls below the signature cut with less than 1e-7.
+Bands and signature cut follow from ``percent``. A pair at the threshold shares
+no band with probability ``BAND_MISS`` at most (24 bands of four at 85: 2e-8; 32
+bands of four at 80: 5e-8), and falls below the signature cut with less than
+``CUT_MISS``. 128 minima do that from 12 percent on; less is refused.
 
 Defined results: a null text or one without words has the empty set and is
 linked with nothing; a text of fewer than five words has one run; a row with a
@@ -26,6 +28,7 @@ returns one of them), and an id with different texts links them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +43,10 @@ from eventmetrics.llm.components import components
 
 WIDTH = 5
 MINIMA = 128
-BANDS, ROWS = 24, 4
 BITS = 4
 PERCENT = 85
-# Six standard deviations of the estimate below the threshold.
-CUT = 0.64
+# Chances that a pair at the threshold shares no band, and that its signatures agree too little.
+BAND_MISS, CUT_MISS = 1e-7, 1e-8
 SMALL_BUCKET = 16
 BLOCK = 256
 STRIDE = 1 << 14  # shingles per step, so that a step stays in cache
@@ -61,6 +63,29 @@ SKETCH = T.StructType(
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("members", T.BinaryType())])
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and minima to a band: the longest bands, eight at a time, that keep ``BAND_MISS``."""
+    for rows in (4, 3, 2, 1):
+        for bands in range(8, MINIMA // rows + 1, 8):
+            if (1 - (percent / 100) ** rows) ** bands <= BAND_MISS:
+                return bands, rows
+    raise ValueError(f"{MINIMA} minima do not find pairs of {percent} percent")
+
+
+def cut_for(percent: int) -> float:
+    """The least estimate that goes on: a pair at the threshold is below it with a chance under ``CUT_MISS``."""
+    chance = 1.0 / (1 << BITS)
+    agree = percent / 100 + (1 - percent / 100) * chance
+    count, below = 0, 0.0
+    while count < MINIMA:
+        below += comb(MINIMA, count) * agree**count * (1 - agree) ** (MINIMA - count)
+        if below >= CUT_MISS:
+            break
+        count += 1
+    # Half a minimum lower, so that rounding does not decide.
+    return ((count - 0.5) / MINIMA - chance) / (1 - chance)
+
+
 def minima(values: np.ndarray, places: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """For each text with values and each factor, the smallest product."""
     full = np.flatnonzero(np.diff(places))
@@ -85,39 +110,43 @@ def _sets(batch: pa.RecordBatch, powers: tokens.Powers) -> tuple[np.ndarray, np.
     return tokens.distinct_sorted(*tokens.shingles(words, first, WIDTH))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers, factors = tokens.Powers(), tokens.constants(MINIMA, 9)
-    salts = tokens.constants(BANDS * ROWS, 10)
-    for whole in batches:
-        for batch in tokens.chunks(whole, "text"):
-            members, places = _sets(batch, powers)
-            full = np.flatnonzero(np.diff(places))
-            n = batch.num_rows
-            low = minima(members, places, factors)
-            grouped = (low[:, : BANDS * ROWS] * salts).reshape(len(full), BANDS, ROWS).sum(axis=2, dtype=np.uint64)
-            keys = tokens.mix(grouped + np.arange(BANDS, dtype=np.uint64) * salts[0])
-            spread = tokens.mix(low)
-            planes = [
-                np.packbits(((spread >> np.uint64(p)) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
-                for p in range(BITS)
-            ]
-            signature = np.ascontiguousarray(np.concatenate(planes, axis=1)) if len(full) else np.zeros((0, 8), np.int64)
-            digest = np.zeros((n, 2), np.uint64)
-            if len(full):
-                digest[full, 0] = np.add.reduceat(tokens.mix(members), places[full])
-                digest[full, 1] = np.bitwise_xor.reduceat(tokens.mix(members * factors[0]), places[full])
-            sizes = np.diff(places)
-            per_row = lambda width: np.concatenate([[0], np.cumsum((sizes > 0) * width)])  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array([row.tobytes() for row in digest], pa.binary()),
-                    tokens.list_column(signature.reshape(-1), per_row(BITS * MINIMA // 64), pa.int64()),
-                    tokens.list_column(keys.reshape(-1).view(np.int64), per_row(BANDS), pa.int64()),
-                ],
-                names=[f.name for f in SKETCH],
-            )
+def _sketch(n_bands: int, n_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, factors = tokens.Powers(), tokens.constants(MINIMA, 9)
+        salts = tokens.constants(n_bands * n_rows, 10)
+        for whole in batches:
+            for batch in tokens.chunks(whole, "text"):
+                members, places = _sets(batch, powers)
+                full = np.flatnonzero(np.diff(places))
+                n = batch.num_rows
+                low = minima(members, places, factors)
+                grouped = (low[:, : n_bands * n_rows] * salts).reshape(len(full), n_bands, n_rows)
+                grouped = grouped.sum(axis=2, dtype=np.uint64)
+                keys = tokens.mix(grouped + np.arange(n_bands, dtype=np.uint64) * salts[0])
+                spread = tokens.mix(low)
+                planes = [
+                    np.packbits(((spread >> np.uint64(p)) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+                    for p in range(BITS)
+                ]
+                signature = np.ascontiguousarray(np.concatenate(planes, axis=1)) if len(full) else np.zeros((0, 8), np.int64)
+                digest = np.zeros((n, 2), np.uint64)
+                if len(full):
+                    digest[full, 0] = np.add.reduceat(tokens.mix(members), places[full])
+                    digest[full, 1] = np.bitwise_xor.reduceat(tokens.mix(members * factors[0]), places[full])
+                sizes = np.diff(places)
+                per_row = lambda width: np.concatenate([[0], np.cumsum((sizes > 0) * width)])  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(sizes, pa.int64()),
+                        pa.array([row.tobytes() for row in digest], pa.binary()),
+                        tokens.list_column(signature.reshape(-1), per_row(BITS * MINIMA // 64), pa.int64()),
+                        tokens.list_column(keys.reshape(-1).view(np.int64), per_row(n_bands), pa.int64()),
+                    ],
+                    names=[f.name for f in SKETCH],
+                )
+
+    return run
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +265,8 @@ def _block_task(percent: int):
     return run
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    return written(docs.select("doc_id", "text").mapInArrow(_sketch, SKETCH), "sketches")
+def _sketches(docs: DataFrame, percent: int) -> DataFrame:
+    return written(docs.select("doc_id", "text").mapInArrow(_sketch(*bands_for(percent)), SKETCH), "sketches")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -334,7 +363,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = _sketches(docs)
+    sketches = _sketches(docs, percent)
     full = sketches.where("n_shingles > 0")
     classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(
@@ -358,7 +387,10 @@ def near_duplicates(
         written(_pairs(members), "pairs")
         .join(sketch_a, "a")
         .join(sketch_b, "b")
-        .where((100 * small_size >= percent * large_size) & (estimate(F.col("sig_a"), F.col("sig_b")) >= CUT))
+        .where(
+            (100 * small_size >= percent * large_size)
+            & (estimate(F.col("sig_a"), F.col("sig_b")) >= cut_for(percent))
+        )
         .select("a", "b")
         .distinct(),
         "likely-pairs",

@@ -1,6 +1,7 @@
 """URL filter, quality classifier, mixing, sentence pieces, pipeline."""
 
 import collections
+import random
 import re
 import struct
 import zlib
@@ -260,3 +261,16 @@ def test_pipeline(spark, pieces):
     for r in got[:50]:
         data, _ = sentencepieces.decode_ids(np.array(r.piece_ids), np.array([0, len(r.piece_ids)]), pieces)
         assert data.tobytes().decode() == rows[r.doc_id].text
+
+
+def test_near_stage_of_the_pipeline_links_at_80(spark, make):
+    rng, rows = random.Random(6), []
+    for k in range(40):
+        words = [f"t{k}_{i}" for i in range(100)]
+        rows.append((2 * k + 1, " ".join(words)))
+        for at in rng.sample(range(5, 95), 2 + k % 2):
+            words[at] = "changed"
+        rows.append((2 * k + 2, " ".join(words)))
+    want = sorted(d for d, (_, c) in brute.near_duplicates(rows, 80).items() if c == d)
+    assert len(want) < sum(c == d for d, (_, c) in brute.near_duplicates(rows).items())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, make(rows), SF_DIR).collect()) == want

@@ -51,6 +51,31 @@ def test_near_duplicates_odd_rows(make):
     assert got == [(0, 4, False), (4, 4, True), (4, 4, True), (9, 4, False)]
 
 
+@pytest.mark.parametrize("percent", [80, 60, 40])
+def test_near_duplicates_at_other_thresholds(make, percent):
+    rng, rows = random.Random(percent), []
+    for k in range(60):
+        words = [f"t{k}_{i}" for i in range(100)]
+        rows.append((2 * k + 1, " ".join(words)))
+        for at in rng.sample(range(5, 95), rng.randrange(1, 12)):
+            words[at] = f"other{at}"
+        rows.append((2 * k + 2, " ".join(words)))
+    want = {d: (n, c, d == c) for d, (n, c) in brute.near_duplicates(rows, percent).items()}
+    assert any(c < d for d, (_, c, _) in want.items()) and any(c == d and d % 2 == 0 for d, (_, c, _) in want.items())
+    got = bbit_minhash.near_duplicates(make(rows), percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
+def test_misses_follow_from_the_threshold():
+    assert bbit_minhash.bands_for(85) == (24, 4) and bbit_minhash.bands_for(80) == (32, 4)
+    for percent in (12, 40, 60, 80, 85, 95):
+        bands, rows = bbit_minhash.bands_for(percent)
+        assert bands * rows <= bbit_minhash.MINIMA and (1 - (percent / 100) ** rows) ** bands <= bbit_minhash.BAND_MISS
+    assert bbit_minhash.cut_for(40) < bbit_minhash.cut_for(60) < bbit_minhash.cut_for(80) < 0.6 < bbit_minhash.cut_for(85)
+    with pytest.raises(ValueError):
+        bbit_minhash.bands_for(11)
+
+
 def test_estimate_is_near_the_similarity(spark):
     powers, factors = tokens.Powers(), tokens.constants(bbit_minhash.MINIMA, 9)
     rng = np.random.default_rng(2)
