@@ -199,6 +199,8 @@ def enhanced_suffixes(bodies: list[np.ndarray]) -> tuple[Enhanced, np.ndarray]:
         common[same] += step
         a[same] += step
         b[same] += step
+    # All ends look alike, so a step may run over two of them into the bodies behind.
+    common = np.minimum(common, limit)
     for _ in range(6):  # what is left is shorter than the first step
         same = (common < limit) & (symbols[np.minimum(a, total)] == symbols[np.minimum(b, total)])
         common[same] += 1

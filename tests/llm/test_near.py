@@ -134,6 +134,20 @@ def test_maximal_repeats_against_all_pairs(monkeypatch):
         assert found == maximal_plain(bodies, 5)
 
 
+def test_common_prefixes_end_with_their_bodies():
+    rng = random.Random(9)
+    for length in range(200, 369):
+        tail = bytes(rng.randrange(97, 123) for _ in range(length))
+        # The bodies behind begin alike, so that a step over the ends agrees.
+        bodies = [b"x" + tail, b"y" + tail, b"x" + tail[:150], b"y" + tail[:150]]
+        arrays = [np.frombuffer(b, np.uint8) for b in bodies]
+        suffixes, begins = repeat_intervals.enhanced_suffixes(arrays)
+        ends = begins + [len(b) for b in bodies]
+        rest = ends[np.searchsorted(begins, suffixes.order, "right") - 1] - suffixes.order
+        assert (suffixes.common <= rest).all()
+        assert sorted(repeat_intervals.covered_spans(arrays)) == [(0, 1, length + 1), (1, 1, length + 1)]
+
+
 def maximal_plain(bodies, least):
     """(length, places) of strings that stand twice or more and that no byte on either side extends."""
     out = set()
