@@ -192,6 +192,56 @@ def test_near_passages(make, sample, monkeypatch, most):
     assert all(got[30_000 + k].component_id < 30_000 for k in range(12))
 
 
+def test_near_passages_with_swapped_sentences(make):
+    rows = []
+    for k in range(24):
+        first, second = ([f"s{k}_{i}" for i in part] for part in (range(25), range(25, 50)))
+        for n, passage in enumerate((first + second, second + first)):
+            own = [f"own{k}_{n}_{i}" for i in range(60)]
+            rows.append((2 * k + n + 1, " ".join([*own[:30], *passage, *own[30:]])))
+    got = {r.doc_id: r for r in compact_windows.report(make(rows)).collect()}
+    linked = [k for k in range(24) if got[2 * k + 2].component_id == got[2 * k + 1].component_id == 2 * k + 1]
+    assert len(linked) >= 23
+    for k in linked:
+        for d in (2 * k + 1, 2 * k + 2):
+            (span,) = got[d].spans
+            assert span.low <= 30 and span.high >= 80
+    # No span goes beyond the passages with a set overlap of 0.8, at any place of the other text.
+    for a, b in [(2 * k + 1, 2 * k + 2) for k in linked]:
+        runs = {d: [tuple(t.split()[i : i + 5]) for i in range(106)] for d, t in rows if d in (a, b)}
+        plain = [set(runs[b][i : i + 46]) for i in range(61)]
+        near = [i for i in range(61) if any(9 * len(set(runs[a][i : i + 46]) & q) >= 4 * 92 for q in plain)]
+        # The outermost passages meet their partner by chance, as any passage at the threshold does.
+        assert all(near[0] <= s.low and s.high <= near[-1] + 50 for s in got[a].spans)
+
+
+def test_shared_runs_against_sets():
+    rng = np.random.default_rng(3)
+    for kinds in (12, 60, 4000):
+        text = rng.integers(0, kinds, 120).astype(np.uint32)
+        other = rng.permutation(text)
+        for a, b, apart in ((text[:91], other[:80], None), (text[:70], text[9:99], 9), (text[20:90], text[:91], -20)):
+            got = compact_windows.shared_runs(a, b, apart)
+            for p in range(0, len(a) - 45, 3):
+                for q in range(len(b) - 45):
+                    at = {}
+                    for y in range(q, q + 46):
+                        at.setdefault(b[y], set()).add(y + (apart or 0))
+                    want = {
+                        a[x] for x in range(p, p + 46)
+                        if a[x] in at and (apart is None or at[a[x]] - {x})
+                    }
+                    assert got[p, q] == len(want)
+            assert compact_windows.different(a).tolist() == [len(set(a[p : p + 46].tolist())) for p in range(len(a) - 45)]
+
+
+def test_overlap_makes_no_passage_near(make):
+    words = [f"w{i}" for i in range(100)]
+    words[40:45] = words[52:57] = [f"twice{i}" for i in range(5)]
+    (row,) = compact_windows.report(make([(1, " ".join(words))])).collect()
+    assert row.n_spans == 0
+
+
 @pytest.mark.parametrize("operator", [bbit_minhash.near_duplicates, bbit_minhash.kept_rows, repeat_intervals.report, compact_windows.report])
 def test_empty_tables(make, operator):
     assert operator(make([])).collect() == []
