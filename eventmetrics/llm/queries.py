@@ -9,6 +9,9 @@ from eventmetrics.llm import (
     compression_quality,
     entropy_balance,
     line_windows,
+    phrase_counting,
+    popcount_tiles,
+    prefix_trie,
     quality_rules,
     repeat_intervals,
     sentencepieces,
@@ -59,6 +62,18 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_near_dedup(spark, sf_dir):
+    return popcount_tiles.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_phrase_mining(spark, sf_dir):
+    return phrase_counting.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline  # it imports this folder's operators itself
 
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_compact_windows": op8_compact_windows,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_phrase_mining": op13_phrase_mining,
     "pipeline": pipeline,
 }
 
@@ -175,8 +193,88 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, le
 """
 
 
+# The head length needs CRC-32, bit by bit: each byte is followed by eight steps.
+OP12_SQL = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+crc AS (
+  SELECT conv_id, turns, xor(list_reduce(
+    list_concat([4294967295::BIGINT],
+      flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  ), 4294967295::BIGINT) % 4 AS h
+  FROM own
+),
+conv AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+),
+member AS (
+  SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM conv
+),
+node AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256,
+         (count(*) - 1) * coalesce(len(list_filter(
+           regexp_split_to_array(any_value(turns[depth].text), '{BLANK}'), lambda w: w <> '')), 0) AS own_saved
+  FROM member GROUP BY path, depth
+),
+child AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+marked AS (
+  SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child ON child.path = node.path AND child.depth = node.depth
+),
+up AS (SELECT path, depth, unnest(range(depth + 1)) AS top, own_saved, n_children FROM marked),
+sums AS (
+  SELECT path[1:top] AS path, top AS depth, sum(own_saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM up GROUP BY ALL
+)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM marked m JOIN sums s ON s.path = m.path AND s.depth = m.depth
+LEFT JOIN marked p ON m.depth > 0 AND p.path = m.path[1:m.depth - 1] AND p.depth = m.depth - 1
+"""
+
+OP13_SQL = """
+WITH piece AS (
+  SELECT lang, row_number() OVER () AS piece, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda w: w <> '') AS words
+    FROM documents
+  )
+),
+word AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM piece),
+total AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
+phrase AS (
+  SELECT lang, words[i:i + m - 1] AS w, m, count(*) AS f
+  FROM word, (VALUES (1), (2), (3), (4)) AS size(m) WHERE i + m - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 30
+),
+side AS (SELECT lang, w, m, f AS a, unnest(range(1, m)) AS k FROM phrase WHERE m > 1),
+half AS (SELECT lang, w, a, k, w[1:k] AS first, w[k + 1:] AS rest FROM side),
+cut AS (
+  SELECT h.lang, h.w, a, x.f AS l, y.f AS r, k, (2000000 * a::HUGEINT) // (x.f + y.f) AS score
+  FROM half h JOIN phrase x ON x.lang = h.lang AND x.w = h.first JOIN phrase y ON y.lang = h.lang AND y.w = h.rest
+),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+inner_phrase AS (
+  SELECT lang, w[s:s + m2 - 1] AS w, max(f) AS f
+  FROM phrase, (VALUES (1), (2), (3)) AS a(s), (VALUES (2), (3)) AS b(m2) WHERE m2 < m AND s + m2 - 1 <= m GROUP BY ALL
+),
+kept AS (
+  SELECT low.*, array_to_string(low.w, ' ') AS phrase FROM low LEFT JOIN inner_phrase i ON i.lang = low.lang AND i.w = low.w
+  WHERE i.f IS NULL OR 100 * i.f < 80 * a
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op5_line_window_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_quality_rules": _op10_sql(),
+    "op12_prefix_trie": OP12_SQL,
+    "op13_phrase_mining": OP13_SQL,
 }

@@ -1,6 +1,11 @@
 """Plain versions of the operators, for small inputs."""
 
+import collections
+import hashlib
 import re
+import zlib
+
+import xxhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -113,3 +118,84 @@ def near_windows(rows, width=46, percent=80):
         return False
 
     return exact, near
+
+
+def fingerprint(text):
+    words = lower_words(text)
+    runs = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def simhash_components(rows):
+    """[(doc_id, fingerprint, component)] of (doc_id, text) rows, each print with each."""
+    prints = [fingerprint(t) for _, t in rows]
+    nodes = sorted(set(prints))
+    links = [(a, b) for i, a in enumerate(nodes) for b in nodes[:i] if (a ^ b).bit_count() <= 3]
+    label = roots(nodes, links)
+    lowest = {}
+    for (d, _), p in zip(rows, prints):
+        if d is not None:
+            lowest[label[p]] = min(d, lowest.get(label[p], d))
+    return sorted(((d, f"{p:016x}", lowest.get(label[p])) for (d, _), p in zip(rows, prints)), key=str)
+
+
+def trie(rows):
+    """Nodes of (conv_id, turn, role, text) rows, which come in the order of tied turns."""
+    own = collections.defaultdict(list)
+    for c, _, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own[c].append((role or "", text or ""))
+    members, ends, children, out = (collections.defaultdict(list) for _ in range(4))
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        path = tuple(own.get(c - c % 20, [])[:h] + turns[h:])
+        ends[path].append(c)
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    for p in sorted(members, key=len, reverse=True):
+        below = [out[k] for k in children[p]]
+        words = len(WORD.findall(p[-1][1].encode())) if p else 0
+        out[p] = (
+            min(members[p]),
+            len(p),
+            min(members[p[:-1]]) if p else None,
+            len(members[p]),
+            len(below),
+            sum(b[5] for b in below) or 1,
+            (len(members[p]) - 1) * words + sum(b[6] for b in below),
+            hashlib.sha256(",".join(map(str, sorted(ends[p]))).encode()).hexdigest(),
+        )
+    return sorted(out.values(), key=str)
+
+
+def collocations(rows, least=30, best=2000):
+    """Ranked phrases of (lang, text) rows, from a dictionary of all phrases."""
+    f, total = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(rb"[.,;:!?\x0a-\x0d]", (text or "").encode().translate(LOWER)):
+            words = re.findall(rb"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for n in range(1, 5):
+                for i in range(len(words) - n + 1):
+                    f[lang, tuple(words[i : i + n])] += 1
+    found = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    longer = collections.Counter()
+    for (lang, w), a in found.items():
+        for n in range(2, len(w)):
+            for i in range(len(w) - n + 1):
+                longer[lang, w[i : i + n]] = max(longer[lang, w[i : i + n]], a)
+    out = collections.defaultdict(list)
+    for (lang, w), a in found.items():
+        if longer[lang, w] == 0 or 100 * longer[lang, w] < 80 * a:
+            sides = [(f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w))]
+            score, _, l, r = min((2_000_000 * a // (l + r), k, l, r) for k, (l, r) in enumerate(sides))
+            out[lang].append((-score, -a, b" ".join(w), l, r))
+    return sorted(
+        (lang, i, p.decode(), -a, l, r, total[lang], -s)
+        for lang, some in out.items()
+        for i, (s, a, p, l, r) in enumerate(sorted(some)[:best], 1)
+    )
