@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,6 +11,7 @@ from eventmetrics.functions.dates import MICROS, iso_text, mean_seconds, micros_
 from eventmetrics.functions.numbers import double_text, percent
 from eventmetrics.functions.payload import with_identity
 from eventmetrics.operators.overview import keyed_rows
+from eventmetrics.operators.panes import combined
 from eventmetrics.operators.scope import active, between, page
 
 # Metrics a rule may watch, states, and the message texts.
@@ -61,10 +63,26 @@ CHAT_RESOLVE_BLOCK = (
 )
 
 
+Totals = Callable[[DataFrame, DataFrame, datetime | Column], DataFrame]
+
+
 def enabled_rules(rules: DataFrame) -> DataFrame:
     return active(rules).filter("is_enabled")
 
 
+def _nested_windows(windows: DataFrame) -> tuple[DataFrame, Column]:
+    """Each tenant's lookbacks as a sorted list ``_windows``, and the widest one of all in minutes."""
+    per_org = windows.groupBy("organization_id").agg(
+        F.array_sort(F.collect_set(F.col("time_window_minutes").cast("bigint"))).alias("_windows")
+    )
+    return per_org, windows.agg(F.max("time_window_minutes")).scalar().cast("bigint")
+
+
+def _band(age: Column) -> Column:
+    """The smallest window that reaches back ``age`` microseconds."""
+    return F.try_element_at(F.filter("_windows", lambda w: w * (60 * MICROS) >= age), F.lit(1))
+
+
 def lookback_totals(events: DataFrame, windows: DataFrame, as_of: datetime | Column) -> DataFrame:
     """Metrics of every (tenant, lookback) pair; ``windows`` holds distinct pairs.
 
@@ -72,32 +90,52 @@ def lookback_totals(events: DataFrame, windows: DataFrame, as_of: datetime | Col
     event is put once into its band, the smallest window containing it, and
     windows are running totals over bands. The work is therefore one pass over
     the events, not one per rule or window.
-
-    Sessions and visitors are not additive, but their changes are: a visitor
-    counts from their first band on; a session counts as bounced from its
-    first band until it has a second event; its duration grows by the
-    distance between the oldest events of two bands.
     """
     now = moment(as_of)
-    per_org = windows.groupBy("organization_id").agg(
-        F.array_sort(F.collect_set(F.col("time_window_minutes").cast("bigint"))).alias("_windows")
-    )
-    widest = windows.agg(F.max("time_window_minutes")).scalar().cast("bigint")
+    per_org, widest = _nested_windows(windows)
     earliest = F.timestamp_micros(F.unix_micros(now) - widest * 60 * MICROS)
-    age = F.unix_micros(now) - F.unix_micros(F.col("timestamp"))
-    band = F.try_element_at(
-        F.filter("_windows", lambda w: w * (60 * MICROS) >= age), F.lit(1)
-    )
     banded = (
         with_identity(between(events, earliest, now))
         .join(per_org, "organization_id")
-        .withColumn("time_window_minutes", band)
+        .withColumn("time_window_minutes", _band(F.unix_micros(now) - F.unix_micros("timestamp")))
+        .filter(F.col("time_window_minutes").isNotNull())
+    )
+    return _window_totals(keyed_rows(banded, ["organization_id", "time_window_minutes"]), windows)
+
+
+def lookback_totals_of_panes(panes: DataFrame, windows: DataFrame, as_of: datetime | Column) -> DataFrame:
+    """``lookback_totals`` from the panes of ``operators.panes`` instead of events, at a whole minute.
+
+    A pane lies in a band as a whole: windows end and begin at whole minutes,
+    and of the minute that starts at ``as_of`` only the edge counts. Panes of
+    one minute may be in several parts, as they were written.
+    """
+    now = F.date_trunc("minute", moment(as_of))
+    per_org, widest = _nested_windows(windows)
+    earliest = F.timestamp_micros(F.unix_micros(now) - widest * 60 * MICROS)
+    inside = panes.filter(F.col("minute").between(earliest, now) & ((F.col("minute") < now) | F.col("on_edge")))
+    if "pane_day" in panes.columns:
+        inside = inside.filter(F.col("pane_day").between(F.to_date(earliest), F.to_date(now)))
+    banded = (
+        inside.join(per_org, "organization_id")
+        .withColumn("time_window_minutes", _band(F.unix_micros(now) - F.unix_micros("minute")))
         .filter(F.col("time_window_minutes").isNotNull())
     )
+    return _window_totals(combined(banded, ["organization_id", "time_window_minutes"]), windows)
+
+
+def _window_totals(keyed: DataFrame, windows: DataFrame) -> DataFrame:
+    """Running totals over bands, from one row per band and session or visitor.
+
+    Sessions and visitors are not additive, but their changes are: a visitor
+    counts from their first band on; a session counts as bounced from its
+    first band until it has a second event; its duration grows by the
+    distance between the oldest events of two bands.
+    """
     keys = ["organization_id", "is_session", "session_id", "visitor_id"]
     newest_first = Window.partitionBy(*keys).orderBy("time_window_minutes")
     so_far = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grown = keyed_rows(banded, ["organization_id", "time_window_minutes"]).withColumns(
+    grown = keyed.withColumns(
         {
             "_nth": F.row_number().over(newest_first),
             "_seen": F.sum("events").over(so_far),
@@ -145,15 +183,17 @@ def lookback_totals(events: DataFrame, windows: DataFrame, as_of: datetime | Col
     )
 
 
-def alert_values(events: DataFrame, rules: DataFrame, as_of: datetime | Column) -> DataFrame:
+def alert_values(
+    events: DataFrame, rules: DataFrame, as_of: datetime | Column, totals: Totals = lookback_totals
+) -> DataFrame:
     """Current value of each enabled rule's metric over its own lookback.
 
-    A rule without events gets 0.0, and so does one with an unknown metric,
+    ``totals`` is ``lookback_totals`` of events, or that of panes for panes. A rule without events gets 0.0, and so does one with an unknown metric,
     which ``is_known_metric`` marks.
     """
     live = enabled_rules(rules)
     pairs = live.select("organization_id", "time_window_minutes").distinct()
-    measured = lookback_totals(events, pairs, as_of)
+    measured = totals(events, pairs, as_of)
     metric = F.col("metric_type")
     value = F.lit(0.0)
     for name in RULE_METRICS:

@@ -19,6 +19,8 @@ TIME_LABELS = {"daily": "Past 24 Hours", "weekly": "Past 7 Days", "monthly": "Pa
 OTHER_LABEL = "Lookback Period (%s)"
 NO_DASHBOARD_NAME = "Organization Overview"
 PENDING, SUCCESS, FAILED = "pending", "success", "failed"
+NO_FREQUENCY = "the schedule has no frequency"
+NO_OVERVIEW = "the overview was not written"
 
 
 def _by_frequency(choices: dict, default) -> Column:
@@ -140,22 +142,92 @@ def write_reports(sections: DataFrame, path: str) -> None:
     ).write.mode("append").parquet(path)
 
 
+def report_errors(due: DataFrame, written: DataFrame) -> DataFrame:
+    """What went wrong with each due schedule, as (id, error), NULL where nothing did.
+
+    ``written`` are the archived sections. A schedule without a frequency has no
+    range to report on; one whose overview did not arrive has no report. Each
+    fails for itself: the sections of all others are computed and kept.
+    """
+    arrived = written.filter(F.col("section") == "overview").groupBy(F.col("schedule_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("_parts")
+    )
+    return due.join(arrived, "id", "left").select(
+        "id",
+        F.when(F.col("frequency").isNull(), F.lit(NO_FREQUENCY))
+        .when(F.coalesce("_parts", F.lit(0)) < len(OVERVIEW_METRICS), F.lit(NO_OVERVIEW))
+        .alias("error"),
+    )
+
+
+def run_id(schedule: Column, as_of: datetime) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", schedule, moment(as_of).cast("string")), 256), 1, 32)
+
+
+def report_path(folder: str, schedule: Column, run: Column) -> Column:
+    return F.concat(F.lit(f"{folder}/report_"), schedule, F.lit("_"), run)
+
+
+def record_outcomes(due: DataFrame, errors: DataFrame | None, as_of: datetime, folder: str | None = None) -> DataFrame:
+    """History rows of a run, each schedule with its own status, error and file.
+
+    Without ``errors`` (id, error) the run has just begun and all are pending.
+    """
+    run = run_id(F.col("id"), as_of)
+    text = F.lit(None).cast("string")
+    if errors is None:
+        judged = due.withColumns({"error": text, "_status": F.lit(PENDING)})
+    else:
+        judged = due.join(errors.select("id", "error", F.lit(True).alias("_known")), "id", "left").withColumn(
+            "_status",
+            F.when(F.col("_known").isNull(), PENDING).when(F.col("error").isNull(), SUCCESS).otherwise(FAILED),
+        )
+    done = F.col("_status") == SUCCESS
+    return judged.select(
+        run.alias("id"),
+        F.col("id").alias("report_schedule_id"),
+        "organization_id",
+        moment(as_of).alias("triggered_at"),
+        F.col("_status").alias("status"),
+        F.col("error").alias("error_message"),
+        (F.when(done, report_path(folder, F.col("id"), run)) if folder else text).alias("file_path"),
+        F.lit(False).alias("is_deleted"),
+    )
+
+
+def run_reports(
+    events: DataFrame,
+    schedules: DataFrame,
+    histories: DataFrame,
+    dashboards: DataFrame,
+    widgets: DataFrame,
+    as_of: datetime,
+    folder: str,
+) -> DataFrame:
+    """One scan of the schedules: due ones are computed and archived, and their runs returned.
+
+    Only schedules with a frequency go into the computation. A failed run does
+    not count as a success, so the next scan finds its schedule due again.
+    """
+    due = due_schedules(schedules, histories, as_of)
+    sections = report_sections(events, due.filter("frequency IS NOT NULL"), dashboards, widgets, as_of)
+    write_reports(sections, folder)
+    archived = events.sparkSession.read.schema(sections.schema).parquet(folder)
+    return record_outcomes(due, report_errors(due, archived), as_of, folder)
+
+
 def record_runs(
     due: DataFrame, as_of: datetime, status: str, path: str | None = None, error: str | None = None
 ) -> DataFrame:
-    """History rows for a run of the due schedules: pending, then success or failed."""
+    """``record_outcomes`` where all due schedules share one status, file and error."""
     if status not in (PENDING, SUCCESS, FAILED):
         raise ValueError(f"unknown run status: {status!r}")
-    run = F.sha2(F.concat_ws("|", F.col("id"), moment(as_of).cast("string")), 256)
-    return due.select(
-        F.substring(run, 1, 32).alias("id"),
-        F.col("id").alias("report_schedule_id"),
-        "organization_id",
-        moment(as_of).alias("triggered_at"),
-        F.lit(status).alias("status"),
-        F.lit(error).cast("string").alias("error_message"),
-        F.lit(path if status == SUCCESS else None).cast("string").alias("file_path"),
-        F.lit(False).alias("is_deleted"),
+    return record_outcomes(due, None, as_of).withColumns(
+        {
+            "status": F.lit(status),
+            "error_message": F.lit(error).cast("string"),
+            "file_path": F.lit(path if status == SUCCESS else None).cast("string"),
+        }
     )
 
 

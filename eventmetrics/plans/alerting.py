@@ -125,14 +125,18 @@ def alert_replay(spark, sf_dir):
     return plain(replayed.select("alert_rule_id", "at", "state_after", "history"))
 
 
-def alert_replay_muted(spark, sf_dir):
-    """From the stored states, with a snooze of 5 days at noon of the second and fifteenth day."""
+def muted_replay_inputs(spark, sf_dir):
+    """Rules in their stored states, a tick a day, and snoozes of 5 days at noon of the second and fifteenth day."""
     rules, ticks = _ticks(spark, sf_dir)
     noon = F.array(*[F.lit(f"2024-01-{d} 12:00:00").cast("timestamp") for d in ("02", "15")])
     snoozes = rules.select(
         F.col("id").alias("alert_rule_id"), F.explode(noon).alias("at"), F.lit(7200).alias("snooze_minutes")
     )
-    replayed = al.replay(rules, ticks, snoozes)
+    return rules, ticks, snoozes
+
+
+def alert_replay_muted(spark, sf_dir):
+    replayed = al.replay(*muted_replay_inputs(spark, sf_dir))
     return plain(
         replayed.select("alert_rule_id", "at", "is_tick", "state_before", "state_after", "history")
     )
@@ -160,9 +164,8 @@ QUERIES = {
 }
 
 # The plain way: each distinct (tenant, lookback) joined to its events.
-VALUES = f"""{EV}, {RULES},
-  live AS (SELECT * FROM rules WHERE is_enabled AND NOT is_deleted),
-  w AS (SELECT DISTINCT organization_id, time_window_minutes FROM live),
+LIVE_RULES = "live AS (SELECT * FROM rules WHERE is_enabled AND NOT is_deleted)"
+SWEEP_VALUES = """w AS (SELECT DISTINCT organization_id, time_window_minutes FROM live),
   base AS (SELECT w.time_window_minutes, e.* FROM ev e JOIN w USING (organization_id)
            WHERE e.ts <= TIMESTAMP '2024-01-31'
              AND e.ts >= TIMESTAMP '2024-01-31' - to_minutes(cast(w.time_window_minutes AS bigint))),
@@ -185,23 +188,26 @@ VALUES = f"""{EV}, {RULES},
              metric_type <> 'latency' AS is_known_metric
            FROM live r LEFT JOIN tot USING (organization_id, time_window_minutes)
            LEFT JOIN sa USING (organization_id, time_window_minutes))"""
+VALUES = f"{EV}, {RULES}, {LIVE_RULES}, {SWEEP_VALUES}"
 
-_VIOLATED = (
+VIOLATED = (
     "CASE operator WHEN '>' THEN {v} > {t} WHEN '<' THEN {v} < {t} WHEN '>=' THEN {v} >= {t} "
     "WHEN '<=' THEN {v} <= {t} WHEN '==' THEN {v} = {t} ELSE false END"
 )
 
-SWEEP = f"""{VALUES},
-  j AS (SELECT r.*, v.value, v.value IS NOT NULL AS judged,
-          current_state = 'Muted' AND coalesce(muted_until > TIMESTAMP '2024-01-31', false) AS mute,
-          {_VIOLATED.format(v='v.value', t='r.threshold')} AS viol
-        FROM rules r LEFT JOIN vals v ON v.alert_rule_id = r.id),
-  sw AS (SELECT *, CASE
+TRANSITION = """CASE
       WHEN NOT judged THEN NULL
       WHEN current_state = 'Resolved' AND viol THEN 'Triggered'
       WHEN current_state = 'Triggered' AND NOT viol THEN 'Resolved'
       WHEN current_state = 'Muted' AND mute AND NOT viol THEN 'Resolved'
-      WHEN current_state = 'Muted' AND NOT mute AND viol THEN 'Triggered' END AS transition FROM j)"""
+      WHEN current_state = 'Muted' AND NOT mute AND viol THEN 'Triggered' END"""
+
+SWEEP = f"""{VALUES},
+  j AS (SELECT r.*, v.value, v.value IS NOT NULL AS judged,
+          current_state = 'Muted' AND coalesce(muted_until > TIMESTAMP '2024-01-31', false) AS mute,
+          {VIOLATED.format(v='v.value', t='r.threshold')} AS viol
+        FROM rules r LEFT JOIN vals v ON v.alert_rule_id = r.id),
+  sw AS (SELECT *, {TRANSITION} AS transition FROM j)"""
 
 _NUM = (
     "CASE WHEN {0} = floor({0}) THEN cast(cast({0} AS bigint) AS varchar) || '.0' "
@@ -238,12 +244,12 @@ TICKS = (
         f"SELECT *, '{m}' AS metric_type FROM ({points_sql(m, 'day')})" for m in _SERIES_METRICS
     )
     + "), t AS (SELECT r.id AS alert_rule_id, h.bucket AS \"at\", "
-    + _VIOLATED.format(v="h.value", t="r.threshold")
+    + VIOLATED.format(v="h.value", t="r.threshold")
     + " AS viol FROM rules r JOIN h USING (organization_id, metric_type))"
 )
 
 # With mutes: the state machine as a recursion over the numbered inputs of a rule.
-_MUTED_REPLAY = f"""WITH RECURSIVE {TICKS},
+MUTED_REPLAY = f"""WITH RECURSIVE {TICKS},
   inp AS (SELECT alert_rule_id, "at", 1 AS tick, viol FROM t UNION ALL
           SELECT id, unnest([TIMESTAMP '2024-01-02 12:00:00', TIMESTAMP '2024-01-15 12:00:00']), 0, NULL FROM rules),
   num AS (SELECT *, row_number() OVER (PARTITION BY alert_rule_id ORDER BY "at", tick) AS n FROM inp),
@@ -328,5 +334,5 @@ ORACLES = {
         "AS state_after, CASE WHEN viol AND NOT was THEN 'Triggered' WHEN was AND NOT viol THEN 'Resolved' END "
         "AS history FROM s"
     ),
-    "alert_replay_muted": _MUTED_REPLAY,
+    "alert_replay_muted": MUTED_REPLAY,
 }

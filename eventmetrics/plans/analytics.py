@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
+from eventmetrics.functions.dates import bucket
+from eventmetrics.functions.payload import with_identity
 from eventmetrics.operators import breakdown as bd
 from eventmetrics.operators import overview as ov
+from eventmetrics.operators import rollups as ro
 from eventmetrics.operators import scope as sc
 from eventmetrics.operators import series as se
 from eventmetrics.plans.common import AS_OF, DASHBOARDS, EV, FIRST, MIDDLE, plain, r6
+from eventmetrics.session import work_dir
 from eventmetrics.sources import sample, store
 
 
@@ -93,6 +99,53 @@ def event_page(spark, sf_dir):
     return plain(rows.select("id", "event_name", "timestamp"))
 
 
+PAGE_AT = datetime(2024, 1, 9, 12, tzinfo=timezone.utc)
+
+
+def event_page_after(spark, sf_dir):
+    """A page of the stored events from a moment back, found by the months' row counts."""
+    path = work_dir(spark, "event-store")
+    store.write_events(sample.events(spark, sf_dir), path)
+    stored = store.read_events(spark, path)
+    rows = store.events_page(stored, store.tenant_months(stored), "org_1", (PAGE_AT, ""), limit=75)
+    return plain(rows.select("id", "event_name", "timestamp"))
+
+
+def _rollup(spark, sf_dir):
+    """Minute rollups with visitor sketches, written in two batches."""
+    path = work_dir(spark, "rollup")
+    events = sample.events(spark, sf_dir)
+    for n in range(2):
+        ro.write_rollup(ro.minute_rollup(events.filter(F.expr(f"crc32(id) % 2 = {n}"))), path, n)
+    return ro.read_rollup(spark, path)
+
+
+def _within(found, exact, keys):
+    """Counts as they are; of estimated visitors whether they keep the stated bound."""
+    near = F.abs(F.col("unique_visitors") - F.col("exact")) <= ro.ERROR_BOUND * F.col("exact")
+    return plain(found.join(exact, keys).select(*keys, *ro.COUNTS, near.alias("within_bound")))
+
+
+def visitor_sketch_day(spark, sf_dir):
+    events = with_identity(sample.events(spark, sf_dir))
+    keys = ["organization_id", "bucket"]
+    exact = events.groupBy("organization_id", bucket("day").alias("bucket")).agg(F.count_distinct("visitor_id").alias("exact"))
+    return _within(ro.bucket_estimates(_rollup(spark, sf_dir), "day"), exact, keys)
+
+
+def visitor_sketch_ranges(spark, sf_dir):
+    """Every tenant's seven days before each day, from the rollup alone."""
+    days = F.explode(F.sequence(F.lit(FIRST), F.lit(AS_OF), F.expr("interval 1 day")))
+    events = with_identity(sample.events(spark, sf_dir))
+    ranges = events.select("organization_id").distinct().select(
+        "organization_id", days.alias("range_end")
+    ).withColumn("range_start", F.col("range_end") - F.expr("interval 7 days"))
+    keys = ["organization_id", "range_start", "range_end"]
+    inside = (F.col("timestamp") >= F.col("range_start")) & (F.col("timestamp") < F.col("range_end"))
+    exact = events.join(ranges, "organization_id").filter(inside).groupBy(*keys).agg(F.count_distinct("visitor_id").alias("exact"))
+    return _within(ro.range_estimates(_rollup(spark, sf_dir), ranges), exact, keys)
+
+
 def newest_per_org(spark, sf_dir):
     rows = sc.page_per_org(sample.events(spark, sf_dir), F.desc("timestamp"), F.asc("id"), limit=100)
     return plain(rows.select("organization_id", "ord", "id", "timestamp"))
@@ -123,6 +176,9 @@ QUERIES = {
     "partition_counts": partition_counts,
     "partition_calendar": partition_calendar,
     "event_page": event_page,
+    "event_page_after": event_page_after,
+    "visitor_sketch_day": visitor_sketch_day,
+    "visitor_sketch_ranges": visitor_sketch_ranges,
     "newest_per_org": newest_per_org,
     "shared_overview": shared_overview,
 }
@@ -306,6 +362,23 @@ ORACLES = {
         f"WITH {EV} SELECT id, event_name, ts AS timestamp FROM ev WHERE organization_id = 'org_1' "
         "ORDER BY ts DESC, id LIMIT 50 OFFSET 20"
     ),
+    "event_page_after": (
+        f"WITH {EV} SELECT id, event_name, ts AS timestamp FROM ev WHERE organization_id = 'org_1' "
+        "AND ts <= TIMESTAMP '2024-01-09 12:00:00' ORDER BY ts DESC, id LIMIT 75"
+    ),
+    "visitor_sketch_day": (
+        f"WITH {EV} SELECT organization_id, cast(date_trunc('day', ts) AS timestamp) AS bucket, count(*) AS events, "
+        "count(*) FILTER (event_name = 'page_view') AS page_views, count(*) FILTER (event_name = 'error') AS error_count, "
+        "true AS within_bound FROM ev GROUP BY ALL"
+    ),
+    "visitor_sketch_ranges": (
+        f"WITH {EV}, r AS (SELECT organization_id, range_end - INTERVAL 7 DAY AS range_start, range_end FROM "
+        "(SELECT DISTINCT organization_id FROM ev), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', "
+        "TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS range_end)) "
+        "SELECT organization_id, range_start, range_end, count(*) AS events, "
+        "count(*) FILTER (event_name = 'page_view') AS page_views, count(*) FILTER (event_name = 'error') AS error_count, "
+        "true AS within_bound FROM ev JOIN r USING (organization_id) WHERE ts >= range_start AND ts < range_end GROUP BY ALL"
+    ),
     "newest_per_org": (
         f"WITH {EV} SELECT * FROM (SELECT organization_id, row_number() OVER (PARTITION BY organization_id "
         "ORDER BY ts DESC, id) AS ord, id, ts AS timestamp FROM ev) WHERE ord <= 100"

@@ -82,14 +82,20 @@ def json_files(spark, sf_dir):
     )
 
 
+# Plans with a line break, quotes and a comma for some users.
+BROKEN_PLAN = (
+    "CASE WHEN cast(user_id AS bigint) % 3 = 0 THEN plan || chr(10) || 'the \"second\", ' || user_id ELSE plan END"
+)
+
+
 def csv_files(spark, sf_dir):
-    """The raw rows in CSV files of two layouts, read from one folder."""
+    """The raw rows in CSV files of two layouts, some with line breaks in quotes, read from one folder."""
     path = work_dir(spark, "csv-files")
-    raw = _raw(spark, sf_dir, CSV_COLUMNS, "time")
+    raw = _raw(spark, sf_dir, CSV_COLUMNS, "time").withColumn("plan", F.expr(BROKEN_PLAN))
     even = F.col("user_id").cast("bigint") % 2 == 0
-    raw.filter(even).write.option("header", True).mode("append").csv(path)
     other = raw.filter(~even).select("user_id", F.col("time").alias("timestamp"), "event", "plan", "event_name")
-    other.write.option("header", True).mode("append").csv(path)
+    for part in (raw.filter(even), other):
+        part.write.option("header", True).option("escape", '"').mode("append").csv(path)
     accepted, _ = src.read_csv_events(spark, path, "org_1", "src_1", AS_OF)
     known = F.from_json("payload", "user_id string, plan string")
     return plain(accepted.drop("id").withColumn("p", known).select("*", "p.*").drop("p", "payload"))
@@ -234,7 +240,7 @@ _QUEUE = (
 _CSV_FILES = (
     f"WITH raw AS (SELECT {', '.join(CSV_COLUMNS)}, {_PARSED} AS ts2 FROM events) "
     "SELECT 'org_1' AS organization_id, 'src_1' AS data_source_id, "
-    "coalesce(nullif(event_name, ''), event) AS event_name, ts2 AS timestamp, user_id, plan, "
+    f"coalesce(nullif(event_name, ''), event) AS event_name, ts2 AS timestamp, user_id, {BROKEN_PLAN} AS plan, "
     "TIMESTAMP '2024-01-31' AS created_at FROM raw WHERE coalesce(nullif(event_name, ''), event) IS NOT NULL"
 )
 

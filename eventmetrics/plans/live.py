@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import functions as F
 
 from eventmetrics.operators import alerts as al
-from eventmetrics.plans.alerting import SWEEP
-from eventmetrics.plans.common import AS_OF, EV, cte, plain, r6
+from eventmetrics.plans.alerting import (
+    LIVE_RULES,
+    MUTED_REPLAY,
+    SWEEP,
+    SWEEP_VALUES,
+    TRANSITION,
+    VIOLATED,
+    muted_replay_inputs,
+)
+from eventmetrics.plans.common import AS_OF, EV, RULES, cte, plain, r6
 from eventmetrics.session import stream_session, work_dir
 from eventmetrics.sources import sample, store
 from eventmetrics.sources.sample import table
 from eventmetrics.streaming import alerts as sa
+from eventmetrics.streaming import deltas as sd
 from eventmetrics.streaming import feed as fd
 from eventmetrics.streaming import ingest as si
 from eventmetrics.streaming import metrics as sm
+from eventmetrics.streaming import states as st
 from eventmetrics.streaming.snapshots import read_latest
 
 REQUEST_LIMIT = 1
@@ -25,7 +36,37 @@ REQUEST_LIMIT = 1
 FILES = 4
 
 
+def _as_batches(rows, parts, path):
+    """A stream of one file per part, in the order of the conditions, each a micro-batch."""
+    for part in parts:
+        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
+    session = stream_session(rows.sparkSession)
+    return session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _metrics(interval):
+    """From keyed state: each batch reads its own events only."""
+
+    def query(spark, sf_dir):
+        path = work_dir(spark, f"metrics-{interval}")
+        sample.events(spark, sf_dir).repartition(FILES, "id").write.parquet(f"{path}/in")
+        layout = spark.read.parquet(f"{path}/in").schema
+        session = stream_session(spark)
+        sd.start_bucket_changes(
+            session.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"),
+            interval,
+            path,
+            f"{path}/checkpoint",
+            availableNow=True,
+        ).awaitTermination()
+        return plain(sd.read_bucket_metrics(spark, path))
+
+    return query
+
+
+def _recomputed_metrics(interval):
+    """From the store: the buckets that a batch touches are computed anew."""
+
     def query(spark, sf_dir):
         path = work_dir(spark, f"metrics-{interval}")
         sample.events(spark, sf_dir).repartition(FILES, "id").write.parquet(f"{path}/in")
@@ -77,14 +118,17 @@ def event_frames(spark, sf_dir):
 
 
 def live_tail(spark, sf_dir):
+    """Over four micro-batches, the last of which touches two tenants only."""
     path = work_dir(spark, "tail")
+    last = "organization_id IN ('org_0', 'org_1') AND crc32(id) % 3 = 0"
+    parts = [f"NOT ({last}) AND crc32(id) % 3 = {n}" for n in (2, 0, 1)]
     fd.start_live_tail(
-        fd.event_feed(sample.event_stream(spark, sf_dir)),
+        fd.event_feed(_as_batches(sample.events(spark, sf_dir), [*parts, last], f"{path}/in")),
         f"{path}/tail",
         f"{path}/checkpoint",
         availableNow=True,
     ).awaitTermination()
-    return plain(read_latest(spark, f"{path}/tail").select("organization_id", "timestamp", "id", "title"))
+    return plain(fd.read_tail(spark, f"{path}/tail").select("organization_id", "timestamp", "id", "title"))
 
 
 def running_counts(spark, sf_dir):
@@ -125,6 +169,46 @@ def stream_alert_rules(spark, sf_dir):
     return plain(rules.select("id", "current_state", "swept_at"))
 
 
+# Ends of the periods in which events arrive; a sweep follows each.
+SWEEP_DAYS = ("2024-01-11", "2024-01-21", "2024-01-31")
+
+
+def _periods(column):
+    ends = [f"TIMESTAMP '{day}'" for day in SWEEP_DAYS]
+    begins = ["TIMESTAMP '2000-01-01'", *ends]
+    return [f"{column} > {low} AND {column} <= {high}" for low, high in zip(begins, ends)]
+
+
+def stream_pane_alerts(spark, sf_dir):
+    """Three sweeps over panes: each reads the events of its own period and combines what is kept of the others."""
+    path = work_dir(spark, "pane-sweeps")
+    sa.put_rules(sample.alert_rules(spark, sf_dir), path)
+    ticks = spark.sql(f"SELECT explode(array({', '.join(f"TIMESTAMP '{day}'" for day in SWEEP_DAYS)})) AS timestamp")
+    sa.start_pane_sweeps(
+        _as_batches(sample.events(spark, sf_dir), _periods("timestamp"), f"{path}/in"),
+        _as_batches(ticks, _periods("timestamp"), f"{path}/clock"),
+        path,
+        f"{path}/checkpoint",
+        availableNow=True,
+    ).awaitTermination()
+    return plain(sa.read_history(spark, path).select("alert_rule_id", "state", "value", "threshold", "created_at"))
+
+
+def stream_alert_replay(spark, sf_dir):
+    """The replay with mutes, as a state machine over three micro-batches of ticks and snoozes."""
+    path = work_dir(spark, "rule-states")
+    rules, ticks, snoozes = muted_replay_inputs(spark, sf_dir)
+    parts = ["at < TIMESTAMP '2024-01-11'", *[f"at >= TIMESTAMP '{a}' AND at < TIMESTAMP '{b}'" for a, b in zip(SWEEP_DAYS, SWEEP_DAYS[1:])]]
+    inputs = st.rule_inputs(
+        rules,
+        _as_batches(ticks.select("alert_rule_id", "at", "value"), parts, f"{path}/ticks"),
+        _as_batches(snoozes, parts, f"{path}/snoozes"),
+    )
+    st.start_rule_states(inputs, f"{path}/history", f"{path}/checkpoint", "None", availableNow=True).awaitTermination()
+    found = spark.read.parquet(f"{path}/history")
+    return plain(found.select("alert_rule_id", "at", "is_tick", "state_before", "state_after", "history"))
+
+
 # Each event is a request of its own; keys are those of four suppliers.
 INGEST_COLUMNS = [
     "cast(event_id as string) AS request_id",
@@ -143,8 +227,9 @@ INGEST_SOURCE_COLUMNS = [
 
 def _ingested(spark, sf_dir):
     path = work_dir(spark, "ingest")
-    layout = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(layout).parquet(f"{sf_dir}/events.parque[t]")
+    # Micro-batches that share most minutes.
+    parts = [f"event_id % {FILES} = {n}" for n in range(FILES)]
+    stream = _as_batches(table(spark, sf_dir, "events"), parts, f"{path}/in")
     raw = stream.selectExpr(*INGEST_COLUMNS, "event_id", "cast(ts as timestamp) AS received_at").select(
         "request_id",
         "api_key",
@@ -186,7 +271,8 @@ def stream_ingest(spark, sf_dir):
 QUERIES = {
     "stream_metrics_hour": _metrics("hour"),
     "stream_metrics_day": _metrics("day"),
-    "stream_metrics_week": _metrics("week"),
+    "stream_metrics_week": _recomputed_metrics("week"),
+    "stream_metrics_month": _metrics("month"),
     "feed_rows": feed_rows,
     "feed_search": feed_search,
     "feed_search_alerts": feed_search_alerts,
@@ -195,6 +281,8 @@ QUERIES = {
     "running_counts": running_counts,
     "stream_alert_history": stream_alert_history,
     "stream_alert_rules": stream_alert_rules,
+    "stream_pane_alerts": stream_pane_alerts,
+    "stream_alert_replay": stream_alert_replay,
     "stream_ingest": stream_ingest,
 }
 
@@ -215,6 +303,31 @@ SELECT organization_id, bucket, page_views, unique_visitors, {r6('bounce_rate')}
 FROM t JOIN sa USING (organization_id, bucket)"""
 
 
+def _sweeps_sql() -> str:
+    """One sweep after the other, each over the events up to its tick."""
+    steps, rows = ["st0 AS (SELECT id, current_state, muted_until FROM rules)"], []
+    for k, day in enumerate(SWEEP_DAYS, 1):
+        now = f"TIMESTAMP '{day}'"
+        values = SWEEP_VALUES.replace("TIMESTAMP '2024-01-31'", now)
+        steps.append(re.sub(r"\b(w|base|tot|ses|sa|vals)\b(?=[. ,)]| AS|$)", rf"\g<1>{k}", values))
+        expired = "current_state = 'Muted' AND NOT mute"
+        steps.append(
+            f"j{k} AS (SELECT s.*, r.threshold, v.value, v.value IS NOT NULL AS judged, "
+            f"s.current_state = 'Muted' AND coalesce(s.muted_until > {now}, false) AS mute, "
+            f"{VIOLATED.format(v='v.value', t='r.threshold')} AS viol FROM st{k - 1} s JOIN rules r USING (id) "
+            f"LEFT JOIN vals{k} v ON v.alert_rule_id = s.id), "
+            f"sw{k} AS (SELECT *, {TRANSITION} AS transition FROM j{k}), "
+            f"st{k} AS (SELECT id, CASE WHEN transition IS NOT NULL THEN transition WHEN judged AND {expired} "
+            "THEN 'Resolved' ELSE current_state END AS current_state, CASE WHEN judged AND (transition = 'Resolved' "
+            f"OR ({expired})) THEN NULL ELSE muted_until END AS muted_until FROM sw{k})"
+        )
+        rows.append(
+            f"SELECT id AS alert_rule_id, transition AS state, {r6('value')} AS value, {r6('threshold')} AS threshold, "
+            f"{now} AS created_at FROM sw{k} WHERE transition IS NOT NULL"
+        )
+    return f"WITH {EV}, {RULES}, {LIVE_RULES}, {', '.join(steps)} {' UNION ALL '.join(rows)}"
+
+
 _ALERT_TITLE = "'[' || upper(transition) || '] ' || name"
 _FEED = (
     f"WITH {SWEEP}, f AS (SELECT organization_id, ts AS timestamp, id, 'event' AS type, event_name, "
@@ -227,6 +340,9 @@ ORACLES = {
     "stream_metrics_hour": _metrics_sql("hour"),
     "stream_metrics_day": _metrics_sql("day"),
     "stream_metrics_week": _metrics_sql("week"),
+    "stream_metrics_month": _metrics_sql("month"),
+    "stream_pane_alerts": _sweeps_sql(),
+    "stream_alert_replay": MUTED_REPLAY,
     "feed_rows": f"{_FEED} SELECT organization_id, timestamp, id, type, title FROM f",
     "feed_search": (
         f"{_FEED} SELECT id, type, title FROM f WHERE contains(lower(coalesce(event_name, '')), 'res') "
@@ -260,14 +376,14 @@ ORACLES = {
         "TIMESTAMP '2024-01-31' AS swept_at FROM sw"
     ),
     "stream_ingest": (
-        f"WITH raw AS (SELECT {', '.join(INGEST_COLUMNS)}, ts FROM events), "
+        f"WITH raw AS (SELECT {', '.join(INGEST_COLUMNS)}, ts, event_id FROM events), "
         f"{cte('sources', INGEST_SOURCE_COLUMNS, 'nation')}, "
         f"{cte('keys', sample.KEY_COLUMNS, 'supplier')}, k AS (SELECT * FROM keys WHERE is_active AND NOT is_deleted), "
         "a AS (SELECT raw.*, k.organization_id, CASE WHEN k.prefix IS NULL THEN 'unknown_key' "
         "WHEN k.secret <> api_key THEN 'invalid_key' WHEN k.expires_at < ts THEN 'expired_key' END AS key_reason "
         "FROM raw LEFT JOIN k ON k.prefix = left(api_key, 16)), "
         "n AS (SELECT *, row_number() OVER (PARTITION BY key_reason, left(api_key, 16), date_trunc('minute', ts) "
-        "ORDER BY ts, request_id) AS nth FROM a), "
+        f"ORDER BY event_id % {FILES}, ts, request_id) AS nth FROM a), "
         "o AS (SELECT *, CASE WHEN key_reason IS NOT NULL THEN key_reason "
         f"WHEN nth > {REQUEST_LIMIT} THEN 'rate_limited' WHEN event_name = '' THEN 'event_name_missing' "
         "WHEN data_source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sources s WHERE s.id = n.data_source_id "

@@ -20,6 +20,7 @@ from eventmetrics.plans.common import (
     plain,
     r6,
 )
+from eventmetrics.session import work_dir
 from eventmetrics.sources import sample
 
 
@@ -82,9 +83,28 @@ def report_sections(spark, sf_dir):
     return plain(sections)
 
 
+# Schedules whose frequency is taken away for a run.
+BROKEN_SCHEDULE = "id LIKE '%7'"
+
+
 def report_runs(spark, sf_dir):
-    runs = re.record_runs(_due(spark, sf_dir), AS_OF, re.SUCCESS, path="reports/2024-01-31")
-    return plain(runs.drop("id", "error_message"))
+    """Every due report computed and archived; schedules that lack a frequency fail, each for itself."""
+    folder = f"{work_dir(spark, 'reports')}/archive"
+    broken = F.expr(BROKEN_SCHEDULE)
+    schedules = sample.report_schedules(spark, sf_dir).withColumn(
+        "frequency", F.when(~broken, F.col("frequency"))
+    )
+    runs = re.run_reports(
+        sample.events(spark, sf_dir),
+        schedules,
+        sample.report_histories(spark, sf_dir),
+        sample.dashboards(spark, sf_dir),
+        sample.widgets(spark, sf_dir),
+        AS_OF,
+        folder,
+    )
+    file = F.replace("file_path", F.concat(F.lit(f"{folder}/report_"), "report_schedule_id", F.lit("_"), "id"), F.lit("run"))
+    return plain(runs.withColumn("file_path", file).drop("id"))
 
 
 def report_run_page(spark, sf_dir):
@@ -225,6 +245,9 @@ _DUE = f"""{SCHEDULES}, {RUNS},
              WHEN 'weekly' THEN 144 WHEN 'monthly' THEN 672 ELSE 23 END), true) AS is_due
            FROM schedules s LEFT JOIN last USING (id) WHERE is_active AND NOT is_deleted),
   due AS (SELECT * FROM scan WHERE is_due)"""
+_SOME_BROKEN = (
+    f"schedules AS (SELECT * REPLACE (CASE WHEN {BROKEN_SCHEDULE} THEN NULL ELSE frequency END AS frequency) FROM given)"
+)
 _WINDOWS = f"""{_DUE}, {DASHBOARDS},
   win AS (SELECT due.id AS schedule_id, due.organization_id, d.id AS dashboard_id, coalesce(d.name, 'Organization Overview')
             AS dashboard_name, CASE lower(frequency) WHEN 'daily' THEN 'Past 24 Hours' WHEN 'weekly' THEN 'Past 7 Days'
@@ -274,8 +297,11 @@ ORACLES = {
         "FROM win JOIN pairs USING (organization_id, lo, hi))"
     ),
     "report_runs": (
-        f"WITH {_DUE} SELECT id AS report_schedule_id, organization_id, TIMESTAMP '2024-01-31' AS triggered_at, "
-        "'success' AS status, 'reports/2024-01-31' AS file_path, false AS is_deleted FROM due"
+        f"WITH {_DUE.replace(SCHEDULES, f'{SCHEDULES.replace('schedules AS', 'given AS', 1)}, {_SOME_BROKEN}')} "
+        "SELECT id AS report_schedule_id, organization_id, TIMESTAMP '2024-01-31' AS triggered_at, "
+        "CASE WHEN frequency IS NULL THEN 'failed' ELSE 'success' END AS status, "
+        f"CASE WHEN frequency IS NULL THEN '{re.NO_FREQUENCY}' END AS error_message, "
+        "CASE WHEN frequency IS NOT NULL THEN 'run' END AS file_path, false AS is_deleted FROM due"
     ),
     "report_run_page": (
         f"WITH {RUNS} SELECT id, triggered_at, status FROM runs WHERE organization_id = 'org_3' AND NOT is_deleted "

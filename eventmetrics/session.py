@@ -19,6 +19,9 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
+    # State that is kept or timed by the clock asks for another batch after every one, without end
+    # where a query is to stop when all input is read. Batches come with input only.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.ui.enabled": "false",
     # Recording the Python line of every column call costs several round trips each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -51,7 +54,11 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     one per core of the moment otherwise.
     """
     session = spark.newSession()
-    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
+    for key in (
+        "spark.sql.session.timeZone",
+        "spark.sql.streaming.stateStore.providerClass",
+        "spark.sql.streaming.noDataMicroBatches.enabled",
+    ):
         session.conf.set(key, SETTINGS[key])
     session.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
     return session

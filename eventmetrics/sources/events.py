@@ -17,6 +17,7 @@ from eventmetrics import schema
 from eventmetrics.functions.dates import moment, parse_iso
 from eventmetrics.functions.payload import last_value, properties
 from eventmetrics.operators.scope import active
+from eventmetrics.sources.csv_records import read_records
 
 # Column names and defaults of the input formats.
 MAX_NAME_LENGTH = 255
@@ -148,58 +149,55 @@ def csv_to_events(
     return accepted, rows.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-# Different header rows that one input may have; each is a scan of its own files.
-MAX_LAYOUTS = 200
+def csv_records_to_events(
+    records: DataFrame, org: str | Column, source: str | Column, as_of: datetime | Column
+) -> tuple[DataFrame, DataFrame]:
+    """``csv_to_events`` for records with header rows of their own (``csv_records.read_records``).
 
+    Of columns with equal names the last counts; missing fields are empty, and
+    fields beyond the header are dropped.
+    """
+    now = moment(as_of)
+    org = F.lit(org) if isinstance(org, str) else org
+    source = F.lit(source) if isinstance(source, str) else source
+    entry = F.transform("names", lambda n, i: F.struct(n.alias("name"), F.coalesce(F.get("fields", i), F.lit("")).alias("value")))
+    kept = F.filter(
+        entry, lambda e, i: ~F.exists(F.slice(entry, i + 2, F.size("names")), lambda later: later["name"] == e["name"])
+    )
+    core = CSV_NAME_COLUMNS + CSV_TIME_COLUMNS
 
-def _csv_layouts(spark: SparkSession, path: str) -> list[list[str]]:
-    """Files grouped by their header row."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        # Ascending along a file, as a task reads it from its first line on.
-        F.monotonically_increasing_id().alias("nth"),
+    def first_of(names: tuple[str, ...]) -> Column:
+        return F.coalesce(
+            *[F.nullif(F.get(F.filter("_row", lambda e, n=n: e["name"] == n), F.lit(0))["value"], F.lit("")) for n in names]
+        )
+
+    rest = F.filter("_row", lambda e: ~e["name"].isin(*core))
+    read = records.withColumn("_row", kept).withColumns(
+        {
+            "_name": first_of(CSV_NAME_COLUMNS),
+            "_time": first_of(CSV_TIME_COLUMNS),
+            "_payload": F.to_json(F.map_from_entries(rest)),
+        }
     )
-    headers = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "nth").alias("header"))
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    found = groups.limit(MAX_LAYOUTS + 1).collect()
-    if len(found) > MAX_LAYOUTS:
-        raise ValueError(f"the CSV input has more than {MAX_LAYOUTS} different header rows")
-    return sorted(row.files for row in found)
+    reason = _first_reason(
+        (F.col("_name").isNull(), "event_name_missing"),
+        (F.length("_name") > MAX_NAME_LENGTH, "event_name_too_long"),
+    )
+    ts = F.coalesce(parse_iso(F.col("_time")), now)
+    accepted, rejected = split(read.withColumn("reason", reason))
+    columns = _event_columns(org, source, F.col("_name"), ts, F.col("_payload"), now)
+    return accepted.select(*columns), rejected.select(*records.columns, "reason")
 
 
 def read_csv_events(
-    spark: SparkSession,
-    path: str,
-    org: str,
-    source: str,
-    as_of: datetime,
-    multi_line: bool = False,
-    strict: bool = True,
+    spark: SparkSession, path: str, org: str, source: str, as_of: datetime, strict: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Events from CSV files, each read by its own header row.
+    """Events from CSV files, each read by its own header row, quoted line breaks included.
 
-    Files with equal headers are read together. Quoted line breaks need
-    ``multi_line``, which reads each file in one task. ``strict`` fails on
-    input without a single valid row.
+    A large file is read by many tasks, and any number of different header rows
+    may occur. ``strict`` fails on input without a single valid row.
     """
-    layouts = _csv_layouts(spark, path)
-    if not layouts:
-        if strict:
-            raise ValueError("the CSV input is empty")
-        layouts = [[path]]
-    reader = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-    )
-    parts = [csv_to_events(reader.csv(files), org, source, as_of) for files in layouts]
-    events, rejected = parts[0]
-    for more_events, more_rejected in parts[1:]:
-        events = events.unionByName(more_events)
-        rejected = rejected.unionByName(more_rejected, allowMissingColumns=True)
+    events, rejected = csv_records_to_events(read_records(spark, path), org, source, as_of)
     if strict and events.isEmpty():
         raise ValueError("the CSV input has no valid event")
     return events, rejected

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from eventmetrics.functions.dates import moment, month_of, partition_name
+from eventmetrics.functions.dates import moment, month_of, partition_name, utc
 from eventmetrics.functions.payload import with_identity
 from eventmetrics.operators.scope import page
 
@@ -123,6 +123,59 @@ def ingest_receipts(checked: DataFrame, batch: str) -> DataFrame:
     )
 
 
+def tenant_months(events: DataFrame) -> DataFrame:
+    """Rows per tenant and month: what ``events_page`` goes by. Small, and kept next to the store."""
+    if "event_month" not in events.columns:
+        events = events.withColumn("event_month", month_of(F.col("timestamp")))
+    return events.groupBy("organization_id", "event_month").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+Cursor = tuple[datetime, str]
+
+
+def events_page(
+    events: DataFrame, counts: DataFrame, org: str, after: Cursor | None = None, limit: int = 100
+) -> DataFrame:
+    """One tenant's events behind a cursor (timestamp, id), newest first; the first page without one.
+
+    ``counts`` (``tenant_months``) says which months hold the page: from the
+    cursor's month back until the months below it have ``limit`` rows. Only
+    these folders are read, and how deep a page lies does not matter. A row
+    that is missing from the counts is not found, so count after each load.
+    """
+    months = counts.filter(F.col("organization_id") == org)
+    if after is not None:
+        months = months.filter(F.col("event_month") <= month_of(moment(after[0])))
+    # One row per month of one tenant.
+    listed = sorted(((r.event_month, r.row_count) for r in months.collect()), reverse=True)
+    needed, found = [], 0
+    for month, n in listed:
+        needed.append(month)
+        # The cursor's own month may have nothing left.
+        own = after is not None and month == utc(after[0]).date().replace(day=1)
+        found += 0 if own else n
+        if found >= limit:
+            break
+    rows = events.filter(F.col("organization_id") == org)
+    if not needed:
+        return rows.filter("false")
+    in_months = F.col("event_month") if "event_month" in events.columns else month_of(F.col("timestamp"))
+    rows = rows.filter(in_months.between(F.lit(min(needed)), F.lit(max(needed))))
+    if after is not None:
+        at, last = moment(after[0]), F.lit(after[1])
+        ts = F.col("timestamp")
+        rows = rows.filter((ts <= at) & ((ts < at) | (F.col("id") > last)))
+    return rows.orderBy(F.desc("timestamp"), F.asc("id")).limit(limit)
+
+
+def cursor_of(page_rows: DataFrame) -> Cursor | None:
+    """The cursor behind the last row of a page; None after the last page."""
+    last = page_rows.orderBy(F.asc("timestamp"), F.desc("id")).select(F.unix_micros("timestamp"), "id").first()
+    if last is None:
+        return None
+    return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last[0]), last[1]
+
+
 def list_events(events: DataFrame, org: str, limit: int = 100, skip: int = 0) -> DataFrame:
     """One tenant's events, newest first; ties by id so that pages do not overlap."""
     rows = events.filter(F.col("organization_id") == org)

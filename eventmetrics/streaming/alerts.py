@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventmetrics.operators import alerts as al
+from eventmetrics.operators import panes as pn
 from eventmetrics.streaming.snapshots import read_snapshot, write_snapshot
 
 EVERY = "60 seconds"
 
+# How late a snooze may be written and still count.
+LATE = "7 DAYS"
+
 # What tells snoozes apart.
 SNOOZE_KEY = "organization_id string, alert_rule_id string, requested_at timestamp"
 
@@ -50,6 +54,7 @@ def sweep(
     as_of: int,
     load_snoozes: Loader | None = None,
     load_rules: Loader | None = None,
+    totals: al.Totals = al.lookback_totals,
 ) -> None:
     """Sweep number ``version`` at ``as_of`` (microseconds since 1970).
 
@@ -58,7 +63,9 @@ def sweep(
     numbered and replaced as a whole, so running a sweep again is harmless.
     With ``load_rules`` definitions are read anew and only states carried over.
     A snooze is applied by the first sweep that sees it, however late it was
-    written; those applied are remembered.
+    written; those applied are remembered for ``LATE`` after they were asked
+    for, and older ones that were never seen are not applied any more.
+    ``totals`` says what ``load_events`` loads: events, or panes of them.
     """
     now = F.timestamp_micros(F.lit(as_of))
     stored = read_snapshot(spark, f"{path}/rules", version - 1)
@@ -67,10 +74,11 @@ def sweep(
     muted = None
     if load_snoozes is not None:
         key = applied.columns
-        asked = load_snoozes(spark).filter(F.col("requested_at") <= now).join(applied, key, "left_anti")
+        recent = F.col("requested_at") >= now - F.expr(f"INTERVAL {LATE}")
+        asked = load_snoozes(spark).filter(recent & (F.col("requested_at") <= now)).join(applied, key, "left_anti")
         rules, muted = al.snooze(rules, asked, now)
-        applied = applied.unionByName(asked.select(*key).distinct())
-    values = al.alert_values(load_events(spark), rules, now)
+        applied = applied.filter(recent).unionByName(asked.select(*key).distinct())
+    values = al.alert_values(load_events(spark), rules, now, totals)
     write_snapshot(al.evaluate(rules, values, now), f"{path}/evaluated", version)
     evaluated = read_snapshot(spark, f"{path}/evaluated", version)
     history = al.transitions(evaluated, now)
@@ -82,6 +90,12 @@ def sweep(
     write_snapshot(applied, f"{path}/snoozed", version)
 
 
+def hand_on(spark: SparkSession, path: str, version: int) -> None:
+    """A batch without a tick: the rules as they are, under the next number."""
+    for name in ("rules", "snoozed"):
+        write_snapshot(read_snapshot(spark, f"{path}/{name}", version - 1), f"{path}/{name}", version)
+
+
 def start_sweeps(
     clock: DataFrame,
     load_events: Loader,
@@ -100,10 +114,7 @@ def start_sweeps(
     def run(batch: DataFrame, version: int) -> None:
         as_of = batch.agg(F.max(F.unix_micros("timestamp"))).first()[0]
         if as_of is None:
-            # No tick in this batch: hand the rules on under the next number.
-            for name in ("rules", "snoozed"):
-                kept = read_snapshot(batch.sparkSession, f"{path}/{name}", version - 1)
-                write_snapshot(kept, f"{path}/{name}", version)
+            hand_on(batch.sparkSession, path, version)
             return
         sweep(batch.sparkSession, load_events, path, version, as_of, load_snoozes, load_rules)
 
@@ -115,6 +126,52 @@ def start_sweeps(
     )
 
 
+def start_pane_sweeps(
+    arrivals: DataFrame,
+    clock: DataFrame,
+    path: str,
+    checkpoint: str,
+    load_snoozes: Loader | None = None,
+    load_rules: Loader | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Sweeps over sliding lookbacks that are kept up to date pane by pane.
+
+    ``arrivals`` are events as they come in, ``clock`` has the ticks. A batch
+    turns its own events into panes, which are written once, and a tick
+    combines the panes of each lookback: no event is read twice, and late ones
+    join the panes of their minute. Ticks count by whole minutes.
+    """
+    rows = arrivals.withColumn("tick", F.lit(None).cast("timestamp")).unionByName(
+        clock.select(F.col("timestamp").alias("tick")), allowMissingColumns=True
+    )
+    layout = pn.panes(arrivals.sparkSession.createDataFrame([], arrivals.schema)).schema.add("pane_day", "date")
+
+    def load_panes(spark: SparkSession) -> DataFrame:
+        return spark.read.schema(layout).parquet(f"{path}/panes")
+
+    def run(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        # Kept while its panes and its newest tick are taken; what is lost of it is read again.
+        batch.persist()
+        try:
+            pn.write_panes(pn.panes(batch.filter("tick IS NULL").drop("tick")), f"{path}/panes", version)
+            as_of = batch.agg(F.max(F.unix_micros(F.date_trunc("minute", F.col("tick"))))).first()[0]
+        finally:
+            batch.unpersist()
+        if as_of is None:
+            hand_on(spark, path, version)
+            return
+        sweep(spark, load_panes, path, version, as_of, load_snoozes, load_rules, al.lookback_totals_of_panes)
+
+    return (
+        rows.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": EVERY}))
+        .start()
+    )
+
+
 def wall_clock(spark: SparkSession) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select("timestamp")
 

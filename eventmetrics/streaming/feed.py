@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from eventmetrics.functions.dates import iso_text
 from eventmetrics.operators.alerts import alert_frames
 from eventmetrics.operators.scope import page_per_org
-from eventmetrics.streaming.snapshots import read_snapshot, write_snapshot
+from eventmetrics.streaming.snapshots import write_snapshot
 
 # Frames kept by a tail, row types of the feed, titles.
 TAIL_FRAMES = 200
@@ -106,31 +110,89 @@ def running_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("organization_id", "type").agg(F.count(F.lit(1)).alias("rows"))
 
 
+class Tail(StatefulProcessor):
+    """The newest frames of one tenant."""
+
+    def __init__(self, frames: int, columns: list[str]) -> None:
+        self.frames, self.columns = frames, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", ROW)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [(r.us, *[r[c] for c in FRAME]) for r in rows]
+        held = list(self.held.get())
+        newest = sorted([*held, *new], key=lambda r: (r[0], r[1] or ""), reverse=True)[: self.frames]
+        if newest != held:
+            self.held.put(newest)
+            for row in newest:
+                yield Row(organization_id=key[0], us=row[0], **dict(zip(FRAME, row[1:], strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+FRAME = COLUMNS[2:]
+ROW = "us long, " + ", ".join(f"{c} string" for c in FRAME)
+
+
+def _newest(frames: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All but the newest frames of each tenant left out, batch by batch."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order = pc.sort_indices(batch, [("us", "descending"), ("id", "descending")])
+                org = batch.column(0).take(order).to_pandas()
+                nth = org.groupby(org, dropna=False, sort=False).cumcount().to_numpy()
+                yield batch.take(order.filter(pa.array(nth < frames)))
+
+    return cut
+
+
+def tails(rows: DataFrame, frames: int = TAIL_FRAMES) -> DataFrame:
+    """Stream of the whole tail of each tenant that got a newer frame."""
+    plain = rows.select("organization_id", F.unix_micros("timestamp").alias("us"), *FRAME)
+    layout = f"organization_id string, {ROW}"
+    return (
+        plain.mapInArrow(_newest(frames), layout)
+        .groupBy("organization_id")
+        .transformWithState(Tail(frames, FRAME), outputStructType=layout, outputMode="Update", timeMode="None")
+    )
+
+
 def start_live_tail(
     rows: DataFrame, path: str, checkpoint: str, frames: int = TAIL_FRAMES, **trigger
 ) -> StreamingQuery:
-    """Keep each tenant's tail in a snapshot below ``path`` (``snapshots.read_latest``).
+    """Keep each tenant's tail in state; a batch writes the tails it changed (``read_tail``).
 
-    A micro-batch is cut to its own tail before it meets the stored one, so
-    the work per batch is the batch plus ``frames`` rows per tenant.
+    A batch is cut to its own tail in each task before it meets the state, so a
+    tenant with a third of all events sends a few frames, and tenants without
+    news cost nothing.
     """
 
-    def merge(batch: DataFrame, version: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        tail = live_tail(batch, frames)
-        if version > 0:
-            stored = read_snapshot(spark, path, version - 1)
-            tail = live_tail(tail.unionByName(stored), frames)
-        write_snapshot(tail, path, version)
+    def store(batch: DataFrame, version: int) -> None:
+        rows = batch.withColumn("timestamp", F.timestamp_micros("us")).drop("us")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={version}")
 
     return (
-        rows.writeStream.foreachBatch(merge)
+        tails(rows, frames)
+        .writeStream.outputMode("update")
+        .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
         .start()
     )
 
 
+def read_tail(spark: SparkSession, path: str) -> DataFrame:
+    """Each tenant's tail as the last batch that changed it left it."""
+    written = spark.read.parquet(path)
+    last = written.groupBy(F.col("organization_id").alias("_org")).agg(F.max("batch").alias("_batch"))
+    same = F.col("organization_id").eqNullSafe(F.col("_org")) & (F.col("batch") == F.col("_batch"))
+    return written.join(last, same).select(*COLUMNS)
+
+
 def start_running_counts(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the counters in a snapshot below ``path``."""
 

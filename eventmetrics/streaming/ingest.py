@@ -11,9 +11,7 @@ from eventmetrics import schema
 from eventmetrics.operators import access as ac
 from eventmetrics.sources import events as src
 from eventmetrics.sources.store import split_by_calendar, write_events
-
-COUNTERS = "key_prefix string, minute timestamp, requests bigint, day string, batch bigint"
-DAY = "yyyyMMdd"
+from eventmetrics.streaming.limits import OVER, limited
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -46,49 +44,69 @@ def parsed_body(body: Column) -> Column:
     return F.when(F.size(events) > 0, events)
 
 
+def _named_source(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """Requests with ``_foreign``: do their events name a source that their tenant may not use?
+
+    Requests whose events all name one source, or none, are joined to it. Only
+    the others are unrolled, so no tenant's sources are gathered anywhere.
+    """
+    named = F.array_distinct(F.filter(F.transform("_events", lambda e: e.getField("data_source_id")), lambda i: i.isNotNull()))
+    usable = (
+        ac.usable_sources(sources)
+        .select("organization_id", F.col("id").alias("_source"), F.lit(True).alias("_usable"))
+        .distinct()
+    )
+    asked = found.withColumn("_named", F.coalesce(named, F.array().cast("array<string>")))
+    few = asked.filter(F.size("_named") < 2).withColumn("_source", F.try_element_at("_named", F.lit(1)))
+    single = few.join(usable, ["organization_id", "_source"], "left").withColumn(
+        "_foreign", F.col("_source").isNotNull() & F.col("_usable").isNull()
+    )
+    several = asked.filter(F.size("_named") >= 2)
+    missing = (
+        several.select("request_id", "organization_id", F.explode("_named").alias("_source"))
+        .join(usable, ["organization_id", "_source"], "left_anti")
+        .select("request_id", F.lit(True).alias("_missing"))
+        .distinct()
+    )
+    many = several.join(missing, "request_id", "left").withColumn("_foreign", F.col("_missing").isNotNull())
+    columns = [*found.columns, "_foreign"]
+    return single.select(*columns).unionByName(many.select(*columns))
+
+
 def process(
     batch: DataFrame,
     api_keys: DataFrame,
     sources: DataFrame,
-    used: DataFrame | None = None,
     limit: int = ac.REQUESTS_PER_MINUTE,
 ) -> DataFrame:
     """Run all checks on raw requests (``request_id``, ``api_key``, ``received_at``, ``body``).
 
     Returns one row per event of accepted requests, in the event model, and
     one row per refused request; both carry ``request_id`` and ``reason``,
-    refused ones also ``body``. ``counts`` marks one row of each request that
-    counts against its key's limit.
+    refused ones also ``body``. Where the requests carry ``over_limit``
+    (``limits.limited``) that decides on the limit, else it is looked up among
+    these requests.
 
     One bad event or source refuses its whole request. That is decided on the
     request's list of events before it is unrolled, so it needs no grouping.
     """
-    keyed = ac.key_verdicts(batch, api_keys, F.col("received_at")).withColumn(
-        "_counts", F.col("reason").isNull()
-    )
-    admitted = ac.admission_verdicts(keyed, limit, used=used)
-    usable = (
-        ac.usable_sources(sources)
-        .groupBy("organization_id")
-        .agg(F.collect_set("id").alias("_usable"))
-    )
-    opened = admitted.join(usable, "organization_id", "left").withColumn(
-        "_events", F.when(F.col("reason").isNull(), parsed_body(F.col("body")))
-    )
+    keyed = ac.key_verdicts(batch, api_keys, F.col("received_at"))
+    if OVER in batch.columns:
+        refused = F.when(F.col(OVER), F.lit("rate_limited"))
+        admitted = keyed.withColumn("reason", F.coalesce("reason", refused)).drop(OVER)
+    else:
+        admitted = ac.admission_verdicts(keyed, limit)
+    opened = admitted.withColumn("_events", F.when(F.col("reason").isNull(), parsed_body(F.col("body"))))
     reasons = F.array_compact(F.transform("_events", lambda e: src.event_reason(e.getField)))
-    known = F.coalesce(F.col("_usable"), F.array().cast("array<string>"))
-    foreign = F.exists(
-        "_events",
-        lambda e: e.getField("data_source_id").isNotNull()
-        & ~F.array_contains(known, e.getField("data_source_id")),
-    )
-    reason = F.coalesce(
+    judged = opened.withColumn(
         "reason",
-        F.when(F.col("_events").isNull(), F.lit("not_json")),
-        F.try_element_at(reasons, F.lit(1)),
-        F.when(foreign, F.lit("source_not_usable")),
+        F.coalesce(
+            "reason", F.when(F.col("_events").isNull(), F.lit("not_json")), F.try_element_at(reasons, F.lit(1))
+        ),
+    )
+    checked = _named_source(judged, sources).withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_foreign"), F.lit("source_not_usable")))
     )
-    checked = opened.withColumn("reason", reason)
     unrolled = checked.select(
         "*", F.posexplode_outer(F.when(F.col("reason").isNull(), F.col("_events"))).alias("_nth", "_event")
     )
@@ -103,9 +121,6 @@ def process(
         "request_id",
         F.when(F.col("reason").isNotNull(), F.col("body")).alias("body"),
         "reason",
-        "key_prefix",
-        F.date_trunc("minute", F.col("received_at")).alias("minute"),
-        (F.col("_counts") & (F.coalesce("_nth", F.lit(0)) == 0)).alias("counts"),
     )
 
 
@@ -121,31 +136,19 @@ def start_ingest(
 ) -> StreamingQuery:
     """Append accepted events to ``path/events`` and refused ones to ``path/rejected``.
 
-    Keys and sources are loaded for each micro-batch, so changes take effect.
-    Requests counted per key and minute are kept in ``path/counters`` by day,
-    so a micro-batch lists and reads only the days it can still count in.
-    Outcomes are written to a staging folder first, so that the checks run once
-    for all outputs; ids are hashes of the request and the event's place in it.
-    Every output is keyed by the batch number and replaced if a batch is run
-    again. With ``load_calendar`` events outside its months are refused.
+    Limits are counted in keyed state (``limits``), so the session needs a state
+    store that keeps them, as ``session.stream_session`` has. Keys and sources
+    are loaded for each micro-batch, so changes take effect. Outcomes are
+    written to a staging folder first, so that the checks run once for all
+    outputs; ids are hashes of the request and the event's place in it. Every
+    output is keyed by the batch number and replaced if a batch is run again.
+    With ``load_calendar`` events outside its months are refused.
     """
 
     def run(batch: DataFrame, version: int) -> None:
         spark = batch.sparkSession
-        used = None
-        if version > 0:
-            oldest = batch.agg(F.min(F.date_trunc("minute", F.col("received_at")))).first()[0]
-            used = (
-                spark.read.schema(COUNTERS).parquet(f"{path}/counters")
-                .filter((F.col("batch") < version) & (F.col("day") >= F.date_format(F.lit(oldest), DAY)))
-                .filter(F.col("minute") >= F.lit(oldest))
-                .groupBy("key_prefix", "minute")
-                .agg(F.sum("requests").alias("used"))
-            )
         staging = f"{path}/staging/slot={version % 2}"
-        process(batch, load_keys(spark), load_sources(spark), used, limit).write.mode(
-            "overwrite"
-        ).parquet(staging)
+        process(batch, load_keys(spark), load_sources(spark)).write.mode("overwrite").parquet(staging)
         outcome = spark.read.parquet(staging)
         accepted = outcome.filter(F.col("reason").isNull())
         refused = outcome.filter(F.col("reason").isNotNull()).select("request_id", "body", "reason")
@@ -154,17 +157,11 @@ def start_ingest(
             refused = refused.unionByName(outside.select("request_id", F.col("payload").alias("body"), "reason"))
         write_events(accepted.select(*EVENT_FIELDS), f"{path}/events", batch=version)
         refused.write.mode("overwrite").parquet(f"{path}/rejected/batch={version}")
-        counted = outcome.filter("counts").groupBy("key_prefix", "minute").agg(F.count(F.lit(1)).alias("requests"))
-        (
-            counted.withColumns({"day": F.date_format("minute", DAY), "batch": F.lit(version).cast("bigint")})
-            .write.partitionBy("day", "batch")
-            .mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .parquet(f"{path}/counters")
-        )
 
     return (
-        raw.writeStream.foreachBatch(run)
+        limited(raw, limit)
+        .writeStream.outputMode("update")
+        .foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()

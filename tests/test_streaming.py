@@ -72,11 +72,17 @@ def test_tail_over_batches(spark, inbox, tmp_path):
             events(spark, [event(f"n{part}", AS_OF + timedelta(minutes=10 * part + i), org=o) for i in range(3) for o in ("a", "b")])
         )
         fd.start_live_tail(fd.event_feed(inbox.stream()), tail, checkpoint, frames=4, availableNow=True).awaitTermination()
-    found = read_latest(spark, tail)
+    found = fd.read_tail(spark, tail)
     assert rows(found.filter("organization_id = 'a'"), "timestamp", "event_name") == [
         (local(AS_OF + timedelta(minutes=m)), n) for m, n in ((12, "n1"), (20, "n2"), (21, "n2"), (22, "n2"))
     ]
     assert found.count() == 8
+    # A batch writes the tails it changes, no others.
+    inbox.put(events(spark, [event("n3", AS_OF + timedelta(hours=1), org="b"), event("old", AS_OF - timedelta(hours=1), org="a")]))
+    fd.start_live_tail(fd.event_feed(inbox.stream()), tail, checkpoint, frames=4, availableNow=True).awaitTermination()
+    last = spark.read.parquet(f"{tail}/batch=3")
+    assert rows(last, "organization_id", "event_name") == [("b", "n2"), ("b", "n2"), ("b", "n2"), ("b", "n3")]
+    assert rows(fd.read_tail(spark, tail), "organization_id", "event_name")[:4] == [("a", "n1"), ("a", "n2"), ("a", "n2"), ("a", "n2")]
 
 
 def test_counts_over_batches(spark, inbox, tmp_path):
