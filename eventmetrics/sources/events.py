@@ -166,10 +166,11 @@ def csv_records_to_events(
     )
     core = CSV_NAME_COLUMNS + CSV_TIME_COLUMNS
 
+    def value_of(name: str) -> Column:
+        return F.get(F.filter("_row", lambda e: e["name"] == name), F.lit(0))["value"]
+
     def first_of(names: tuple[str, ...]) -> Column:
-        return F.coalesce(
-            *[F.nullif(F.get(F.filter("_row", lambda e, n=n: e["name"] == n), F.lit(0))["value"], F.lit("")) for n in names]
-        )
+        return F.coalesce(*[F.nullif(value_of(name), F.lit("")) for name in names])
 
     rest = F.filter("_row", lambda e: ~e["name"].isin(*core))
     read = records.withColumn("_row", kept).withColumns(

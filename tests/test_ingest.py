@@ -420,3 +420,27 @@ def test_texts(spark):
         dates.iso_text(F.lit(AS_OF + timedelta(microseconds=5))).alias("i"),
     ).first()
     assert tuple(one) == ("Avg Session Duration", "%", "202605211200", "2026-05-21T12:00:00.000005+00:00")
+
+
+def test_pages_behind_a_cursor(spark, tmp_path):
+    made = [event("x", utc(2026, 1 + i % 4, 1 + i % 7, i % 5), org="org_a" if i % 5 else "org_b") for i in range(200)]
+    store.write_events(events(spark, made), str(tmp_path / "store"))
+    stored = store.read_events(spark, str(tmp_path / "store"))
+    counts = store.tenant_months(stored)
+    want = [r.id for r in store.list_events(stored, "org_a", limit=1000).collect()]
+    got, cursor = [], None
+    while True:
+        page = store.events_page(stored, counts, "org_a", cursor, limit=23)
+        found = [r.id for r in page.collect()]
+        if not found:
+            break
+        assert len(found) == 23 or len(got) + len(found) == 160
+        got += found
+        cursor = store.cursor_of(page)
+    assert got == want and len(got) == 160
+    # A deep page reads the folders of one or two months.
+    deep = store.events_page(stored, counts, "org_a", (utc(2026, 2, 4, 2), ""), limit=10)
+    plan = deep._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "2026-01-01" in filters and "2026-02-01" in filters
+    assert store.events_page(stored, counts, "nobody").collect() == []

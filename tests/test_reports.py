@@ -191,3 +191,27 @@ def test_runs(spark):
         re.record_runs(due, AS_OF, "lost")
     listed = re.list_runs(done.unionByName(failed.withColumn("id", F.concat("id", F.lit("x")))), "org_a", skip=1, limit=2)
     assert listed.count() == 2
+
+
+def test_one_failed_report_fails_only_itself(spark, tmp_path):
+    due = spark.createDataFrame(
+        [schedule("good", "daily"), schedule("bad", None), schedule("lost", "weekly"), schedule("new", "daily")],
+        schema.REPORT_SCHEDULES,
+    )
+    begun = re.record_outcomes(due, None, AS_OF)
+    assert {r.status for r in begun.collect()} == {"pending"}
+    written = spark.createDataFrame([("good", "overview")] * 4 + [("new", "overview")] * 4 + [("lost", "kpi")], "schedule_id string, section string")
+    errors = re.report_errors(due, written).filter("id <> 'new'")
+    runs = {r.report_schedule_id: r for r in re.record_outcomes(due, errors, AS_OF, "archive").collect()}
+    assert {k: (r.status, r.error_message) for k, r in runs.items()} == {
+        "good": ("success", None),
+        "bad": ("failed", re.NO_FREQUENCY),
+        "lost": ("failed", re.NO_OVERVIEW),
+        "new": ("pending", None),
+    }
+    assert runs["good"].file_path == f"archive/report_good_{runs['good'].id}"
+    assert runs["bad"].file_path is None
+    # A failed run does not count: the schedule is due again.
+    history = re.record_outcomes(due, errors, AS_OF, "archive")
+    again = re.due_schedules(due, history, AS_OF)
+    assert rows(again, "id") == [("bad",), ("lost",), ("new",)]
