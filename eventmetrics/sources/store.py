@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F
 
 from eventmetrics.functions.dates import moment, month_of, partition_name, utc
 from eventmetrics.functions.payload import with_identity
 from eventmetrics.operators.scope import page
+from eventmetrics.streaming.snapshots import read_latest, write_snapshot
 
 AHEAD_MONTHS = 3
 
@@ -48,8 +50,91 @@ def write_events(events: DataFrame, path: str, batch: int | None = None) -> None
     rows.write.partitionBy("event_month").mode(mode).parquet(target)
 
 
+def _manifest(path: str) -> str:
+    return f"{path.rstrip('/')}-compacted"
+
+
+def _compacted(spark: SparkSession, path: str) -> list[Row]:
+    """(event_month, upto, generation) of the months that were compacted, as last published: a row a month."""
+    try:
+        return read_latest(spark, _manifest(path)).collect()
+    except AnalysisException:
+        return []
+
+
+def _generation_batch(generation: int) -> int:
+    """Generations lie among the batches under numbers below that of loaded rows."""
+    return LOADED - 1 - generation
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("ingest_batch")
+    """The stored events, each once.
+
+    Of a compacted month these are its newest generation, rows that were
+    loaded without a number, and batches that came since. What the filter
+    leaves out is told by folder names, so it is not read.
+    """
+    stored = spark.read.parquet(path)
+    if "ingest_batch" not in stored.columns:
+        return stored
+    batch, month = F.col("ingest_batch"), F.col("event_month")
+    by_state: dict[tuple[int, int], list] = {}
+    for row in _compacted(spark, path):
+        by_state.setdefault((row.upto, row.generation), []).append(row.event_month)
+    others, kept = batch >= LOADED, F.lit(False)
+    for (upto, generation), months in by_state.items():
+        inside = month.isin(months)
+        others = others & ~inside
+        kept = kept | (inside & ((batch == _generation_batch(generation)) | (batch == LOADED) | (batch > upto)))
+    return stored.filter(others | kept).drop("ingest_batch")
+
+
+def compact_closed_months(spark: SparkSession, path: str, as_of: datetime, least_batches: int = 8) -> list[date]:
+    """Rewrite months before ``as_of``'s that lie in many batches as one folder each; returns these months.
+
+    Only such months are read and written, and none twice unless ``least_batches``
+    newer batches have brought late rows. The new folders count from the moment
+    the list of compacted months is published; until then, and if the work is
+    cut short, readers and a second try see the store as it was. Superseded
+    folders may be deleted once no reader that began before is left.
+    """
+    state = {row.event_month: row for row in _compacted(spark, path)}
+    closed = moment(as_of).cast("date")
+    parts = (
+        spark.read.parquet(path)
+        .select("ingest_batch", "event_month")
+        .filter((F.col("ingest_batch") > LOADED) & (F.col("event_month") < month_of(closed)))
+        .distinct()
+        .collect()
+    )
+    newer: dict[date, list[int]] = {}
+    for row in parts:
+        if row.event_month not in state or row.ingest_batch > state[row.event_month].upto:
+            newer.setdefault(row.event_month, []).append(row.ingest_batch)
+    chosen = {month: max(batches) for month, batches in newer.items() if len(batches) >= least_batches}
+    if not chosen:
+        return []
+    generation = max([row.generation for row in state.values()], default=-1) + 1
+    # Rows that a load without a number adds meanwhile stay where they are.
+    rows = spark.read.parquet(path)
+    batch, month = F.col("ingest_batch"), F.col("event_month")
+    wanted = F.lit(False)
+    for m, upto in chosen.items():
+        numbered = (batch > (state[m].upto if m in state else LOADED)) & (batch <= upto)
+        if m in state:
+            numbered = numbered | (batch == _generation_batch(state[m].generation))
+        wanted = wanted | ((month == F.lit(m)) & numbered)
+    order = ["event_month", "organization_id", "timestamp"]
+    gathered = rows.filter(wanted).drop("ingest_batch").repartitionByRange(*order).sortWithinPartitions(*order)
+    gathered.write.partitionBy("event_month").mode("overwrite").parquet(_batch_path(path, _generation_batch(generation)))
+    after = {m: (m, row.upto, row.generation) for m, row in state.items()}
+    after |= {m: (m, upto, generation) for m, upto in chosen.items()}
+    write_snapshot(
+        spark.createDataFrame(list(after.values()), "event_month date, upto long, generation long"),
+        _manifest(path),
+        generation,
+    )
+    return sorted(chosen)
 
 
 def compact_events(spark: SparkSession, path: str, target: str) -> None:

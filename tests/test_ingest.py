@@ -444,3 +444,48 @@ def test_pages_behind_a_cursor(spark, tmp_path):
     filters = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "2026-01-01" in filters and "2026-02-01" in filters
     assert store.events_page(stored, counts, "nobody").collect() == []
+
+
+def test_closed_months_are_compacted_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def batch(n, *months):
+        made = [event(f"b{n}", utc(2026, m, 1 + n % 20, n % 24), org=o) for m in months for o in ("org_a", "org_b")]
+        given = [(f"{n}-{i}", *r[1:]) for i, r in enumerate(made)]
+        store.write_events(spark.createDataFrame(given, schema.EVENTS), path, batch=n)
+
+    def ids():
+        return sorted(r.id for r in store.read_events(spark, path).collect())
+
+    for n in range(4):
+        batch(n, 3, 4, 5)
+    batch(4, 4)
+    store.write_events(spark.createDataFrame([("loaded", *event("x", utc(2026, 3, 2))[1:])], schema.EVENTS), path)
+    before = ids()
+    # May is open, March lies in too few batches.
+    assert store.compact_closed_months(spark, path, utc(2026, 5, 9), least_batches=5) == [utc(2026, 4, 1).date()]
+    assert ids() == before and len(before) == 4 * 6 + 2 + 1
+    files = [f for f in store.read_events(spark, path).inputFiles() if "event_month=2026-04" in f]
+    april = store.read_events(spark, path).filter("event_month = DATE '2026-04-01'")
+    assert {f.split("/")[-3] for f in (r.f for r in april.select(F.input_file_name().alias("f")).distinct().collect())} == {"ingest_batch=-2"}
+    assert files
+    # Nothing to do a second time; rows written again by a resumed run do not come back.
+    assert store.compact_closed_months(spark, path, utc(2026, 5, 9), least_batches=5) == []
+    batch(4, 4)
+    assert ids() == before
+    # Late rows are seen at once, and gathered when there are enough of them.
+    for n in range(5, 10):
+        batch(n, 4)
+    late = ids()
+    assert len(late) == len(before) + 10
+    assert store.compact_closed_months(spark, path, utc(2026, 5, 9), least_batches=5) == [utc(2026, 4, 1).date()]
+    assert ids() == late
+    # A try that was cut short before it was published: its folder is not seen, and the next one replaces it.
+    for n in range(10, 14):
+        batch(n, 3)
+    whole = ids()
+    unfinished = spark.createDataFrame([("ghost", *event("x", utc(2026, 3, 3))[1:])], schema.EVENTS)
+    store.write_events(unfinished, path, batch=-4)
+    assert ids() == whole
+    assert store.compact_closed_months(spark, path, utc(2026, 5, 9), least_batches=5) == [utc(2026, 3, 1).date()]
+    assert ids() == whole
