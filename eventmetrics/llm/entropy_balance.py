@@ -244,10 +244,14 @@ def report(docs: DataFrame, **names: str) -> DataFrame:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix: each document as often as it has copies, with all its columns."""
     found = written(mixed(docs, id_col, text_col, source_col).where("copies > 0"), "mix-copies")
-    key, other, copies = (free_name(docs.columns, wish) for wish in ("mix_identity", "mix_other", "mix_copies"))
-    side = found.select(F.col("identity").alias(other), F.col("doc_id").alias(f"{other}_id"), F.col("copies").alias(copies))
+    key, other, number, copies = (
+        free_name(docs.columns, wish) for wish in ("mix_identity", "mix_other", "mix_number", "mix_copies")
+    )
+    side = found.select(F.col("identity").alias(other), F.col("doc_id").alias(number), F.col("copies").alias(copies))
+    # Copies differ between documents of one source and size, so each row has to meet its own: one
+    # shuffle of the rows. The merge keeps the plan the same at every size.
     joined = docs.withColumn(key, _identity(id_col, text_col, source_col)).join(
-        side, (F.col(key) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(f"{other}_id"))
+        side.hint("merge"), (F.col(key) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(number))
     )
     repeated = joined.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return repeated.select(*docs.columns)

@@ -2,12 +2,13 @@
 
 Texts are turned into word hashes once, dealt over ``SHARDS`` shards that are
 scanned one after the other, round and round. Words are counted from the first
-scan on. At each boundary between scans the phrases that have reached
-``LEAST`` so far become known, and a phrase of two to four words is counted from
-the first scan at whose start both its subphrases (without the last and without
-the first word) are known, until it has seen each shard once. So lengths are
-counted interleaved, in little more than two rounds instead of one per length.
-When nothing has become known for a whole round, all phrases are complete.
+scan on. At each stop the phrases that have reached ``LEAST`` so far become
+known, and a phrase of two to four words is counted from the first scan at whose
+start both its subphrases (without the last and without the first word) are
+known, until it has seen each shard once. Words, pairs and longer phrases are
+so counted in the same scans. The first round stops after each shard, later ones,
+in which little becomes known, at their end. When nothing has become known for a
+whole round, all phrases are complete.
 
 * What a scan has to count is told by Bloom filters over the known phrases.
   Those of a shard's earlier visits stay at hand, and an occurrence that passed
@@ -17,10 +18,11 @@ When nothing has become known for a whole round, all phrases are complete.
 * A filter is built in slices of the hash range of at most ``FILTER_BYTES``; a
   shard is scanned once per slice. One slice holds 16.7 million known phrases.
 * A phrase that has reached ``LEAST`` has at least ``LEAST / SHARDS`` in one
-  shard, so sums over shards are taken for such phrases only.
-* Phrases travel as 64-bit hashes until the frequent ones are known. A last scan
-  of the texts counts what passes a filter over these, by another hash within a
-  task and by its words between tasks; scores come from these counts.
+  scan. A filter over the phrases that do picks their counts out of all scans
+  before anything is summed, so rare phrases are shuffled once, when counted.
+* Phrases travel as 64-bit hashes, with one place where each occurs. Words are
+  looked up there for the frequent phrases, one row each, and their letters for
+  those that may be among the best. Counts tell phrases apart by that hash.
 
 Defined results: a null text is empty, a null language is ``und``; a piece has
 only the phrases within it; equal rows count each; tables without a phrase of
@@ -53,7 +55,7 @@ COVER = 80  # percent of a phrase's occurrences within a longer one, from which
 SCALE = 2_000_000
 FILTER_BYTES = 32 * 1024 * 1024
 TEXT_BYTES = 512 * 1024
-HELD = 2_000_000  # phrases a task holds before it hands them on
+HELD = 1_000_000  # phrases a task holds before it hands them on
 SALTS = 64
 
 SPACE = np.zeros(256, bool)
@@ -61,8 +63,8 @@ SPACE[[0x20, 0x09]] = True
 CUT = np.zeros(256, bool)
 CUT[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
 END = np.uint64(0)  # stands after each piece
-COUNTS = "key long, n tinyint, count long"
-FACTORS, SPELLING = constants(LONGEST, 13), constants(LONGEST, 17)
+COUNTS = "key long, n tinyint, count long, at long"
+FACTORS = constants(LONGEST, 13)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, salts: np.ndarray, powers: Powers) -> tuple[np.ndarray, ...]:
@@ -102,8 +104,12 @@ def _by_language(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, lang, n_words, words): word hashes of some texts of one language, END after each piece."""
-    powers, shard = Powers(), TaskContext.get().partitionId()
+    """(shard, at, lang, n_words, words): word hashes of some texts of one language, END after each piece.
+
+    ``at`` numbers the rows.
+    """
+    powers, task = Powers(), TaskContext.get().partitionId()
+    shard, at = task, task << 32
     for batch in batches:
         for part in chunks(batch, "text", TEXT_BYTES):
             langs, kind = _by_language(part)
@@ -111,32 +117,33 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             mine = [kind[text] == g for g in range(len(langs))]
             lists = [_with_ends(hashes[m], closes[m]) for m in mine]
             places = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            shard = (shard + 1) % SHARDS
+            shard, at = (shard + 1) % SHARDS, at + len(langs)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard] * len(langs), pa.int32()),
+                    pa.array(range(at - len(langs), at), pa.int64()),
                     pa.array(langs, pa.string()),
                     pa.array([int(m.sum()) for m in mine], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(lists).view(np.int64))),
                 ],
-                ["shard", "lang", "n_words", "words"],
+                ["shard", "at", "lang", "n_words", "words"],
             )
 
 
 def _word_table(docs: DataFrame) -> DataFrame:
     path = work_dir(docs.sparkSession, "llm-word-hashes")
-    rows = docs.mapInArrow(_word_batches, "shard int, lang string, n_words long, words array<long>")
+    rows = docs.mapInArrow(_word_batches, "shard int, at long, lang string, n_words long, words array<long>")
     rows.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def phrase_keys(row: np.ndarray, at: np.ndarray, n: int, factors: np.ndarray) -> np.ndarray:
+def phrase_keys(row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the phrases of ``n`` words that begin at these places."""
     if n == 1:
         return row[at]
     total = np.full(len(at), n, np.uint64)
     for j in range(n):
-        total += row[at + j] * factors[j]
+        total += row[at + j] * FACTORS[j]
     return mix(total)
 
 
@@ -203,7 +210,7 @@ def _active(row: np.ndarray, fits: list[np.ndarray], filters: Known, piece: int)
     for n in range(1, LONGEST):
         at = np.flatnonzero(ask)
         passes = np.zeros(len(row), bool)
-        passes[at] = filters.has(phrase_keys(row, at, n, FACTORS), piece)
+        passes[at] = filters.has(phrase_keys(row, at, n), piece)
         active = fits[n] & passes
         if whole:
             active[:-1] &= passes[1:]
@@ -213,48 +220,51 @@ def _active(row: np.ndarray, fits: list[np.ndarray], filters: Known, piece: int)
 
 
 class Held:
-    """Phrases and their counts, added up until there are too many to hold."""
+    """Phrases with their counts and a row that has them, added up until there are too many to hold."""
 
     def __init__(self) -> None:
-        self.new: list[tuple[int, np.ndarray]] = []
+        self.new: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, n: int, keys: np.ndarray) -> None:
-        self.new.append((n, *np.unique(keys, return_counts=True)))
-        self.size += len(self.new[-1][1])
+    def add(self, n: int, keys: np.ndarray, at: int) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        self.new.append((n, keys, counts, np.full(len(keys), at)))
+        self.size += len(keys)
 
     def fold(self) -> None:
         total = []
         for n in range(1, LONGEST + 1):
-            some = [(k, c) for m, k, c in self.new if m == n]
+            some = [parts for m, *parts in self.new if m == n]
             if some:
-                keys, which = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
-                counts = np.bincount(which, np.concatenate([c for _, c in some]).astype(float)).astype(np.int64)
-                total.append((n, keys, counts))
-        self.new, self.size = total, sum(len(k) for _, k, _ in total)
+                keys, counts, at = (np.concatenate(column) for column in zip(*some, strict=True))
+                keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+                total.append((n, keys, np.bincount(which, counts.astype(float)).astype(np.int64), at[first]))
+        self.new, self.size = total, sum(len(keys) for _, keys, _, _ in total)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for n, keys, counts in self.new:
+        for n, keys, counts, at in self.new:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), n, np.int8)), pa.array(counts)],
-                ["key", "n", "count"],
+                [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), n, np.int8)), pa.array(counts), pa.array(at)],
+                ["key", "n", "count", "at"],
             )
         self.new, self.size = [], 0
 
 
-def _counter(now: Known | None, earlier: list[Known | None], piece: int) -> Callable:
-    """Counts the phrases that are active now and were not at an earlier visit to the shard."""
+def _counter(now: Known | None, visits: dict[int, list[Known | None]], piece: int) -> Callable:
+    """Counts the phrases that are active now and were not at an earlier visit to their shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.column(0).slice(i, 1).flatten().to_numpy().view(np.uint64)
+                shard, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                row = batch.column(2).slice(i, 1).flatten().to_numpy().view(np.uint64)
                 if not len(row):
                     continue
+                earlier = visits[shard]
                 fits = _within_pieces(row)
                 if not earlier and piece == 0:
-                    held.add(1, row[fits[0]])
+                    held.add(1, row[fits[0]], at)
                 if now is not None:
                     active = _active(row, fits, now, piece)
                     for before in earlier:
@@ -263,7 +273,7 @@ def _counter(now: Known | None, earlier: list[Known | None], piece: int) -> Call
                                 new &= ~old
                     for n, places in enumerate(active, 2):
                         if places.any():
-                            held.add(n, phrase_keys(row, np.flatnonzero(places), n, FACTORS))
+                            held.add(n, phrase_keys(row, np.flatnonzero(places), n), at)
                 if held.size > HELD:
                     held.fold()
                     if held.size > HELD // 2:
@@ -274,112 +284,138 @@ def _counter(now: Known | None, earlier: list[Known | None], piece: int) -> Call
     return count
 
 
+def _picked(filters: Known, piece: int) -> Callable:
+    """Counts of the phrases that pass the filter."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(filters.has(keys, piece)))
+
+    return pick
+
+
 def frequent_phrases(table: DataFrame, least: int = LEAST, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """(key, n): hashes of the phrases of up to four words that occur ``least`` times, from the word table."""
+    """(key, n, count, at) of the phrases of up to four words that occur ``least`` times, from the word table."""
     spark = table.sparkSession
     folder = work_dir(spark, "llm-phrase-counts")
-    visits: list[list[Known | None]] = [[] for _ in range(SHARDS)]
-    sizes: list[int] = []
-    found, now = None, None
-    # Done when what is known is what was known a whole round ago.
-    while len(sizes) <= SHARDS or sizes[-1] != sizes[-1 - SHARDS]:
-        shard = len(sizes) % SHARDS
-        rows = table.where(F.col("shard") == shard).select("words")
-        scans = [rows.mapInArrow(_counter(now, visits[shard], j), COUNTS) for j in range(len(now.slices) if now else 1)]
-        scan = reduce(DataFrame.unionAll, scans).groupBy("key", "n").agg(F.sum("count").alias("count"))
-        scan.write.parquet(f"{folder}/scan={len(sizes)}")
-        visits[shard].append(now)
-        counted = spark.read.schema(COUNTS + ", scan int").parquet(folder)
-        # Of ``least`` occurrences over all shards, so many lie in one of them.
-        likely = counted.where(F.col("count") >= -(-least // SHARDS)).select("key", "n").distinct()
+    visits: dict[int, list[Known | None]] = {shard: [] for shard in range(SHARDS)}
+    now, size, step = None, None, 0
+    total = [F.sum("count").alias("count"), F.min("at").alias("at")]
+    while True:
+        # Stops after each shard of the first round, then after each round: little becomes known by then.
+        shards = [step] if step < SHARDS else list(visits)
+        rows = table.where(F.col("shard").isin(shards)).select("shard", "at", "words")
+        scans = [rows.mapInArrow(_counter(now, dict(visits), j), COUNTS) for j in range(len(now.slices) if now else 1)]
+        reduce(DataFrame.unionAll, scans).groupBy("key", "n").agg(*total).write.parquet(f"{folder}/scan={step}")
+        for shard in shards:
+            visits[shard] = [*visits[shard], now]
+        counted = spark.read.schema(COUNTS + ", scan int").parquet(folder).drop("scan")
+        # Of ``least`` occurrences in all, so many lie in one scan.
+        likely = written(counted.where(F.col("count") >= -(-least // SHARDS)).select("key").distinct(), "likely")
+        of_likely = known(likely, filter_bytes)
+        picked = [counted.mapInArrow(_picked(of_likely, j), COUNTS) for j in range(len(of_likely.slices))]
         found = written(
-            counted.join(likely, ["key", "n"], "left_semi")
-            .groupBy("key", "n")
-            .agg(F.sum("count").alias("count"))
-            .where(F.col("count") >= least)
-            .select("key", "n"),
-            "frequent",
+            reduce(DataFrame.unionAll, picked).groupBy("key", "n").agg(*total).where(F.col("count") >= least), "frequent"
         )
         extended = found.where(F.col("n") < LONGEST)
-        sizes.append(extended.count())
+        before, size = size, extended.count()
+        # Done when a whole round has made nothing known.
+        if step >= SHARDS and size == before:
+            return found
         now = known(extended, filter_bytes)
-    return found
+        step += 1
 
 
-def _speller(filters: Known, piece: int) -> Callable:
-    """Counts the phrases that pass the filter, with their words."""
+def _parts(n: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """First parts and rests of all cuts, and inner phrases of two words or more, as (begin, words)."""
+    inner = [(i, m) for m in range(2, n) for i in range(n - m + 1)]
+    return [(0, k) for k in range(1, n)], [(k, n - k) for k in range(1, n)], inner
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, whole = Powers(), len(filters.slices) == 1
-        held: dict[tuple[str, int], list] = {}
+
+STRUCTURE = "key long, n tinyint, lang string, w array<long>, firsts array<long>, rests array<long>, inner array<long>"
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases of each row (lang, words, keys, sizes) by one place where they stand: words and hashes of parts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang = batch.column(0)[i].as_py()
+            row, keys, sizes = (
+                batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in range(1, 4)
+            )
+            row, keys = row.view(np.uint64), keys.view(np.uint64)
+            fits = _within_pieces(row)
+            for n in range(2, LONGEST + 1):
+                wanted = keys[sizes == n]
+                if not len(wanted):
+                    continue
+                at = np.flatnonzero(fits[n - 1])
+                here, first = np.unique(phrase_keys(row, at, n), return_index=True)
+                at = at[first[np.searchsorted(here, wanted)]]
+                lists = [[(j, 1) for j in range(n)], *_parts(n)]
+                columns = []
+                for parts in lists:
+                    values = [phrase_keys(row, at + begin, m) for begin, m in parts]
+                    flat = np.stack(values, axis=1).ravel() if values else np.zeros(0, np.uint64)
+                    places = np.arange(len(at) + 1, dtype=np.int32) * len(parts)
+                    columns.append(pa.ListArray.from_arrays(pa.array(places), pa.array(flat.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(wanted.view(np.int64)),
+                        pa.array(np.full(len(at), n, np.int8)),
+                        pa.array([lang] * len(at), pa.string()),
+                        *columns,
+                    ],
+                    ["key", "n", "lang", "w", "firsts", "rests", "inner"],
+                )
+
+
+def _structure(table: DataFrame, found: DataFrame) -> DataFrame:
+    """``STRUCTURE`` of the frequent phrases of two words and more, each from one row of the word table."""
+    asked = found.where("n > 1").groupBy("at").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("sizes"))
+    rows = table.select("at", "lang", "words").join(asked, "at").select("lang", "words", "keys", "sizes")
+    return rows.mapInArrow(_looked_up, STRUCTURE)
+
+
+def _letters(filters: Known, piece: int) -> Callable:
+    """(hash, word) of the words that pass the filter, once per task."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, done = Powers(), np.zeros(0, np.uint64)
         for batch in batches:
             for part in chunks(batch, "text", TEXT_BYTES):
                 langs, kind = _by_language(part)
                 data, offsets = text_bytes(part.column(1))
-                hashes, begin, end, text, closes = words(data, offsets, _salts(langs)[kind], powers)
-                row = _with_ends(hashes, closes)
-                number = np.cumsum(row != END) - 1
-                lower = LOWER[data].tobytes()
-                fits = _within_pieces(row)
-                ask = fits[0]
-                for n in range(1, LONGEST + 1):
-                    at = np.flatnonzero(ask)
-                    at = at[filters.has(phrase_keys(row, at, n, FACTORS), piece)]
-                    if n < LONGEST:
-                        ask = fits[n]
-                        if whole:  # what occurs often enough has parts that do
-                            passes = np.zeros(len(row), bool)
-                            passes[at] = True
-                            ask = ask & passes
-                            ask[:-1] &= passes[1:]
-                    keys, where, counts = np.unique(
-                        phrase_keys(row, at, n, SPELLING) if n > 1 else mix(row[at]), return_index=True, return_counts=True
-                    )
-                    first = number[at[where]]
-                    for key, w, c in zip(keys.tolist(), first.tolist(), counts.tolist(), strict=True):
-                        entry = held.get((n, key))
-                        if entry is None:
-                            phrase = b" ".join(lower[begin[v] : end[v]] for v in range(w, w + n)).decode()
-                            held[n, key] = [langs[kind[text[w]]], phrase, c]
-                        else:
-                            entry[2] += c
-                if len(held) > HELD // 4:
-                    yield _spelled(held)
-                    held = {}
-        if held:
-            yield _spelled(held)
-
-    return count
-
-
-def _spelled(held: dict[tuple[str, int], list]) -> pa.RecordBatch:
-    langs, phrases, counts = zip(*held.values(), strict=True)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(langs),
-            pa.array(phrases),
-            pa.array([n for n, _ in held], pa.int8()),
-            pa.array(counts, pa.int64()),
-        ],
-        ["lang", "phrase", "n", "f"],
+                hashes, begin, end, _, _ = words(data, offsets, _salts(langs)[kind], powers)
+                keys, first = np.unique(hashes, return_index=True)
+                new = filters.has(keys, piece) & ~np.isin(keys, done)
+                if new.any():
+                    lower = LOWER[data].tobytes()
+                    texts = [lower[begin[i] : end[i]].decode() for i in first[new].tolist()]
+                    done = np.union1d(done, keys[new]) if len(done) < HELD else keys[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(texts)], ["hash", "word"])
+
+    return spell
+
+
+def _spelled(docs: DataFrame, phrases: DataFrame, filter_bytes: int) -> DataFrame:
+    """``phrases`` (lang, w and more) with ``phrase``, their words joined by spaces."""
+    needed = written(phrases.select(F.explode("w").alias("key")).distinct(), "needed-words")
+    filters = known(needed, filter_bytes)
+    scans = [docs.mapInArrow(_letters(filters, j), "hash long, word string") for j in range(len(filters.slices))]
+    letters = written(
+        reduce(DataFrame.unionAll, scans).groupBy("hash").agg(F.min("word").alias("word")), "word-letters"
     )
-
-
-def phrase_counts(docs: DataFrame, least: int = LEAST, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, n, f) of the phrases with ``least`` occurrences, and (lang, total) words of each language."""
-    table = _word_table(docs)
-    filters = known(frequent_phrases(table, least, filter_bytes), filter_bytes)
-    scans = [
-        docs.mapInArrow(_speller(filters, piece), "lang string, phrase string, n tinyint, f long")
-        for piece in range(len(filters.slices))
-    ]
-    counts = reduce(DataFrame.unionAll, scans).groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
-    totals = table.groupBy("lang").agg(F.sum("n_words").alias("total"))
-    return written(counts.where(F.col("f") >= least), "phrases"), totals
-
-
-def _joined(items: Column) -> Column:
-    return F.array_join(items, " ")
+    row = phrases.withColumn("id", F.monotonically_increasing_id())
+    joined = (
+        row.select("id", F.posexplode("w").alias("nth", "hash"))
+        .join(letters, "hash")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("nth", "word"))).alias("parts"))
+        .select("id", F.array_join(F.transform("parts", lambda p: p["word"]), " ").alias("phrase"))
+    )
+    return row.join(joined, "id").drop("id", "w")
 
 
 def _exact(number: Column) -> Column:
@@ -399,47 +435,51 @@ def collocations(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    counts, totals = phrase_counts(plain, least, filter_bytes)
-    phrases = counts.where("n > 1").select(
-        "lang", "phrase", F.col("n").cast("int").alias("n"), F.col("f").alias("a"), F.split("phrase", " ").alias("w")
+    table = _word_table(plain)
+    found = frequent_phrases(table, least, filter_bytes)
+    phrases = written(
+        _structure(table, found).join(found.select("key", "n", F.col("count").alias("a")), ["key", "n"]), "phrases"
     )
-    part = counts.select("lang", "phrase", "f")
-    cut = F.col("k")
+    part = found.select("key", F.col("n").alias("m"), "count")
     cuts = (
-        phrases.select("lang", "phrase", "n", "a", "w", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
-        .withColumn("first", _joined(F.slice("w", F.lit(1), cut)))
-        .withColumn("rest", _joined(F.slice("w", cut + 1, F.col("n") - cut)))
-        .join(part.toDF("lang", "first", "l"), ["lang", "first"])
-        .join(part.toDF("lang", "rest", "r"), ["lang", "rest"])
+        phrases.select("key", "n", "a", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.col("n") - 1).alias("k"), "firsts", "rests")).alias("c"))
+        .select("key", "n", "a", F.col("c.k").cast("int").alias("k"), F.col("c.firsts").alias("first"), F.col("c.rests").alias("rest"))
+        .join(part.toDF("first", "k", "l"), ["first", "k"])
+        .withColumn("m", F.col("n") - F.col("k"))
+        .join(part.toDF("rest", "m", "r"), ["rest", "m"])
         # Whole numbers throughout: decimals hold what passes 64 bits.
         .withColumn("top", F.lit(SCALE).cast("decimal(7,0)") * _exact(F.col("a")))
         .withColumn("bottom", _exact(F.col("l")) + _exact(F.col("r")))
         .withColumn("score", F.expr("top DIV bottom"))
     )
-    scored = (
-        cuts.groupBy("lang", "phrase")
-        .agg(F.min(F.struct("score", "k", "l", "r")).alias("low"), F.min("a").alias("a"))
-        .select("lang", "phrase", "a", "low.l", "low.r", "low.score")
-    )
+    scored = cuts.groupBy("key", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
     inner = (
         phrases.where("n > 2")
-        .select("lang", "w", "n", F.col("a").alias("longer"), F.explode(F.expr("sequence(2, n - 1)")).alias("m"))
-        .select("lang", "w", "m", "longer", F.explode(F.expr("sequence(1, n - m + 1)")).alias("at"))
-        .select("lang", _joined(F.slice("w", F.col("at"), F.col("m"))).alias("phrase"), "longer")
-        .groupBy("lang", "phrase")
+        .select(F.explode("inner").alias("key"), F.col("a").alias("longer"))
+        .groupBy("key")
         .agg(F.max("longer").alias("longer"))
     )
-    kept = scored.join(inner, ["lang", "phrase"], "left").where(
-        F.col("longer").isNull() | (100 * _exact(F.col("longer")) < COVER * _exact(F.col("a")))
+    kept = (
+        phrases.select("key", "n", "lang", "w", "a")
+        .join(scored, ["key", "n"])
+        .join(inner, "key", "left")
+        .where(F.col("longer").isNull() | (100 * _exact(F.col("longer")) < COVER * _exact(F.col("a"))))
+        .select("lang", "w", "a", "low.l", "low.r", "low.score", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
     )
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # The best of each of a language's parts hold the best of the language: no language is sorted in one task.
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    rank = F.row_number()
-    few = salted.withColumn("rank", rank.over(Window.partitionBy("lang", "salt").orderBy(*order))).where(
+    order = [F.desc("score"), F.desc("a")]
+    # The best of each of a language's parts hold the best of the language, with all that tie with the
+    # last of them: no language is sorted in one task.
+    tied = F.rank()
+    few = kept.withColumn("rank", tied.over(Window.partitionBy("lang", "salt").orderBy(*order))).where(
         F.col("rank") <= best
     )
-    ranked = few.withColumn("rank", rank.over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
-    return ranked.join(totals, "lang").select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"
+    few = few.withColumn("rank", tied.over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
+    named = _spelled(plain, written(few.drop("salt", "rank"), "best-phrases"), filter_bytes)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc("phrase")))
+    totals = table.groupBy("lang").agg(F.sum("n_words").alias("total"))
+    return (
+        named.withColumn("rank", place)
+        .where(F.col("rank") <= best)
+        .join(totals, "lang")
+        .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
     )

@@ -9,6 +9,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from eventmetrics.llm import compression_quality, entropy_balance, quality_rules, sentencepieces, tokens, url_filter
@@ -132,7 +133,8 @@ def test_mix_odd_rows(make):
     assert len(got) == len(rows)
     assert len({r.copies for r in got if r.doc_id == 1}) == 1
     assert entropy_balance.report(make([])).collect() == []
-    clash = make(rows).withColumnRenamed("lang", "mix_identity").withColumnRenamed("n_chars", "copies")
+    clash = make(rows).withColumnsRenamed({"lang": "mix_identity", "n_chars": "copies"}).withColumn("mix_number", F.lit(1))
+    clash = clash.withColumns({"mix_other_id": F.lit(2), "mix_other": F.lit(3)})
     mixed = entropy_balance.mixed_rows(clash)
     assert mixed.columns == clash.columns
     want = collections.Counter({d: c for d, c in collections.Counter({r.doc_id: 0 for r in got}).items()})
@@ -246,7 +248,7 @@ def test_pipeline(spark, pieces):
     texts = {}
     for d in sorted(rows):
         texts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[d].text), d)
-    near = brute.near_duplicates([(d, rows[d].text) for d in texts.values()])
+    near = brute.near_duplicates([(d, rows[d].text) for d in texts.values()], 80)
     rows = {d: rows[d] for d, (_, c) in near.items() if c == d}
     sizes = collections.Counter()
     for r in rows.values():
