@@ -94,8 +94,9 @@ def csv_files(spark, sf_dir):
     raw = _raw(spark, sf_dir, CSV_COLUMNS, "time").withColumn("plan", F.expr(BROKEN_PLAN))
     even = F.col("user_id").cast("bigint") % 2 == 0
     other = raw.filter(~even).select("user_id", F.col("time").alias("timestamp"), "event", "plan", "event_name")
+    form = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     for part in (raw.filter(even), other):
-        part.write.option("header", True).option("escape", '"').mode("append").csv(path)
+        part.write.options(**form).mode("append").csv(path)
     accepted, _ = src.read_csv_events(spark, path, "org_1", "src_1", AS_OF)
     known = F.from_json("payload", "user_id string, plan string")
     return plain(accepted.drop("id").withColumn("p", known).select("*", "p.*").drop("p", "payload"))
