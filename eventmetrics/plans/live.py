@@ -30,6 +30,8 @@ from eventmetrics.streaming import states as st
 from eventmetrics.streaming.snapshots import read_latest
 
 REQUEST_LIMIT = 1
+INGEST_BATCHES = 2
+SLOTS = 16
 
 
 # Files the sample is split into, in no order of time; each is a batch of its own.
@@ -228,7 +230,7 @@ INGEST_SOURCE_COLUMNS = [
 def _ingested(spark, sf_dir):
     path = work_dir(spark, "ingest")
     # Micro-batches that share most minutes.
-    parts = [f"event_id % {FILES} = {n}" for n in range(FILES)]
+    parts = [f"event_id % {INGEST_BATCHES} = {n}" for n in range(INGEST_BATCHES)]
     stream = _as_batches(table(spark, sf_dir, "events"), parts, f"{path}/in")
     raw = stream.selectExpr(*INGEST_COLUMNS, "event_id", "cast(ts as timestamp) AS received_at").select(
         "request_id",
@@ -249,6 +251,7 @@ def _ingested(spark, sf_dir):
         path,
         f"{path}/checkpoint",
         limit=REQUEST_LIMIT,
+        slots=SLOTS,
         availableNow=True,
     ).awaitTermination()
     return path
@@ -269,10 +272,12 @@ def stream_ingest(spark, sf_dir):
 
 
 QUERIES = {
-    "stream_metrics_hour": _metrics("hour"),
-    "stream_metrics_day": _metrics("day"),
+    "stream_metrics_hour": _recomputed_metrics("hour"),
+    "stream_metrics_day": _recomputed_metrics("day"),
     "stream_metrics_week": _recomputed_metrics("week"),
-    "stream_metrics_month": _metrics("month"),
+    "stream_changes_hour": _metrics("hour"),
+    "stream_changes_day": _metrics("day"),
+    "stream_changes_month": _metrics("month"),
     "feed_rows": feed_rows,
     "feed_search": feed_search,
     "feed_search_alerts": feed_search_alerts,
@@ -340,7 +345,9 @@ ORACLES = {
     "stream_metrics_hour": _metrics_sql("hour"),
     "stream_metrics_day": _metrics_sql("day"),
     "stream_metrics_week": _metrics_sql("week"),
-    "stream_metrics_month": _metrics_sql("month"),
+    "stream_changes_hour": _metrics_sql("hour"),
+    "stream_changes_day": _metrics_sql("day"),
+    "stream_changes_month": _metrics_sql("month"),
     "stream_pane_alerts": _sweeps_sql(),
     "stream_alert_replay": MUTED_REPLAY,
     "feed_rows": f"{_FEED} SELECT organization_id, timestamp, id, type, title FROM f",
@@ -383,7 +390,7 @@ ORACLES = {
         "WHEN k.secret <> api_key THEN 'invalid_key' WHEN k.expires_at < ts THEN 'expired_key' END AS key_reason "
         "FROM raw LEFT JOIN k ON k.prefix = left(api_key, 16)), "
         "n AS (SELECT *, row_number() OVER (PARTITION BY key_reason, left(api_key, 16), date_trunc('minute', ts) "
-        f"ORDER BY event_id % {FILES}, ts, request_id) AS nth FROM a), "
+        f"ORDER BY event_id % {INGEST_BATCHES}, ts, request_id) AS nth FROM a), "
         "o AS (SELECT *, CASE WHEN key_reason IS NOT NULL THEN key_reason "
         f"WHEN nth > {REQUEST_LIMIT} THEN 'rate_limited' WHEN event_name = '' THEN 'event_name_missing' "
         "WHEN data_source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sources s WHERE s.id = n.data_source_id "

@@ -11,7 +11,7 @@ from eventmetrics import schema
 from eventmetrics.operators import access as ac
 from eventmetrics.sources import events as src
 from eventmetrics.sources.store import split_by_calendar, write_events
-from eventmetrics.streaming.limits import OVER, limited
+from eventmetrics.streaming.limits import OVER, SLOTS, limited
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -132,11 +132,12 @@ def start_ingest(
     checkpoint: str,
     limit: int = ac.REQUESTS_PER_MINUTE,
     load_calendar: Loader | None = None,
+    slots: int = SLOTS,
     **trigger,
 ) -> StreamingQuery:
     """Append accepted events to ``path/events`` and refused ones to ``path/rejected``.
 
-    Limits are counted in keyed state (``limits``), so the session needs a state
+    Limits are counted in state (``limits``, with ``slots`` parts), so the session needs a state
     store that keeps them, as ``session.stream_session`` has. Keys and sources
     are loaded for each micro-batch, so changes take effect. Outcomes are
     written to a staging folder first, so that the checks run once for all
@@ -159,7 +160,7 @@ def start_ingest(
         refused.write.mode("overwrite").parquet(f"{path}/rejected/batch={version}")
 
     return (
-        limited(raw, limit)
+        limited(raw, limit, slots=slots)
         .writeStream.outputMode("update")
         .foreachBatch(run)
         .option("checkpointLocation", checkpoint)
