@@ -20,10 +20,11 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def label_counts(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows per (``by``, label), and per ``by`` alone as ``is_total``, from one scan."""
+def label_counts(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """Rows per (``by``, label), and per ``by`` alone as ``is_total``, from one scan; ``weight``: rows that one stands for."""
+    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return rows.groupingSets([[*by, "label"], by], *by, "label").agg(
-        (F.grouping("label") == 1).alias("is_total"), F.count(F.lit(1)).alias("count")
+        (F.grouping("label") == 1).alias("is_total"), total.alias("count")
     )
 
 

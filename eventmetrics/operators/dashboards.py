@@ -6,12 +6,22 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventmetrics.functions.dates import INTERVALS, METRICS, moment
+from eventmetrics.functions.dates import INTERVALS, METRICS, mean_seconds, moment
+from eventmetrics.functions.numbers import percent, percent_change
 from eventmetrics.functions.payload import last_value, properties
-from eventmetrics.operators.breakdown import label_counts, label_of, top_labels, top_share
-from eventmetrics.operators.overview import OVERVIEW_METRICS, overview_for_ranges
-from eventmetrics.operators.scope import active, between, small_side
-from eventmetrics.operators.series import all_metric_points, chart_rows
+from eventmetrics.operators.breakdown import label_counts, top_labels, top_share
+from eventmetrics.operators.overview import OVERVIEW_METRICS
+from eventmetrics.operators.pieces import (
+    WHOLE,
+    chains,
+    in_pieces,
+    labels_in_pieces,
+    pieces_of,
+    range_counts,
+)
+from eventmetrics.operators.scope import active
+from eventmetrics.operators.series import chart_rows
+from eventmetrics.session import work_dir
 
 # Settings a widget may carry, their defaults, report sizes, and
 # the widgets of the web analytics template.
@@ -128,32 +138,6 @@ def widget_requests(placed: DataFrame) -> DataFrame:
     ).drop("_config")
 
 
-def range_bounds(table: DataFrame) -> tuple[int, int, int, int]:
-    """Rows, largest limit, earliest start and latest end of a config-derived table.
-
-    One small job over config tables. It proves the size before a broadcast,
-    gives the scan of the events literal bounds, and the label ranking a
-    literal limit. Times are microseconds since 1970.
-    """
-    limit = F.max("limit") if "limit" in table.columns else F.lit(0)
-    found = table.agg(
-        F.count(F.lit(1)),
-        F.coalesce(limit, F.lit(0)),
-        F.coalesce(F.min(F.unix_micros("range_start")), F.lit(0)),
-        F.coalesce(F.max(F.unix_micros("range_end")), F.lit(0)),
-    ).first()
-    return tuple(found)
-
-
-def _in_range(events: DataFrame, ranges: DataFrame, earliest: Column, latest: Column) -> DataFrame:
-    """Events joined to the ranges of their tenant; the outer bounds reach the scan."""
-    return (
-        between(events, earliest, latest)
-        .join(ranges, "organization_id")
-        .filter(F.col("timestamp").between(F.col("range_start"), F.col("range_end")))
-    )
-
-
 def _request_key() -> Column:
     """What a widget asks for; widgets asking for the same share one result."""
     metric, interval = F.col("metric"), F.col("interval")
@@ -184,71 +168,91 @@ def _result(
     )
 
 
-def kpi_results(events: DataFrame, ranges: DataFrame, earliest: int, latest: int) -> DataFrame:
-    """Value and change of every overview metric."""
+def asked_ranges(asked: DataFrame) -> DataFrame:
+    """What the requests need of which time: (RANGE, low, high, period, grain, property), each once.
+
+    Metrics have a grain, the whole range or an interval, and breakdowns a
+    property. A KPI also needs the range of equal length before its own; an
+    event at its very start is in both.
+    """
+    start, end = F.unix_micros("range_start"), F.unix_micros("range_end")
+    kind = F.split_part("request", F.lit(":"), F.lit(1))
+    text = F.lit(None).cast("string")
+
+    def part(when: str, low: Column, high: Column, period: str, grain: Column, prop: Column) -> DataFrame:
+        return asked.filter(kind == when).select(
+            *RANGE,
+            low.alias("low"),
+            (high + 1).alias("high"),
+            F.lit(period).alias("period"),
+            grain.alias("grain"),
+            prop.alias("property"),
+        )
+
+    return (
+        part("kpi", start, end, "cur", F.lit(WHOLE), text)
+        .unionAll(part("kpi", 2 * start - end, start, "prior", F.lit(WHOLE), text))
+        .unionAll(part("series", start, end, "cur", F.col("interval"), text))
+        .unionAll(part("breakdown", start, end, "cur", text, F.col("property")))
+        .distinct()
+    )
+
+
+def metric_results(events: DataFrame, pieces: DataFrame, ranges: DataFrame) -> DataFrame:
+    """KPIs with their change, and last points and scaled bars of each asked series, from one scan."""
+    counts = range_counts(chains(events, pieces), ranges, RANGE, ("cur", "prior"))
+
+    def value(metric: str, period: str) -> Column:
+        if metric == "bounce_rate":
+            return percent(F.col(f"{period}_bounces"), F.col(f"{period}_sessions"))
+        if metric == "avg_session_duration":
+            mean = mean_seconds(F.col(f"{period}_micros"), F.col(f"{period}_sessions"))
+            return F.coalesce(mean, F.lit(0.0))
+        return F.col(f"{period}_{metric}").cast("double")
+
+    whole = F.col("grain") == WHOLE
     lines = F.array(
         *[
             F.struct(
                 F.lit(m).alias("metric"),
-                F.col(m).cast("double").alias("value"),
-                F.col(f"{m}_change").alias("change"),
+                value(m, "cur").alias("value"),
+                F.when(whole, percent_change(value(m, "cur"), value(m, "prior"))).alias("change"),
             )
             for m in OVERVIEW_METRICS
         ]
     )
-    totals = overview_for_ranges(events, ranges, earliest, latest)
-    return _result(
-        totals.select(*RANGE, F.inline(lines)),
-        F.concat_ws(":", F.lit("kpi"), "metric"),
-        F.lit("kpi"),
-        F.lit(1),
-        F.col("metric"),
-        F.col("value"),
-        F.col("change"),
-    )
-
-
-def series_results(events: DataFrame, asked: DataFrame, earliest: Column, latest: Column) -> DataFrame:
-    """Last points of each asked series, and bars scaled to its largest point."""
-    by = [*RANGE, "interval"]
-    bucketed = _in_range(events, asked, earliest, latest).withColumn(
-        "bucket", F.expr("date_trunc(interval, timestamp)")
+    needs_session = F.col("metric").isin("bounce_rate", "avg_session_duration")
+    points = counts.select(*RANGE, "grain", "bucket", "cur_sessions", F.inline(lines)).filter(
+        whole | ~needs_session | (F.col("cur_sessions") > 0)
     )
-    points = all_metric_points(bucketed, [*by, "bucket"])
+    # A KPI is a series of one point.
+    shown = chart_rows(points, (*RANGE, "grain", "metric"), TABLE_POINTS, BAR_POINTS, keep=("change",))
     return _result(
-        chart_rows(points, (*by, "metric"), TABLE_POINTS, BAR_POINTS),
-        F.concat_ws(":", F.lit("series"), "interval", "metric"),
-        F.col("section"),
+        shown.filter(~whole | (F.col("section") == "point")),
+        F.when(whole, F.concat_ws(":", F.lit("kpi"), "metric")).otherwise(
+            F.concat_ws(":", F.lit("series"), "grain", "metric")
+        ),
+        F.when(whole, F.lit("kpi")).otherwise(F.col("section")),
         F.col("ord"),
-        F.date_format("bucket", "yyyy-MM-dd HH:mm"),
+        F.when(whole, F.col("metric")).otherwise(F.date_format("bucket", "yyyy-MM-dd HH:mm")),
         F.col("value"),
-        F.col("height"),
+        F.when(whole, F.col("change")).otherwise(F.col("height")),
     )
 
 
-def breakdown_results(
-    events: DataFrame, asked: DataFrame, rows: int, limit: int, earliest: Column, latest: Column
-) -> DataFrame:
+def breakdown_results(events: DataFrame, pieces: DataFrame, ranges: DataFrame, limit: int) -> DataFrame:
     """Top labels of each asked property with their share of all rows.
 
-    Each event meets one row holding all that its tenant asks for, so its
-    payload is parsed once; it is then repeated for the asked ranges and
-    properties it counts in.
+    An event's payload is parsed once; it then counts once for each property
+    asked of its piece, whatever the number of ranges.
     """
     by = [*RANGE, "property"]
-    per_org = asked.groupBy("organization_id").agg(
-        F.collect_set(F.struct("range_start", "range_end", "property")).alias("_asked")
-    )
-    labelled = (
-        between(events, earliest, latest)
-        .join(small_side(per_org, rows), "organization_id")
-        .select("organization_id", "timestamp", properties().alias("_properties"), "_asked")
-        .select("organization_id", "timestamp", "_properties", F.inline("_asked"))
-        .filter(F.col("timestamp").between(F.col("range_start"), F.col("range_end")))
-        .select(*by, label_of(last_value("_properties", F.col("property"))).alias("label"))
-    )
+    parsed = events.select("organization_id", "piece", properties().alias("_properties"))
+    labels = labels_in_pieces(parsed, pieces, last_value("_properties", F.col("property")))
+    inside = (F.col("low") <= F.col("piece")) & (F.col("piece") < F.col("high"))
+    met = labels.join(ranges, ["organization_id", "property"]).filter(inside)
     return _result(
-        top_labels(label_counts(labelled, by), by, limit),
+        top_labels(label_counts(met.select(*by, "label", "rows"), by, F.col("rows")), by, limit),
         F.concat_ws(":", F.lit("breakdown"), "property"),
         F.lit("breakdown"),
         F.col("ord"),
@@ -258,6 +262,13 @@ def breakdown_results(
     )
 
 
+def _written(table: DataFrame, label: str) -> DataFrame:
+    """A config-derived table in the shared folder: computed once, and of known size when it is joined."""
+    path = work_dir(table.sparkSession, label)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def evaluate_widgets(
     events: DataFrame, requests: DataFrame, keys: list[str]
 ) -> DataFrame:
@@ -266,24 +277,25 @@ def evaluate_widgets(
     ``extra`` is the change of a KPI, the height of a bar or the share of a
     label: a pie shows shares of the returned rows, a table of all rows.
     Every distinct KPI, series and breakdown is computed once per tenant and
-    range and then joined to the widgets asking for it. Widgets of an unknown
+    range and then joined to the widgets asking for it. All ranges are cut into
+    pieces (``pieces``), and events are counted per piece: one scan gives all
+    metrics and one all breakdowns, however many ranges overlap. Widgets of an unknown
     type, a wrong series or without data give one notice row and do not fail
     the others.
     """
-    asked = requests.withColumn("request", _request_key())
-    rows, limit, first, last = range_bounds(requests)
-    earliest, latest = F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))
-
-    def wanted(kind: str, *columns: str) -> DataFrame:
-        distinct = asked.filter(F.col("request").startswith(f"{kind}:")).select(*RANGE, *columns)
-        return distinct.distinct()
-
-    kpis = kpi_results(events, small_side(wanted("kpi"), rows), 2 * first - last, last)
-    series = series_results(events, small_side(wanted("series", "interval"), rows), earliest, latest)
-    labels = breakdown_results(
-        events, wanted("breakdown", "property"), rows, max(limit, 1), earliest, latest
-    )
-    results = kpis.unionByName(series).unionByName(labels)
+    asked = _written(requests.withColumn("request", _request_key()), "widget-requests")
+    ranges = asked_ranges(asked)
+    pieces = _written(pieces_of(ranges, "grain", "property"), "widget-pieces")
+    limit = asked.agg(F.coalesce(F.max("limit"), F.lit(0))).first()[0]
+    first, last = pieces.agg(F.coalesce(F.min("piece"), F.lit(0)), F.coalesce(F.max("piece_end"), F.lit(0))).first()
+
+    def needed(kind: str, other: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        own = pieces.filter(F.col(kind).isNotNull())
+        return in_pieces(events, own, first, last), own, ranges.filter(F.col(kind).isNotNull()).drop(other)
+
+    metrics = metric_results(*needed("grain", "property"))
+    labels = breakdown_results(*needed("property", "grain"), max(limit, 1))
+    results = metrics.unionByName(labels)
     keyed = results.withColumnsRenamed({name: f"_{name}" for name in (*RANGE, "request")})
     same = F.lit(True)
     for name in (*RANGE, "request"):

@@ -158,8 +158,10 @@ def bar_heights(series: DataFrame, k: int = 12, by: tuple[str, ...] = ("organiza
     return kept.withColumns({"ord": _ord(k), "height": _height()}).drop("_back", "_points", "_top")
 
 
-def chart_rows(series: DataFrame, by: tuple[str, ...], points: int, bars: int) -> DataFrame:
-    """Tail points and bars of each series as rows (``section``, ord, bucket, value, height)."""
+def chart_rows(
+    series: DataFrame, by: tuple[str, ...], points: int, bars: int, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Tail points and bars of each series as rows (``keep``, ``section``, ord, bucket, value, height)."""
     numbered = _from_end(series, by).filter(F.col("_back") <= max(points, bars))
     none = F.lit(None).cast("bigint")
     shapes = F.array_compact(
@@ -173,4 +175,4 @@ def chart_rows(series: DataFrame, by: tuple[str, ...], points: int, bars: int) -
             ]
         )
     )
-    return numbered.select(*by, "bucket", "value", F.inline(shapes))
+    return numbered.select(*by, *keep, "bucket", "value", F.inline(shapes))
