@@ -227,7 +227,7 @@ _JSON_REASON = (
     "WHEN payload = '[1]' THEN 'bad_payload' END"
 )
 _SOURCES = cte("sources", sample.SOURCE_COLUMNS, "nation")
-_GATE = (
+GATE_SQL = (
     f"WITH raw AS (SELECT {', '.join(GATE_COLUMNS)} FROM events), {_SOURCES}, "
     "g AS (SELECT event_id, batch_id, CASE WHEN data_source_id IS NOT NULL AND NOT EXISTS "
     "(SELECT 1 FROM sources s WHERE s.id = raw.data_source_id AND s.organization_id = raw.organization_id "
@@ -288,13 +288,13 @@ ORACLES = {
         "(PARTITION BY caller, date_trunc('minute', received_at) ORDER BY received_at, request_id) "
         f"<= {REQUEST_LIMIT} AS admitted FROM requests"
     ),
-    "source_gate": f"{_GATE} SELECT event_id, reason FROM g",
+    "source_gate": f"{GATE_SQL} SELECT event_id, reason FROM g",
     "source_gate_batch": (
-        f"{_GATE} SELECT event_id, CASE WHEN reason IS NOT NULL THEN reason WHEN max(reason) OVER "
+        f"{GATE_SQL} SELECT event_id, CASE WHEN reason IS NOT NULL THEN reason WHEN max(reason) OVER "
         "(PARTITION BY batch_id) IS NOT NULL THEN 'batch_source_not_usable' END AS reason FROM g"
     ),
     "ingest_receipts": (
-        f"{_GATE} SELECT batch_id, count(*) FILTER (reason IS NULL) AS accepted, "
+        f"{GATE_SQL} SELECT batch_id, count(*) FILTER (reason IS NULL) AS accepted, "
         "count(*) FILTER (reason IS NOT NULL) AS rejected FROM g GROUP BY ALL"
     ),
     "partition_gate": (

@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from eventmetrics.operators import access as ac
 from eventmetrics.operators import alerts as al
 from eventmetrics.plans.alerting import (
     LIVE_RULES,
@@ -18,6 +19,7 @@ from eventmetrics.plans.alerting import (
     muted_replay_inputs,
 )
 from eventmetrics.plans.common import AS_OF, EV, RULES, cte, plain, r6
+from eventmetrics.plans.ingest import GATE_COLUMNS, GATE_SQL
 from eventmetrics.session import stream_session, work_dir
 from eventmetrics.sources import sample, store
 from eventmetrics.sources.sample import table
@@ -26,6 +28,7 @@ from eventmetrics.streaming import deltas as sd
 from eventmetrics.streaming import feed as fd
 from eventmetrics.streaming import ingest as si
 from eventmetrics.streaming import metrics as sm
+from eventmetrics.streaming import receipts as rc
 from eventmetrics.streaming import states as st
 from eventmetrics.streaming.snapshots import read_latest
 
@@ -271,6 +274,23 @@ def stream_ingest(spark, sf_dir):
     return plain(events.unionByName(rejected, allowMissingColumns=True))
 
 
+def stream_receipts(spark, sf_dir):
+    """Receipts of micro-batches behind the source gate, as observed while they were written."""
+    path = work_dir(spark, "receipts")
+    parts = [f"event_id % {FILES} = {n}" for n in range(FILES)]
+    raw = _as_batches(table(spark, sf_dir, "events"), parts, f"{path}/in")
+    gated = raw.selectExpr(*GATE_COLUMNS, "cast(ts as timestamp) AS timestamp")
+    checked = ac.gate_verdicts(gated, sample.data_sources(raw.sparkSession, sf_dir))
+    query, listener = rc.start_receipted(
+        checked, f"{path}/out", f"{path}/checkpoint", f"{path}/receipts", availableNow=True
+    )
+    query.awaitTermination()
+    if not listener.wait(query):
+        raise RuntimeError("the receipts of the stream did not arrive")
+    raw.sparkSession.streams.removeListener(listener)
+    return rc.read_receipts(spark, f"{path}/receipts").drop("query_id")
+
+
 QUERIES = {
     "stream_metrics_hour": _recomputed_metrics("hour"),
     "stream_metrics_day": _recomputed_metrics("day"),
@@ -289,6 +309,7 @@ QUERIES = {
     "stream_pane_alerts": stream_pane_alerts,
     "stream_alert_replay": stream_alert_replay,
     "stream_ingest": stream_ingest,
+    "stream_receipts": stream_receipts,
 }
 
 
@@ -399,4 +420,9 @@ ORACLES = {
         "CASE WHEN reason IS NULL THEN event_name END AS event_name, CASE WHEN reason IS NULL THEN ts END AS timestamp, "
         "CASE WHEN reason IS NULL THEN cast(date_trunc('month', ts) AS date) END AS event_month, reason FROM o"
     ),
+    "stream_receipts": (
+        f"{GATE_SQL} SELECT event_id % {FILES} AS batch, count(*) FILTER (reason IS NULL) AS accepted, "
+        "count(*) FILTER (reason IS NOT NULL) AS rejected, min(ts) FILTER (reason IS NULL) AS first_ts, "
+        "max(ts) FILTER (reason IS NULL) AS last_ts FROM g JOIN events USING (event_id) GROUP BY ALL"
+    ),
 }
