@@ -257,3 +257,66 @@ def test_words_do_not_depend_on_pieces():
         got = tokens.split_words(data, offsets, tokens.Powers(), piece)
         assert all((a == b).all() for a, b in zip(want, got, strict=True))
     assert np.diff(want[3]).tolist() == [len(brute.lower_words(t)) for t in texts]
+
+
+def plain_ends(rows):
+    """Row number -> first and last near passage, from the sets of all passages of all pairs."""
+    bodies = [np.frombuffer(r[6], np.uint32).tolist() for r in rows]
+    width, ends = compact_windows.WIDTH, {}
+    for i, a in enumerate(bodies):
+        for j, b in enumerate(bodies):
+            if i == j:
+                continue
+            one_text = rows[i][2:4] == rows[j][2:4]
+            for p in range(len(a) - width + 1):
+                own = {rows[i][5] + p + k: run for k, run in enumerate(a[p : p + width])}
+                for q in range(len(b) - width + 1):
+                    other = {rows[j][5] + q + k: run for k, run in enumerate(b[q : q + width])}
+                    x, y = set(own.values()), set(other.values())
+                    places = {}
+                    for place, run in other.items():
+                        places.setdefault(run, set()).add(place)
+                    met = {r for at, r in own.items() if places.get(r, set()) - ({at} if one_text else set())}
+                    if 9 * len(met) >= 4 * (len(x) + len(y)):
+                        ends.setdefault(i, []).append(p)
+    return {i: (rows[i][5] + min(v), rows[i][5] + max(v) + width) for i, v in ends.items()}
+
+
+def window_rows(rng, m):
+    """Windows around one run: of near copies, of repeated words, of one text twice, of unlike texts."""
+    core, rows = rng.integers(1, 1 << 31, 91).astype(np.uint32), []
+    for k in range(m):
+        kind, body = int(rng.integers(0, 5)), core.copy()
+        if kind == 1:
+            body[rng.integers(0, 91, 4)] = rng.integers(1, 1 << 31, 4)
+        elif kind == 2:
+            body[:] = rng.choice(core[:3], 1)
+            body[60:64] = rng.integers(1, 1 << 31, 4)
+            body[64:] = core[5]
+        elif kind == 3:
+            body = np.concatenate([core[30:45], core[:30], core[45:]])
+        elif kind == 4:
+            body = rng.integers(1, 1 << 31, 91).astype(np.uint32)
+        body[45] = core[45]
+        low = int(rng.integers(10, 46))
+        high = int(rng.integers(low + 45, 91))
+        at = int(rng.integers(0, 60))
+        doc = int(rng.integers(0, m)) if kind == 2 else 100 + k
+        rows.append((1, 1, doc, doc, at + 45, at + low, body[low : high + 1].tobytes(), 0, 0))
+    return rows
+
+
+@pytest.mark.parametrize(("few", "at_once"), [(6, 256), (0, 256), (0, 0), (99, 0)])
+def test_groups_of_windows_against_sets(monkeypatch, few, at_once):
+    monkeypatch.setattr(compact_windows, "FEW", few)
+    monkeypatch.setattr(compact_windows, "AT_ONCE", at_once)
+    monkeypatch.setattr(compact_windows, "CELLS", 3000)
+    rng = np.random.default_rng(8)
+    for m in (2, 2, 3, 5, 9, 14):
+        rows = window_rows(rng, m)
+        want, got = {}, {}
+        for i, (low, high) in plain_ends(rows).items():
+            want.setdefault(rows[i][2], set()).update(range(low, high))
+        for doc, _, low, high, _ in compact_windows.near_in_group(rows):
+            got.setdefault(doc, set()).update(range(low, high))
+        assert got == want
