@@ -192,6 +192,60 @@ def test_near_passages(make, sample, monkeypatch, most):
     assert all(got[30_000 + k].component_id < 30_000 for k in range(12))
 
 
+def test_near_passages_do_not_depend_on_the_size_of_groups(make, monkeypatch):
+    """Passages near the threshold are found in a small and in a crowded group alike."""
+    rng = random.Random(6)
+    line, rows = [f"line{i}" for i in range(49)], []
+    for k in range(150):
+        passage = [f"p{k // 6}_{i}" for i in range(60)]
+        for at in rng.sample(range(60), 2):
+            passage[at] = f"changed{k}_{at}"
+        rows.append((k + 1, " ".join([*[f"a{k}_{i}" for i in range(40)], *passage, *[f"b{k}_{i}" for i in range(40)]])))
+    # The same few words of a line within own words are near nothing.
+    rows += [(1000 + k, " ".join([*[f"a{k}_{i}" for i in range(45)], *line[:9], *[f"b{k}_{i}" for i in range(45)]])) for k in range(12)]
+    found = []
+    for most in (2000, 3):
+        monkeypatch.setattr(compact_windows, "MOST_WINDOWS", most)
+        got = compact_windows.report(make(rows)).collect()
+        found.append({r.doc_id: (r.spans, r.component_id) for r in got})
+    assert found[0] == found[1]
+    assert sum(len(spans) for spans, _ in found[0].values()) > 20
+    assert all(found[1][1000 + k] == ([], 1000 + k) for k in range(12))
+
+
+def test_windows_all_near_are_left_out_without_loss(monkeypatch):
+    """Rows that a pivot settles are not compared again: same spans and same sets of joined rows as pair by pair."""
+    rng = np.random.default_rng(5)
+    for _ in range(8):
+        base = rng.integers(0, 2**32, (2, 70), dtype=np.uint32)
+        rows = []
+        for k in range(30):
+            runs = base[k % 2].copy()
+            for at in rng.integers(0, 70, k % 7):
+                runs[at] = rng.integers(0, 2**32)
+            low, high = sorted((int(rng.integers(0, 15)), int(rng.integers(61, 71))))
+            rows.append((1, 1, k, k, 30, low, runs[low:high].tobytes(), 0, 0))
+        want = compact_windows.near_of_few(rows)
+        got = list(compact_windows.near_in_group(rows))
+
+        def spans(found):
+            out = {}
+            for d, _, low, high, _ in found:
+                a, b = out.get(d, (low, high))
+                out[d] = min(a, low), max(b, high)
+            return out
+
+        def joined(found):
+            label = list(range(30))
+            for d, _, _, _, other in found:
+                a, b = label[d], label[other]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+            return label
+
+        assert spans(got) == spans(want)
+        assert joined(got) == joined(want)
+
+
 def test_near_passages_with_swapped_sentences(make):
     rows = []
     for k in range(24):
