@@ -81,6 +81,27 @@ def test_changes_are_added_up_before_they_meet_the_state(spark):
     assert part.count() == 3  # a session, a visitor, and the rows without either
 
 
+def state_rows(query):
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+
+
+def test_state_of_many_sessions_is_a_few_values(spark, inbox, tmp_path):
+    """Calls to the state go by slot, not by session or visitor."""
+    given = [event("click", AS_OF + timedelta(seconds=i % 7), org="a", session_id=f"s{i}", user_id=f"u{i}") for i in range(300)]
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for cut in ((0, 200), (100, 300)):
+        inbox.put(events(spark, given[slice(*cut)]))
+        query = sd.start_bucket_changes(inbox.stream(), "month", out, checkpoint, slots=4, availableNow=True)
+        assert max(state_rows(query)) <= 4
+    (got,) = sd.read_bucket_metrics(spark, out).collect()
+    assert (got.unique_visitors, got.bounce_rate, got.page_views) == (300, percent_of(200, 300), 0)
+
+
+def percent_of(part, whole):
+    return pytest.approx(100 * part / whole)
+
+
 # ---------------------------------------------------------------- panes and sweeps
 
 
