@@ -204,6 +204,20 @@ def test_rule_states_equal_replay(spark, tmp_path, seed):
     assert spark.read.parquet(out).count() == want.count()
 
 
+def test_states_of_many_rules_are_a_few_values(spark, tmp_path, monkeypatch):
+    """Calls to the state go by slot, not by rule; values that are missing or not a number stay what they are."""
+    watched = rules(spark, *[rule(id=f"r{i}", threshold=0.5) for i in range(100)])
+    a = Files(spark, tmp_path / "ticks", TICK)
+    values = [1.0, float("nan"), None]
+    a.put(spark.createDataFrame([(f"r{i}", AS_OF, values[i % 3]) for i in range(100)], TICK))
+    out = str(tmp_path / "out")
+    monkeypatch.setattr(st, "SLOTS", 4)
+    inputs = st.rule_inputs(watched, a.stream())
+    assert max(state_rows(st.start_rule_states(inputs, out, str(tmp_path / "checkpoint"), "None", availableNow=True))) <= 4
+    kinds = spark.read.parquet(out).selectExpr("value IS NULL AS none", "coalesce(isnan(value), false) AS nan").groupBy("none", "nan").count()
+    assert sorted(tuple(r) for r in kinds.collect()) == [(False, False, 34), (False, True, 33), (True, False, 33)]
+
+
 def test_mute_ends_without_a_tick(spark, tmp_path):
     watched = rules(spark, rule(current_state="Muted", muted_until=utc(2020, 1, 1)))
     a = Files(spark, tmp_path / "ticks", TICK)
