@@ -37,16 +37,25 @@ INGEST_BATCHES = 2
 SLOTS = 16
 
 
-# Files the sample is split into, in no order of time; each is a batch of its own.
+# Parts the sample is split into, in no order of time; each is a batch of its own.
 FILES = 4
+ANY_ORDER = [f"coalesce(crc32(id), 0) % {FILES} = {n}" for n in range(FILES)]
+# Streams that keep no state start their shuffles in many parts; small ones are merged as they run.
+SHUFFLE_PARTS_PER_CORE = 16
 
 
-def _as_batches(rows, parts, path):
-    """A stream of one file per part, in the order of the conditions, each a micro-batch."""
+def _in_turn(spark, path, inputs, parts, start, shuffle_parts=None):
+    """Runs a stream once for each part of its inputs, given as conditions: what came since is one micro-batch.
+
+    ``inputs`` are tables by name. A part is written by many tasks and read by
+    many, whatever its size.
+    """
+    session = stream_session(spark, shuffle_parts)
     for part in parts:
-        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
-    session = stream_session(rows.sparkSession)
-    return session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        for name, rows in inputs.items():
+            rows.filter(part).write.mode("append").parquet(f"{path}/{name}")
+        streams = [session.readStream.schema(rows.schema).parquet(f"{path}/{name}") for name, rows in inputs.items()]
+        start(*streams)
 
 
 def _metrics(interval):
@@ -54,16 +63,11 @@ def _metrics(interval):
 
     def query(spark, sf_dir):
         path = work_dir(spark, f"metrics-{interval}")
-        sample.events(spark, sf_dir).repartition(FILES, "id").write.parquet(f"{path}/in")
-        layout = spark.read.parquet(f"{path}/in").schema
-        session = stream_session(spark)
-        sd.start_bucket_changes(
-            session.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"),
-            interval,
-            path,
-            f"{path}/checkpoint",
-            availableNow=True,
-        ).awaitTermination()
+
+        def start(events):
+            sd.start_bucket_changes(events, interval, path, f"{path}/checkpoint", availableNow=True).awaitTermination()
+
+        _in_turn(spark, path, {"in": sample.events(spark, sf_dir)}, ANY_ORDER, start)
         return plain(sd.read_bucket_metrics(spark, path))
 
     return query
@@ -74,16 +78,20 @@ def _recomputed_metrics(interval):
 
     def query(spark, sf_dir):
         path = work_dir(spark, f"metrics-{interval}")
-        sample.events(spark, sf_dir).repartition(FILES, "id").write.parquet(f"{path}/in")
-        layout = spark.read.parquet(f"{path}/in").schema
-        sm.start_metrics(
-            spark.readStream.schema(layout).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"),
-            lambda session: session.read.schema(layout).parquet(f"{path}/in"),
-            interval,
-            path,
-            f"{path}/checkpoint",
-            availableNow=True,
-        ).awaitTermination()
+        events = sample.events(spark, sf_dir)
+
+        def start(arrived):
+            sm.start_metrics(
+                arrived,
+                lambda session: session.read.schema(events.schema).parquet(f"{path}/in"),
+                interval,
+                path,
+                f"{path}/checkpoint",
+                availableNow=True,
+            ).awaitTermination()
+
+        parts = spark.sparkContext.defaultParallelism * SHUFFLE_PARTS_PER_CORE
+        _in_turn(spark, path, {"in": events}, ANY_ORDER, start, parts)
         return plain(sm.read_metrics(spark, path))
 
     return query
@@ -127,12 +135,12 @@ def live_tail(spark, sf_dir):
     path = work_dir(spark, "tail")
     last = "organization_id IN ('org_0', 'org_1') AND crc32(id) % 3 = 0"
     parts = [f"NOT ({last}) AND crc32(id) % 3 = {n}" for n in (2, 0, 1)]
-    fd.start_live_tail(
-        fd.event_feed(_as_batches(sample.events(spark, sf_dir), [*parts, last], f"{path}/in")),
-        f"{path}/tail",
-        f"{path}/checkpoint",
-        availableNow=True,
-    ).awaitTermination()
+
+    def start(events):
+        feed = fd.event_feed(events)
+        fd.start_live_tail(feed, f"{path}/tail", f"{path}/checkpoint", availableNow=True).awaitTermination()
+
+    _in_turn(spark, path, {"in": sample.events(spark, sf_dir)}, [*parts, last], start)
     return plain(fd.read_tail(spark, f"{path}/tail").select("organization_id", "timestamp", "id", "title"))
 
 
@@ -189,13 +197,13 @@ def stream_pane_alerts(spark, sf_dir):
     path = work_dir(spark, "pane-sweeps")
     sa.put_rules(sample.alert_rules(spark, sf_dir), path)
     ticks = spark.sql(f"SELECT explode(array({', '.join(f"TIMESTAMP '{day}'" for day in SWEEP_DAYS)})) AS timestamp")
-    sa.start_pane_sweeps(
-        _as_batches(sample.events(spark, sf_dir), _periods("timestamp"), f"{path}/in"),
-        _as_batches(ticks, _periods("timestamp"), f"{path}/clock"),
-        path,
-        f"{path}/checkpoint",
-        availableNow=True,
-    ).awaitTermination()
+
+    def start(arrivals, clock):
+        sa.start_pane_sweeps(arrivals, clock, path, f"{path}/checkpoint", availableNow=True).awaitTermination()
+
+    inputs = {"in": sample.events(spark, sf_dir), "clock": ticks}
+    parts = spark.sparkContext.defaultParallelism * SHUFFLE_PARTS_PER_CORE
+    _in_turn(spark, path, inputs, _periods("timestamp"), start, parts)
     return plain(sa.read_history(spark, path).select("alert_rule_id", "state", "value", "threshold", "created_at"))
 
 
@@ -204,12 +212,13 @@ def stream_alert_replay(spark, sf_dir):
     path = work_dir(spark, "rule-states")
     rules, ticks, snoozes = muted_replay_inputs(spark, sf_dir)
     parts = ["at < TIMESTAMP '2024-01-11'", *[f"at >= TIMESTAMP '{a}' AND at < TIMESTAMP '{b}'" for a, b in zip(SWEEP_DAYS, SWEEP_DAYS[1:])]]
-    inputs = st.rule_inputs(
-        rules,
-        _as_batches(ticks.select("alert_rule_id", "at", "value"), parts, f"{path}/ticks"),
-        _as_batches(snoozes, parts, f"{path}/snoozes"),
-    )
-    st.start_rule_states(inputs, f"{path}/history", f"{path}/checkpoint", "None", availableNow=True).awaitTermination()
+
+    def start(ticked, snoozed):
+        inputs = st.rule_inputs(rules, ticked, snoozed)
+        st.start_rule_states(inputs, f"{path}/history", f"{path}/checkpoint", "None", availableNow=True).awaitTermination()
+
+    inputs = {"ticks": ticks.select("alert_rule_id", "at", "value"), "snoozes": snoozes}
+    _in_turn(spark, path, inputs, parts, start)
     found = spark.read.parquet(f"{path}/history")
     return plain(found.select("alert_rule_id", "at", "is_tick", "state_before", "state_after", "history"))
 
@@ -234,29 +243,32 @@ def _ingested(spark, sf_dir):
     path = work_dir(spark, "ingest")
     # Micro-batches that share most minutes.
     parts = [f"event_id % {INGEST_BATCHES} = {n}" for n in range(INGEST_BATCHES)]
-    stream = _as_batches(table(spark, sf_dir, "events"), parts, f"{path}/in")
-    raw = stream.selectExpr(*INGEST_COLUMNS, "event_id", "cast(ts as timestamp) AS received_at").select(
-        "request_id",
-        "api_key",
-        "received_at",
-        F.to_json(
-            F.struct(
-                "event_name",
-                "data_source_id",
-                F.struct(F.col("event_id").cast("string").alias("event_id")).alias("payload"),
-            )
-        ).alias("body"),
-    )
-    si.start_ingest(
-        raw,
-        partial(sample.api_keys, sf_dir=sf_dir),
-        lambda session: table(session, sf_dir, "nation").selectExpr(*INGEST_SOURCE_COLUMNS),
-        path,
-        f"{path}/checkpoint",
-        limit=REQUEST_LIMIT,
-        slots=SLOTS,
-        availableNow=True,
-    ).awaitTermination()
+
+    def start(stream):
+        raw = stream.selectExpr(*INGEST_COLUMNS, "event_id", "cast(ts as timestamp) AS received_at").select(
+            "request_id",
+            "api_key",
+            "received_at",
+            F.to_json(
+                F.struct(
+                    "event_name",
+                    "data_source_id",
+                    F.struct(F.col("event_id").cast("string").alias("event_id")).alias("payload"),
+                )
+            ).alias("body"),
+        )
+        si.start_ingest(
+            raw,
+            partial(sample.api_keys, sf_dir=sf_dir),
+            lambda session: table(session, sf_dir, "nation").selectExpr(*INGEST_SOURCE_COLUMNS),
+            path,
+            f"{path}/checkpoint",
+            limit=REQUEST_LIMIT,
+            slots=SLOTS,
+            availableNow=True,
+        ).awaitTermination()
+
+    _in_turn(spark, path, {"in": table(spark, sf_dir, "events")}, parts, start)
     return path
 
 
@@ -278,16 +290,19 @@ def stream_receipts(spark, sf_dir):
     """Receipts of micro-batches behind the source gate, as observed while they were written."""
     path = work_dir(spark, "receipts")
     parts = [f"event_id % {FILES} = {n}" for n in range(FILES)]
-    raw = _as_batches(table(spark, sf_dir, "events"), parts, f"{path}/in")
-    gated = raw.selectExpr(*GATE_COLUMNS, "cast(ts as timestamp) AS timestamp")
-    checked = ac.gate_verdicts(gated, sample.data_sources(raw.sparkSession, sf_dir))
-    query, listener = rc.start_receipted(
-        checked, f"{path}/out", f"{path}/checkpoint", f"{path}/receipts", availableNow=True
-    )
-    query.awaitTermination()
-    if not listener.wait(query):
-        raise RuntimeError("the receipts of the stream did not arrive")
-    raw.sparkSession.streams.removeListener(listener)
+
+    def start(raw):
+        gated = raw.selectExpr(*GATE_COLUMNS, "cast(ts as timestamp) AS timestamp")
+        checked = ac.gate_verdicts(gated, sample.data_sources(raw.sparkSession, sf_dir))
+        query, listener = rc.start_receipted(
+            checked, f"{path}/out", f"{path}/checkpoint", f"{path}/receipts", availableNow=True
+        )
+        query.awaitTermination()
+        if not listener.wait(query):
+            raise RuntimeError("the receipts of the stream did not arrive")
+        raw.sparkSession.streams.removeListener(listener)
+
+    _in_turn(spark, path, {"in": table(spark, sf_dir, "events")}, parts, start)
     return rc.read_receipts(spark, f"{path}/receipts").drop("query_id")
 
 

@@ -13,6 +13,7 @@ from eventmetrics.operators import alerts as al
 from eventmetrics.operators import panes as pn
 from eventmetrics.operators import rollups as ro
 from eventmetrics.operators import series as se
+from eventmetrics.plans import live
 from eventmetrics.streaming import alerts as sa
 from eventmetrics.streaming import deltas as sd
 from eventmetrics.streaming import limits as li
@@ -311,3 +312,19 @@ def test_sketches_of_any_range(spark, tmp_path):
     # A short range reads its months only.
     plan = ro.read_rollup(spark, path, ago(days=2), AS_OF)._jdf.queryExecution().executedPlan().toString()
     assert "rollup_month" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+# ---------------------------------------------------------------- inputs of the named queries
+
+
+def test_parts_are_batches_of_many_files(spark, tmp_path):
+    """A part of the input is written and read by many tasks and is one micro-batch."""
+    table, read, path = spark.range(0, 4000, 1, 8), [], str(tmp_path)
+
+    def start(stream):
+        query = stream.writeStream.foreachBatch(lambda batch, n: read.append((n, batch.count())))
+        query.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    live._in_turn(spark, path, {"in": table}, ["id % 4 < 3", "id % 4 = 3"], start)
+    assert read == [(0, 3000), (1, 1000)]
+    assert len(spark.read.parquet(f"{path}/in").inputFiles()) == 16
