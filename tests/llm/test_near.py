@@ -301,6 +301,58 @@ def test_empty_tables(make, operator):
     assert operator(make([])).collect() == []
 
 
+def repeated_word_rows(rng, texts):
+    """Windows around one run of texts that say one word over and over, then another: all splits of each text."""
+    word, rows = int(rng.integers(1, 1 << 31)), []
+    for doc in range(texts):
+        turn, other = rng.integers(1, 1 << 31, 4), int(rng.integers(1, 1 << 31))
+        runs = np.array([word] * 50 + turn.tolist() + [other] * 50, np.uint32)
+        for low in range(8, 50):
+            rows.append((1, 1, doc, doc, low, low, runs[low : low + compact_windows.WIDTH].tobytes(), 0, 0))
+    return rows
+
+
+def test_windows_that_share_one_word_are_not_compared(monkeypatch):
+    """Few of them are near, and the others must go without being held against each other."""
+    rng = np.random.default_rng(12)
+    rows = repeated_word_rows(rng, 3)
+    body = rng.integers(1, 1 << 31, 60).astype(np.uint32)
+    rows += [(1, 1, 50 + k, 50 + k, 20, k, body[k : k + 50].tobytes(), 0, 0) for k in range(8)]
+    met = []
+    for name in ("promising", "near_of_few"):
+        call = getattr(compact_windows, name)
+        monkeypatch.setattr(compact_windows, name, lambda some, call=call: met.append(len(some)) or call(some))
+    got = {}
+    for doc, _, low, high, _ in compact_windows.near_in_group(rows):
+        got.setdefault(doc, set()).update(range(low, high))
+    want = {}
+    for i, (low, high) in plain_ends(rows).items():
+        want.setdefault(rows[i][2], set()).update(range(low, high))
+    assert got == want and met and max(met) < 50
+
+
+def test_windows_left_out_of_crowded_groups(make, monkeypatch):
+    """Texts of repeated words in a crowded group: the same spans as in one group, and nearly no window is left."""
+    rng, rows = random.Random(9), []
+    for k in range(12):
+        rows.append((k + 1, " ".join(["same"] * 70 + [f"other{k}"] * 70)))
+    passage = [f"p{i}" for i in range(60)]
+    rows += [(100 + k, " ".join([*(f"a{k}_{i}" for i in range(rng.randrange(30, 50))), *passage])) for k in range(4)]
+    found, left, hopeful = [], [], compact_windows._hopeful
+
+    def counted(texts):
+        out = hopeful(texts)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(compact_windows, "_hopeful", counted)
+    for most in (2000, 20):
+        monkeypatch.setattr(compact_windows, "MOST_WINDOWS", most)
+        found.append({r.doc_id: (r.spans, r.component_id) for r in compact_windows.report(make(rows)).collect()})
+    assert found[0] == found[1]
+    assert len(left) == 1 and left[0] < 40
+
+
 def test_words_do_not_depend_on_pieces():
     import pyarrow as pa
 
