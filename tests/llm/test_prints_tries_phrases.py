@@ -155,3 +155,14 @@ def test_collocations_of_none(spark):
     docs = spark.createDataFrame([("en", "only a few words"), (None, None)], "phrase string, shard string")
     assert phrase_counting.collocations(docs, "phrase", "shard").collect() == []
     assert phrase_counting.collocations(docs.where("false"), "phrase", "shard").collect() == []
+
+
+def test_counts_travel_as_three_numbers():
+    """Rows of counts are all that op13 moves in bulk: no column beside key, count and mark, which holds row and length."""
+    held, row = phrase_counting.Held(), (9_000 << 32) + 7
+    held.add(3, np.array([5, 5, 8], np.uint64), row)
+    held.add(1, np.array([2], np.uint64), row + 1)
+    held.fold()
+    found = [r for batch in held.rows() for r in batch.to_pylist()]
+    assert sorted((r["key"], r["count"], r["mark"] % 8, r["mark"] // 8) for r in found) == [(2, 1, 1, row + 1), (5, 2, 3, row), (8, 1, 3, row)]
+    assert all(set(r) == {"key", "count", "mark"} for r in found)
