@@ -426,3 +426,89 @@ def test_groups_of_windows_against_sets(monkeypatch, few, at_once):
         for doc, _, low, high, _ in compact_windows.near_in_group(rows):
             got.setdefault(doc, set()).update(range(low, high))
         assert got == want
+
+
+def group_batch(groups):
+    """Rows of groups of windows as the tasks get them."""
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in compact_windows.BODIES.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] + [pa.int32()] * 2
+    rows = [(k, *row[1:]) for k, group in enumerate(groups) for row in group]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def roots_of(links):
+    links = [(a, b) for a, b in links if a is not None and b is not None]
+    return brute.roots({x for e in links for x in e}, links)
+
+
+def plain_links(rows):
+    """Pairs of documents with a near pair of windows."""
+    out = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            if plain_ends([rows[i], rows[j]]):
+                out.add((rows[i][2], rows[j][2]))
+    return out
+
+
+@pytest.mark.parametrize("together", [1, 20, 3000])
+def test_many_groups_at_once_against_sets(monkeypatch, together):
+    monkeypatch.setattr(compact_windows, "TOGETHER", together)
+    monkeypatch.setattr(compact_windows, "EARLY", 1)
+    rng = np.random.default_rng(together)
+    groups = [window_rows(rng, m) for m in (2, 1, 3, 9, 2, 12)]
+    # Each group has documents of its own; some have no id.
+    for k, rows in enumerate(groups):
+        groups[k] = [(r[0], 1 + n % 3, None if n % 5 == 4 else r[2] + 1000 * k, r[3] + 1000 * k, *r[4:]) for n, r in enumerate(rows)]
+    whole = group_batch(groups)
+    found = []
+    for out in compact_windows._group_batches(iter([whole.slice(0, 7), whole.slice(7)])):
+        found.extend(zip(*(c.to_pylist() for c in out.columns), strict=True))
+    want, links = {}, set()
+    for rows in groups:
+        for i, (low, high) in plain_ends(rows).items():
+            want.setdefault(rows[i][2:4], set()).update(range(low, high))
+        links |= plain_links(rows)
+    got = {}
+    for doc, version, low, high, _ in found:
+        got.setdefault((doc, version), set()).update(range(low, high))
+    assert got == want and want
+    linked = {d: c for d, c in roots_of({(d, o) for d, _, _, _, o in found}).items() if d != c}
+    assert linked == {d: c for d, c in roots_of(links).items() if d != c}
+
+
+def test_windows_of_one_set_of_runs_stand_for_each_other(monkeypatch):
+    """Texts that say a word over and over, then another, in all splits: few windows have a turn, and none is lost."""
+    rng = np.random.default_rng(4)
+    word, turn, other = (rng.integers(1, 1 << 31, n).astype(np.uint32) for n in (1, 4, 1))
+    rows, width = [], compact_windows.WIDTH
+    for doc in range(40):
+        runs = np.concatenate([np.repeat(word, 50), turn, np.repeat(other, 50)])
+        for low in range(4 + doc % 3, 50, 3):
+            rows.append((1, 1, doc, doc, low, low, runs[low : low + width].tobytes(), 0, 0))
+    sizes, call = [], compact_windows.compared
+    monkeypatch.setattr(compact_windows, "compared", lambda w, *more: sizes.append(len(w.sizes)) or call(w, *more))
+    (out,) = compact_windows._group_batches(iter([group_batch([rows])]))
+    assert sum(sizes) < 40 < len(rows)
+    got = {(d, low, high) for d, low, high in zip(*(out.column(k).to_pylist() for k in (0, 2, 3)), strict=True)}
+    assert got == {(r[2], r[5], r[5] + width) for r in rows}
+    assert set(roots_of(set(zip(out.column(0).to_pylist(), out.column(4).to_pylist(), strict=True))).values()) == {0}
+
+
+def test_a_filter_that_is_too_full_loses_nothing(make, monkeypatch):
+    """Beyond the size that may be sent to all tasks a filter is fuller, not left out."""
+    rng, rows = random.Random(3), []
+    passage = [f"p{i}" for i in range(60)]
+    for k in range(60):
+        own = [f"own{k}_{i}" for i in range(400)]
+        at = rng.randrange(400)
+        rows.append((k + 1, " ".join([*own[:at], *(passage if k % 3 == 0 else []), *own[at:]])))
+    want = compact_windows.report(make(rows)).collect()
+    filters, call = [], compact_windows._members
+    monkeypatch.setattr(compact_windows, "_members", lambda keys: filters.append(call(keys)) or filters[-1])
+    monkeypatch.setattr(compact_windows, "BROADCAST_BYTES", 8)
+    assert sorted(map(str, compact_windows.report(make(rows)).collect())) == sorted(map(str, want))
+    assert filters and all(f is not None and f.bits == 64 for f in filters)
+    assert sum(r.n_spans for r in want) >= 20
