@@ -512,3 +512,32 @@ def test_a_filter_that_is_too_full_loses_nothing(make, monkeypatch):
     assert sorted(map(str, compact_windows.report(make(rows)).collect())) == sorted(map(str, want))
     assert filters and all(f is not None and f.bits == 64 for f in filters)
     assert sum(r.n_spans for r in want) >= 20
+
+
+@pytest.mark.parametrize("many", [0, 1000])
+def test_later_turns_against_sets(monkeypatch, many):
+    """Windows that meet only those with a rare run, and single passages: the same as all pairs."""
+    monkeypatch.setattr(compact_windows, "EARLY", 0)
+    monkeypatch.setattr(compact_windows, "MANY", many)
+    rng = np.random.default_rng(40 + many)
+    line = rng.integers(1, 1 << 31, 56).astype(np.uint32)
+    for repeat in (False, True):
+        rows = []
+        for k in range(14):
+            own, body = rng.integers(1, 1 << 31, 20).astype(np.uint32), line.copy()
+            if k % 3 == 1:
+                # A word more: what is behind stands a place later.
+                body = np.insert(body, 20 + k, rng.integers(1, 1 << 31, 5).astype(np.uint32))[:56]
+            if k % 4 == 2:
+                body[40 + k % 7 : 45 + k % 7] = rng.integers(1, 1 << 31, 5)
+            if repeat and k % 5 == 3:
+                own[12] = body[30]
+            runs = np.concatenate([own[: 9 + k % 5], body])
+            rows.append((1, 1, k, k, 45, 0, runs.tobytes(), 0, 0))
+        want = {rows[i][2]: set(range(low, high)) for i, (low, high) in plain_ends(rows).items()}
+        (out,) = compact_windows._group_batches(iter([group_batch([rows])]))
+        got = {d: set(range(a, b)) for d, a, b in zip(*(out.column(k).to_pylist() for k in (0, 2, 3)), strict=True)}
+        assert got == want and want
+        linked = set(zip(out.column(0).to_pylist(), out.column(4).to_pylist(), strict=True))
+        found = {d: c for d, c in roots_of(linked).items() if d != c}
+        assert found == {d: c for d, c in roots_of(plain_links(rows)).items() if d != c}
